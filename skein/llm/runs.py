@@ -46,7 +46,7 @@ def _stream(min_docs: int):
     def decide(k, c, doc):
         start, run, docs, first = runs(k, c, doc)
         gone = (docs[run] >= min_docs) & (doc != first[run])
-        return out(_DECIDED, k[gone], c[gone], doc[gone], 0, 0)
+        return out(_DECIDED, k[gone], c[gone], doc[gone], first[run][gone], 0)
 
     def leave_open(k, c, doc):
         start, run, docs, first = runs(k, c, doc)  # one run
@@ -77,9 +77,10 @@ def _stream(min_docs: int):
 
 
 def later_documents(rows: DataFrame, min_docs: int, largest_first: bool, tag: str) -> DataFrame:
-    """(doc, c) of the rows whose key is in at least min_docs documents, but for those of its first document.
+    """(k, doc, c, first) of the rows whose key is in at least min_docs documents, but for those of its first document.
 
-    First is the largest id if largest_first, else the smallest. rows must give the same
+    Its first document, in ``first``, is the largest id if largest_first, else the smallest.
+    rows must give the same
     rows whenever Spark computes them again.
     """
     h = F.shiftright("c", 48)
@@ -102,7 +103,7 @@ def later_documents(rows: DataFrame, min_docs: int, largest_first: bool, tag: st
     )
     # At most two rows for each range partition, so the broadcast is bounded.
     still = streamed.where(F.col("kind") == _OPEN).withColumn("h", h).join(F.broadcast(open_keys), ["k", "h"]).where("doc <> keeper")
-    return streamed.where(F.col("kind") == _DECIDED).select("doc", "c").unionAll(still.select("doc", "c"))
+    return streamed.where(F.col("kind") == _DECIDED).select("k", "doc", "c", F.col("n").alias("first")).unionAll(still.select("k", "doc", "c", "keeper"))
 
 
 def by_document(decided: DataFrame) -> DataFrame:

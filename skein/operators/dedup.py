@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.sources.scratch import write_table
 
@@ -66,7 +67,7 @@ def greedy_keepers(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return ids.join(state, "id", "left").select("id", "duplicate_of")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def character_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity of two strings."""
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")

@@ -74,7 +74,9 @@ def hash_split_by_session(spark, sf_dir):
 
 @query(f"WITH src AS (SELECT * FROM documents), {_REDACTED} SELECT flag, count(*) AS n_docs FROM (SELECT unnest(flags) AS flag FROM redacted) GROUP BY flag")
 def pii_flag_counts(spark, sf_dir):
-    return privacy.redacted(table(spark, sf_dir, "documents")).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n_docs"))
+    # explode() would add a filter on the flags, and with it compute them twice.
+    flags = privacy.redacted(table(spark, sf_dir, "documents")).select(F.explode_outer("flags").alias("flag"))
+    return flags.where("flag is not null").groupBy("flag").agg(F.count("*").alias("n_docs"))
 
 
 @query(f"WITH src AS (SELECT *, {_SPEAKER} AS speaker FROM documents), {_REDACTED} SELECT coalesce({_REASON}, 'clean') AS reason, count(*) AS n_docs, CAST(sum(length(clean)) AS BIGINT) AS n_chars FROM redacted GROUP BY 1")

@@ -1,4 +1,4 @@
 """Every registered query of the library, by name, and its SQL."""
 
-from skein.plans import corpus, evaluation, intervals, reports, retrieval, storage, streams  # noqa: F401  they register
+from skein.plans import corpus, evaluation, intervals, reports, retrieval, routing, storage, streams  # noqa: F401  they register
 from skein.plans.registry import QUERIES, SQL  # noqa: F401

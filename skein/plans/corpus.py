@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from skein.functions import privacy, text
+from skein.functions import fuzzy, privacy, text
 from skein.operators import dedup, splits
 from skein.plans.registry import query, table
 
@@ -301,3 +301,23 @@ def short_near_dedup(spark, sf_dir):
     """Texts of at most five words: a shared token, token Jaccard of 0.6 and a character ratio of 0.82."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.canonical(F.col("text")).alias("text")).where(text.word_count(F.col("text")).between(1, 5))
     return dedup.similar_short_texts(rows, 0.6, 0.82)
+
+
+@query()
+def echo_scores(spark, sf_dir):
+    """How much of each turn echoes the one before."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").withColumn("spoken", F.lag("text").over(w)).where("spoken is not null")
+    return turns.select("conv_id", "turn", F.round(fuzzy.echo_score("text", "spoken"), 6).alias("echo"))
+
+
+# Our own variants of frequent words.
+LEXICON = {"the": "THE", "of the": "OF-THE", "les": "LES"}
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, '\bof the\b', 'OF-THE', 'gi'), '\bles\b', 'LES', 'gi'), '\bthe\b', 'THE', 'gi')) AS replaced_sha256
+FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents)""")
+def lexicon_replace(spark, sf_dir):
+    """Approved forms for whole words, over the ASCII part of every document."""
+    ascii_ = F.regexp_replace("text", "[^ -~]", "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fuzzy.lexicon_replace(ascii_, LEXICON), 256).alias("replaced_sha256"))

@@ -111,3 +111,29 @@ def test_storage(spark):
         storage.append_immutable(old, new, "id", "v")
     expiry = spark.createDataFrame([("2020-01-01 00:00:00",), ("2030-01-01 00:00:00",), ("soon",), (None,)], "e string")
     assert expiry.where(storage.alive(F.col("e"), F.lit("2024-01-01").cast("timestamp"))).count() == 3
+
+
+def test_fuzzy(spark):
+    from skein.functions import fuzzy
+
+    a, b = F.col("a"), F.col("b")
+    assert one(spark, fuzzy.echo_score(a, b), a="open the door", b="please OPEN the door now") == 1.0
+    assert one(spark, fuzzy.echo_score(a, b), a="", b="x") == 0.0
+    assert one(spark, fuzzy.closest_phrase(a, b), a="call misses smith tomorrow", b="mrs smith").phrase in ("misses smith", "smith")
+    assert one(spark, fuzzy.closest_phrase(a, b), a="abc", b="zzz zzz").phrase is None
+    assert one(spark, fuzzy.lexicon_replace(a, {"bar": "X", "foo bar": "Y$"}), a="Foo Bar, bar; barn été") == "Y$, X; barn été"
+
+
+def test_routing(spark):
+    from skein.operators import routing
+
+    rows = spark.createDataFrame([(1, "Open the door and close window"), (2, "hello"), (3, ""), (4, "open this or close that"), (5, "open open open")], "id int, text string")
+    got = {r.id: r for r in routing.segment(rows, "id", "text", {"open": "open", "close": "close"}, {"and"}, {"or"}).collect()}
+    assert got[1].decision == "compound" and [(s.operation, s.words) for s in got[1].subtasks] == [("open", "open the door"), ("close", "close window")]
+    assert got[2].reason == "no_command_operation" and got[3].reason == "empty_text" and got[4].reason == "ambiguous_connector:or" and got[5].decision == "simple"
+    starts = {(r.token, r.start) for r in routing.tokens(rows.where("id = 1"), "id", "text").collect()}
+    assert ("door", 9) in starts and ("open", 0) in starts
+    candidates = spark.createDataFrame([(1, 10, 0.9, False, 0.9), (1, 11, 0.5, False, 0.9), (2, 10, 0.9, False, 0.2), (3, 10, 0.9, True, 0.9), (4, 10, 0.3, False, 0.9), (5, 10, 0.9, False, 0.9), (6, 10, 0.9, False, 0.9), (6, 11, 0.88, False, 0.9)], "id int, candidate_id int, score double, rejected boolean, confidence double")
+    assert {r.id: r.decision for r in routing.resolve(candidates, "id").collect()} == {1: "resolved", 2: "low_transcript_confidence", 3: "ineligible", 4: "low_score", 5: "resolved_single", 6: "low_margin"}
+    answer = spark.createDataFrame([('text ```json\n{"a": 1}\n``` more',), ('so {"a": 2} then',), ("none",)], "t string").select(F.try_variant_get(routing.plan_from_answer(F.col("t")), "$.a", "int").alias("a"))
+    assert [r.a for r in answer.collect()] == [1, 2, None]

@@ -60,3 +60,18 @@ def test_envelopes_and_recordings(spark, tmp_path):
     found = readers.named_recordings(spark, str(tmp_path)).collect()
     assert [(r.device, r.direction, str(r.started_at)) for r in found] == [("mic", "input", "2024-01-05 10:11:12")]
     assert [r.id for r in readers.recent(spark.range(50), ["id"], 3).collect()] == [47, 48, 49]
+
+
+def test_writers(spark, tmp_path):
+    from skein.sources import writers
+
+    base = str(tmp_path)
+    writers.publish(spark.range(3), base, "t")
+    writers.publish(spark.range(5), base, "t")
+    assert writers.read_published(spark, base, "t").count() == 5 and writers.published(spark, base, "t").count() == 2
+    traces = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "c")], "session int, turn int, v string")
+    writers.append_traces(traces, f"{base}/traces", ["session", "turn"])
+    writers.append_traces(traces, f"{base}/traces", ["session", "turn"])
+    assert spark.read.parquet(f"{base}/traces").count() == 2
+    writers.write_jsonl(spark.createDataFrame([(1, None)], "id int, t string"), f"{base}/j")
+    assert readers.read_jsonl(spark, f"{base}/j", "id int, t string").first().id == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,41 +18,84 @@ from skein.llm.common import body, prefix_sums, slices, slot_count, slot_of, slo
 
 LONGEST = 1024
 END_ID = 0
-_CACHE = 400_000
+_CACHE = 600_000
 _SPECIAL = "<|endoftext|>"
-#: Texts of other characters go to the tokenizer whole: its Unicode tables might differ from ours.
-_ODD = regex.compile(r"[^\t\n\r\x20-\x7E\xA0-ɏ‐-‧‰-⁞€]")
+#: Chunks of other characters send their text to the tokenizer whole: they may be white
+#: space that isn't a single blank, or letters on which Unicode tables differ.
+_ODD = re.compile("[^\x21-\x7E\xA1-\u024F\u2010-\u2027\u2030-\u205E\u20AC]")
 _tokenizers: dict[str, tuple] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a letter: printable Latin-1 as itself, the others from code point 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+class _Words(dict):
+    """The ids of what the pattern cuts out, asked of the tokenizer's model when first met."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        self[word] = made = struct.pack(f"<{len(ids)}I", *ids)
+        return made
+
+
+class _Chunks(dict):
+    """The ids of what stands between blanks, with ``before`` (nothing or a blank) before it; KeyError for odd ones."""
+
+    def __init__(self, words: _Words, pattern, before: str):
+        super().__init__()
+        self.words, self.pattern, self.before = words, pattern, before
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or _ODD.search(chunk) or _SPECIAL in chunk:
+            raise KeyError(chunk)
+        self[chunk] = made = b"".join(map(self.words.__getitem__, self.pattern.findall(self.before + chunk)))
+        return made
+
+
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer and what it made of the words seen so far; both live as long as the Python worker."""
+    """The tokenizer and what it made of the words and chunks seen so far; they live as long as the Python worker."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         # The tokenizer splits a text by this pattern and encodes each part by itself.
-        _tokenizers[path] = (Tokenizer.from_file(path), {}, regex.compile(public_tokenizers.PATTERN))
+        tokenizer, pattern = Tokenizer.from_file(path), regex.compile(public_tokenizers.PATTERN)
+        words = _Words(tokenizer.model)
+        _tokenizers[path] = (tokenizer, words, _Chunks(words, pattern, ""), _Chunks(words, pattern, " "))
     return _tokenizers[path]
 
 
 def token_bytes(data: list[str], path: str) -> list[bytes]:
-    """Each text's ids, little-endian in four bytes, as the tokenizer gives them without special tokens added."""
-    tokenizer, known, pattern = _tokenizer(path)
-    if len(known) > _CACHE:
-        known.clear()
-    plain = [pattern.findall(x) if _SPECIAL not in x and not _ODD.search(x) else None for x in data]
-    new = list({w for words in plain if words for w in words}.difference(known))
-    for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-        known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    """Each text's ids, little-endian in four bytes, as the tokenizer gives them without special tokens added.
+
+    The pattern never cuts across a blank before, or a line feed between, printed characters.
+    So lines split at blanks give chunks that can be encoded by themselves, once for
+    all texts; a text with anything else (double blanks, other white space, rare scripts,
+    special tokens) goes to the tokenizer whole.
+    """
+    tokenizer, words, first, later = _tokenizer(path)
+    for known in (words, first, later):
+        if len(known) > _CACHE:
+            known.clear()
+    feed = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
     out = []
-    for x, words in zip(data, plain):
-        if words is None:
-            ids = tokenizer.encode(x, add_special_tokens=False).ids
-            out.append(np.array(ids, "<u4").tobytes())
-        else:
-            out.append(b"".join(map(known.__getitem__, words)))
+    for text in data:
+        try:
+            lines = []
+            for line in text.split("\n"):
+                start, *rest = line.split(" ")
+                lines.append(first[start] + b"".join(map(later.__getitem__, rest)))
+            out.append(feed.join(lines))
+        except KeyError:
+            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
     return out
 
 

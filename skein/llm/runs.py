@@ -102,8 +102,9 @@ def later_documents(rows: DataFrame, min_docs: int, largest_first: bool, tag: st
         .select("k", "h", F.expr("spans[0].first").alias("keeper"))
     )
     # At most two rows for each range partition, so the broadcast is bounded.
-    still = streamed.where(F.col("kind") == _OPEN).withColumn("h", h).join(F.broadcast(open_keys), ["k", "h"]).where("doc <> keeper")
-    return streamed.where(F.col("kind") == _DECIDED).select("k", "doc", "c", F.col("n").alias("first")).unionAll(still.select("k", "doc", "c", "keeper"))
+    settled = streamed.where(F.col("kind") != _SUMMARY).withColumn("h", h).join(F.broadcast(open_keys), ["k", "h"], "left")
+    own = F.col("kind") == _DECIDED
+    return settled.where(own | (F.col("doc") != F.col("keeper"))).select("k", "doc", "c", F.when(own, F.col("n")).otherwise(F.col("keeper")).alias("first"))
 
 
 def by_document(decided: DataFrame) -> DataFrame:

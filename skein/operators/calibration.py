@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skein.functions.vectors import sigmoid
 
+SLOTS = 4096
+
 
 def ece_equal_width(rows: DataFrame, bins: int = 10) -> DataFrame:
     """Expected calibration error over bins of equal width; the last holds 1.0 too."""
@@ -19,15 +21,16 @@ def ece_equal_width(rows: DataFrame, bins: int = 10) -> DataFrame:
 def ece_equal_mass(rows: DataFrame, most_bins: int = 10) -> DataFrame:
     """The same over bins of equal mass whose edges move to the end of a run of ties.
 
-    Ties of p are reduced to one row first, so what the running sum sees is the number of
-    different values; permuting tied rows changes nothing.
+    Ties of p are reduced to one row first; permuting tied rows changes nothing. The running
+    sum is taken in slots of p, on top of the sums of the slots before, so no task sees all values.
     """
-    values = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    values = values.withColumn("upto", F.sum("n").over(Window.orderBy("p")))
-    total = F.sum("n").over(Window.partitionBy())
-    bins = F.least(F.lit(most_bins), F.greatest(F.lit(1), F.floor(total / 20)))
+    values = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("y")).withColumn("slot", F.floor(F.col("p") * SLOTS))
+    slots = values.groupBy("slot").agg(F.sum("n").alias("slot_n"))  # at most SLOTS + 1 rows
+    earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select("slot", F.coalesce(F.sum("slot_n").over(earlier), F.lit(0)).alias("before"), F.sum("slot_n").over(Window.partitionBy()).alias("total"))
+    values = values.join(slots, "slot").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("slot").orderBy("p")))
+    values = values.withColumn("bins", F.least(F.lit(most_bins), F.greatest(F.lit(1), F.floor(F.col("total") / 20))))
     # An edge falls into the first run of ties that reaches round(b * total / bins).
-    values = values.withColumn("total", total).withColumn("bins", bins)
     edges_before = F.expr("size(filter(sequence(1, int(bins)), b -> greatest(1L, cast(rint(b * total / bins) as long)) <= upto - n))")
     b = values.groupBy(edges_before.alias("bin")).agg(F.sum("n").alias("n"), (F.sum("y") / F.sum("n")).alias("acc"), (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("conf"))
     return b.agg(F.sum("n").alias("n"), F.count("*").alias("n_bins"), F.round(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("n"), 6).alias("ece"))

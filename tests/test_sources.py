@@ -75,3 +75,14 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(f"{base}/traces").count() == 2
     writers.write_jsonl(spark.createDataFrame([(1, None)], "id int, t string"), f"{base}/j")
     assert readers.read_jsonl(spark, f"{base}/j", "id int, t string").first().id == 1
+
+
+def test_paged_search(spark):
+    from skein.sources.paged import paged_search
+
+    def fetch(query, offset, limit):
+        rows = [(i, f"{query} {i}") for i in range(120 if query == "a" else 50)]
+        return rows[offset : offset + limit]
+
+    got = paged_search(spark, ["a", "b"], fetch, "id long, text string", "id", 1000)
+    assert got.count() == 120

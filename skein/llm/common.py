@@ -1,11 +1,7 @@
-"""What several operators share: the scratch folder, hashing of words, prefix sums."""
+"""What several operators share: hashing of words, prefix sums."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,42 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.sources.scratch import shared_folder, write_table  # noqa: F401  the operators take them from here
+
 #: Stands for a null doc_id in sort keys and joins: below every other id.
 NULL_ID = -(2**63)
 #: The words of a text, as a regular expression that Java, RE2 and Python read alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only a local session may lack it; it then gets a temporary folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="spark-skein-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return _own[app]
-
-
-def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again.
-
-    The table lives as long as the folder, as Spark's own checkpoint files do.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/skein-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

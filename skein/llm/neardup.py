@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import body, mix, rolling, slices, texts, word_hashes, write_table
-from skein.llm.graph import components
 from skein.llm.runs import later_documents
+from skein.operators.graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at similarity s shares a band with probability 1 - (1 - s**WIDE)**BANDS: at 0.8
 #: all but 8 in a million, at 0.43 one in fourteen.
 BANDS, WIDE = 64, 8
+#: A pair at the threshold is ruled out by its sketches with a chance of 3 in a million.
+DEVIATIONS = 4.5
+#: Bits of the map that says whose sets are asked for: 2 MB, whatever the input.
+CELLS = 1 << 24
 _NEVER = np.uint64(2**64 - 1)
 _REGION, _CELL, _DART, _SLICE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 #: Chances of 0, 1, 2 ... darts in a region of area one, summed: a Poisson law of mean one.
@@ -87,15 +91,14 @@ def shingles(data: bytes, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
 def _signed(weigh: bool, bands: int, wide: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = {"s1": [], "s2": [], "bands": [], "sets": []}
+            rows = {"s1": [], "s2": [], "bands": []}
             for data in texts(batch.column("text")):
                 whole = xxhash.xxh3_128_intdigest(b" ".join(data.split()))
                 sh, counts = shingles(data)
                 rows["s1"].append((whole >> 64) - 2**63)
                 rows["s2"].append((whole & (2**64 - 1)) - 2**63)
                 rows["bands"].append(band_hashes(dart_minhash(sh, counts.astype(np.float64) if weigh else None, bands * wide), bands).view(np.int64) if len(sh) else np.zeros(0, np.int64))
-                rows["sets"].append(np.repeat((sh >> np.uint64(32)).astype(np.uint32), counts if weigh else 1).tobytes())
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "s1": pa.array(rows["s1"], pa.int64()), "s2": pa.array(rows["s2"], pa.int64()), "bands": pa.array(rows["bands"], pa.list_(pa.int64())), "sets": pa.array(rows["sets"], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "s1": pa.array(rows["s1"], pa.int64()), "s2": pa.array(rows["s2"], pa.int64()), "bands": pa.array(rows["bands"], pa.list_(pa.int64()))})
 
     return emit
 
@@ -110,23 +113,87 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(count(x), count(y)).sum())
 
 
-def _verify(similarity: float):
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates in a long."""
+    nibbles = np.zeros(-(-len(signature) // 16) * 16, np.uint64)
+    nibbles[: len(signature)] = signature & np.uint64(15)
+    return np.bitwise_or.reduce(nibbles.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
+
+
+def _sets(weigh: bool, bands: int, wide: int, bits):
+    """The shingle sets of the documents whose cell is set, as 32 bits for each element, sorted; their bands and sketches."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                common = _overlap(x, y)
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+        asked = np.frombuffer(bits.value, np.uint8)
+        for batch in slices(batches, 1024):
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((asked[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)))
+            sets, keys, sketches = [], [], []
+            for data in texts(batch.column("text")):
+                sh, counts = shingles(data)
+                signature = dart_minhash(sh, counts.astype(np.float64) if weigh else None, bands * wide)
+                sets.append(np.repeat((sh >> np.uint64(32)).astype(np.uint32), counts if weigh else 1).tobytes())
+                keys.append(band_hashes(signature, bands).view(np.int64))
+                sketches.append(sketch(signature).view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "s": pa.array(sets, pa.binary()), "bands": pa.array(keys, longs), "sketch": pa.array(sketches, longs)})
 
     return emit
 
 
+def sets_of(texts_: DataFrame, involved: DataFrame, weigh: bool, bands: int, wide: int) -> DataFrame:
+    """(node, s, bands, sketch) of the involved nodes, with no text moved: a bitmap of fixed size drops most others where they are read."""
+    cell = F.pmod(F.xxhash64("node"), F.lit(CELLS))
+    # Buckets and bits are counted from value 1 on.
+    marks = involved.select((cell + 1).alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    whole = np.zeros(CELLS // 8, np.uint8)
+    for x in marks.collect():  # CELLS / 8 bytes at most
+        whole[(x.bucket - 1) * 4096 : x.bucket * 4096] = np.frombuffer(x.bits, np.uint8)
+    bits = texts_.sparkSession.sparkContext.broadcast(whole.tobytes())
+    found = texts_.select("node", "text", cell.alias("cell")).mapInArrow(_sets(weigh, bands, wide, bits), "node long, s binary, bands array<long>, sketch array<long>")
+    return found.join(involved, "node", "left_semi").distinct()
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 512):
+        na, nb, both = [], [], []
+        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            na.append(len(x))
+            nb.append(len(y))
+            both.append(_overlap(x, y))
+        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), **{c: pa.array(x, pa.int64()) for c, x in (("na", na), ("nb", nb), ("both", both))}})
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, both): the sizes of two sets and of what they share."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_compare, "a long, b long, na long, nb long, both long")
+
+
+def _linked(similarity: float):
+    return F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))
+
+
+def _may_link(similarity: float, k: int):
+    """By their sizes and sketches, may documents a and b be similar?
+
+    At the threshold a coordinate's four bits differ with a chance of p = 15/16 of what is
+    missing to one; more than DEVIATIONS standard deviations above that are ruled out.
+    """
+    p = (1 - similarity) * 15 / 16
+    most = k * p + DEVIATIONS * (k * p * (1 - p)) ** 0.5
+
+    def differing(x, y):
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    unlike = F.aggregate(F.zip_with("sketch_a", "sketch_b", differing), F.lit(0), lambda s, x: s + x)
+    return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (unlike <= most)
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, wide: int = WIDE, weigh: bool = False) -> DataFrame:
     """(doc_id, class_id), a row for each document; class_id is the smallest doc_id of the class.
 
@@ -137,39 +204,38 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, band
     copies, empty and null ones among them, and one of them stands for all from then on.
 
     Candidates share a band of DartMinHash signatures; each is verified exactly. In every
-    band's bucket all are first compared with the smallest; pairs of the others are only
-    compared where these links leave a bucket in several classes. No bucket is collected.
+    band's bucket all are first compared with the smallest. Where these links leave a
+    bucket in several classes, pairs of the others are compared too, unless they are of one
+    class already or their sketches (four bits of each coordinate) rule them out. No bucket
+    is collected.
 
     A null doc_id is replaced by a hash of its text, above 2**62. Rows that repeat a doc_id
     fall into one class. No rows: no rows. Other columns are ignored.
     """
     node = F.coalesce(F.col("doc_id").cast("long"), F.expr("(xxhash64(text) & 4611686018427387903L) | 4611686018427387904L"))
-    signed = docs.select("doc_id", body().alias("text")).select(node.alias("node"), "text").mapInArrow(_signed(weigh, bands, wide), "node long, s1 long, s2 long, bands array<long>, sets binary")
-    signed = write_table(signed, "signed")
+    whole = docs.select("doc_id", body().alias("text")).select(node.alias("node"), "text")
+    signed = write_table(whole.mapInArrow(_signed(weigh, bands, wide), "node long, s1 long, s2 long, bands array<long>"), "signed")
     copies = signed.groupBy("s1", "s2").agg(F.min("node").alias("rep"))
     # One row for each text: the smallest node's, reduced before the shuffle.
     own = signed.groupBy("s1", "s2").agg(F.min(F.struct("node", "bands")).alias("x")).select("x.*")
     rows = write_table(own, "bands").select(F.explode("bands").alias("k"), F.col("node").alias("doc"), F.lit(0).cast("long").alias("c"))
     met = write_table(later_documents(rows, 2, False, "buckets").select("k", "doc", "first"), "met")
-    stars = met.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts_ = signed.join(copies.select(F.col("rep").alias("node"), "s1", "s2"), ["node", "s1", "s2"], "left_semi")
-        sets = write_table(texts_.join(involved, "node", "left_semi").select("node", "sets"), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sets").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sets").alias("sb")), "b")
-        return write_table(both.mapInArrow(_verify(similarity), "a long, b long"), "links")
-
-    stars = write_table(stars, "stars")
-    links = verified(stars)
+    sets = write_table(sets_of(whole, met.select(F.col("doc").alias("node")).union(met.select("first")).distinct(), weigh, bands, wide), "sets")
+    stars = compared(met.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), sets)
+    links = write_table(stars.where(_linked(similarity)).select("a", "b"), "links")
     root = components(links)
+    # What is left: buckets of several classes.
     members = met.select("k", "doc").join(root.select(F.col("node").alias("doc"), "root"), "doc", "left").select("k", "doc", F.coalesce("root", "doc").alias("root"))
     split = members.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k")
-    apart = members.join(split, "k", "left_semi")
-    more = apart.select("k", F.col("doc").alias("a"), F.col("root").alias("ra")).join(apart.select("k", F.col("doc").alias("b"), F.col("root").alias("rb")), "k").where("a < b and ra <> rb").select("a", "b").distinct()
-    more = write_table(more.join(stars, ["a", "b"], "left_anti"), "more")
+    known = sets.select(F.col("node").alias("doc"), (F.octet_length("s") / 4).alias("n"), "bands", "sketch")
+    apart = write_table(members.join(split, "k", "left_semi").join(known, "doc"), "apart")
+    left, right = (apart.select("k", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "root", "n", "bands", "sketch")]) for x in "ab")
+    # A pair is taken up in the first band that it shares, so once.
+    same = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True)
+    more = left.join(right, (left.k == right.k) & F.expr("doc_a < doc_b and root_a <> root_b") & _may_link(similarity, bands * wide) & (same == F.array_position("bands_a", left.k)))
+    more = write_table(more.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), "more")
     if not more.isEmpty():
-        root = components(links.unionAll(verified(more)))
+        root = components(links.unionAll(compared(more, sets).where(_linked(similarity)).select("a", "b")))
     placed = signed.select("node", "s1", "s2").join(copies, ["s1", "s2"]).join(root.select(F.col("node").alias("rep"), "root"), "rep", "left")
     return placed.select(F.col("node").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
 

@@ -18,7 +18,8 @@ from skein.llm.common import body, prefix_sums, slices, slot_count, slot_of, slo
 
 LONGEST = 1024
 END_ID = 0
-_CACHE = 600_000
+#: The most words, chunks at a line's start, and chunks after a blank that a Python worker remembers.
+_REMEMBERED = (150_000, 50_000, 250_000)
 _SPECIAL = "<|endoftext|>"
 #: Chunks of other characters send their text to the tokenizer whole: they may be white
 #: space that isn't a single blank, or letters on which Unicode tables differ.
@@ -82,8 +83,8 @@ def token_bytes(data: list[str], path: str) -> list[bytes]:
     special tokens) goes to the tokenizer whole.
     """
     tokenizer, words, first, later = _tokenizer(path)
-    for known in (words, first, later):
-        if len(known) > _CACHE:
+    for known, most in zip((words, first, later), _REMEMBERED):
+        if len(known) > most:
             known.clear()
     feed = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
     out = []

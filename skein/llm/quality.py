@@ -23,7 +23,7 @@ SEED = 7
 #: The most labelled rows that are learned from: what reaches the driver is bounded by it.
 SAMPLE = 4000
 THRESHOLD = 0.7
-_CACHE = 400_000
+_CACHE = 200_000
 
 _END, _AGAIN = b"\x00end", b"\x00again"
 _HALF = BUCKETS // 2

@@ -47,11 +47,26 @@ def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def greedy_keepers(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+def representatives(rows: DataFrame) -> DataFrame:
+    """(id, first): the smallest id with the row's token set, or without tokens with its text; rows: id, text, tokens.
+
+    ``first`` is the id that :func:`similar_pairs` has for the set.
+    """
+    s = F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t)))
+    key = F.when(F.size("tokens") > 0, F.concat(F.lit("s"), F.sha2(F.array_join(s.cast("array<string>"), ","), 256))).otherwise(F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = write_table(rows.select("id", key.alias("key")), "copies")
+    return with_first_id(keyed, "key", "id").select("id", F.col("first_id").alias("first"))
+
+
+def greedy_keepers(ids: DataFrame, pairs: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
     """(id, duplicate_of): in the order of ids a row is kept unless a kept earlier one is similar.
 
     Rounds over the links: a row whose earlier neighbours are all decided is decided too,
     as a duplicate of its most similar kept one (ties: the smallest id) or as kept.
+
+    firsts: what :func:`representatives` gives, where pairs has representatives only. A copy
+    is then a duplicate of its representative, or if that is one itself, of the most similar
+    kept row before the copy.
     """
     links = write_table(pairs.select(F.col("b").alias("id"), F.col("a").alias("before"), "jaccard"), "greedy")
     undecided = links.select("id").distinct()
@@ -64,7 +79,16 @@ def greedy_keepers(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         state = write_table(state.unionByName(new), "greedy")
-    return ids.join(state, "id", "left").select("id", "duplicate_of")
+    if firsts is None:
+        return ids.join(state, "id", "left").select("id", "duplicate_of")
+    # What a duplicate's copies may be duplicates of: its kept neighbours, which are unlike one another and so few.
+    kept = state.where("duplicate_of is null").select(F.col("id").alias("near"))
+    both = links.select("id", F.col("before").alias("near"), "jaccard").unionByName(links.select(F.col("before").alias("id"), F.col("id").alias("near"), "jaccard"))
+    options = both.join(kept, "near").groupBy("id").agg(F.collect_list(F.struct((-F.col("jaccard")).alias("j"), "near")).alias("options"))
+    gone = state.where("duplicate_of is not null").join(options, "id").select(F.col("id").alias("first"), "options")
+    best = F.array_min(F.filter("options", lambda x: x.near < F.col("id"))).getField("near")
+    found = F.when(F.col("options").isNotNull(), best).otherwise(F.when(F.col("first") != F.col("id"), F.col("first")))
+    return ids.join(firsts, "id", "left").join(gone, "first", "left").select("id", found.cast("long").alias("duplicate_of"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -74,8 +98,21 @@ def character_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar_short_texts(rows: DataFrame, token_share: float, character_share: float) -> DataFrame:
-    """(a, b, ratio) of different short texts that share enough tokens and characters; rows: id, text."""
-    firsts = write_table(rows.groupBy("text").agg(F.min("id").alias("id")), "short")
-    pairs = similar_pairs(firsts.select("id", F.array_distinct(F.split("text", " ")).alias("tokens")), token_share)
-    both = pairs.join(firsts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(firsts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", character_ratio("ta", "tb").alias("ratio")).where(F.col("ratio") >= character_share)
+    """(a, b, ratio) of short texts that share enough tokens and characters; rows: id, text.
+
+    Different texts are compared by their first ids, also if their token sets are equal. A
+    copy is paired with its first, at a ratio of one; its other pairs are those of that one.
+    Empty texts have no pairs.
+    """
+    members = write_table(with_first_id(rows.where("text <> ''").select("id", "text"), "text", "id"), "short")
+    firsts = members.where("id = first_id").select("id", "text", F.array_distinct(F.split("text", " ")).alias("tokens"))
+    of_set = write_table(firsts.join(representatives(firsts), "id").select("id", "text", "first"), "short")
+    sets = similar_pairs(firsts.select("id", "tokens"), token_share).select("a", "b")
+    same = of_set.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select(F.col("first").alias("a"), F.col("first").alias("b"))
+    one, two = (of_set.select(F.col("first").alias(side), F.col("id").alias(f"i{side}"), F.col("text").alias(f"t{side}")) for side in "ab")
+    both = sets.unionByName(same).join(one, "a").join(two, "b").where("a <> b or ia < ib")
+    # The earlier of two texts comes first, whichever set's id is smaller.
+    lower = F.col("ia") < F.col("ib")
+    texts = both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.when(lower, F.col("ta")).otherwise(F.col("tb")).alias("ta"), F.when(lower, F.col("tb")).otherwise(F.col("ta")).alias("tb"))
+    near = texts.select("a", "b", character_ratio("ta", "tb").alias("ratio")).where(F.col("ratio") >= character_share)
+    return near.unionByName(members.where("id > first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio")))

@@ -291,14 +291,14 @@ def technical_texts(spark, sf_dir):
 
 @query()
 def greedy_near_dedup(spark, sf_dir):
-    """First come, first kept: a document goes if a kept earlier one is similar; near copies keep nobody out."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.shingles(F.col("text")).alias("tokens"))
-    return dedup.greedy_keepers(docs.select("id"), dedup.similar_pairs(docs, 0.88))
+    """First come, first kept: a document goes if a kept earlier one is similar or equal; near copies keep nobody out."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", text.shingles(F.col("text")).alias("tokens"))
+    return dedup.greedy_keepers(docs.select("id"), dedup.similar_pairs(docs, 0.88), dedup.representatives(docs))
 
 
 @query()
 def short_near_dedup(spark, sf_dir):
-    """Texts of at most five words: a shared token, token Jaccard of 0.6 and a character ratio of 0.82."""
+    """Texts of at most five words: a shared token, token Jaccard of 0.6 and a character ratio of 0.82; copies beside their first."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.canonical(F.col("text")).alias("text")).where(text.word_count(F.col("text")).between(1, 5))
     return dedup.similar_short_texts(rows, 0.6, 0.82)
 

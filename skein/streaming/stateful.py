@@ -13,11 +13,17 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from skein.sources.scratch import shared_folder
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A table's Parquet files as a stream; timestamps without zone are taken as UTC."""
+def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table's Parquet files as a stream; timestamps without zone are taken as UTC.
+
+    All files are one batch unless files_per_batch is given: then rows that lie behind the
+    watermark of earlier batches are late, so files must be in the order of time.
+    """
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
     # A table is one file or a folder of files; the source lists folders.
     status = spark._jvm.org.apache.hadoop.fs.Path(path)
     is_file = status.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(status).isFile()

@@ -30,8 +30,8 @@ def id_or_lowest(doc_id: str = "doc_id") -> Column:
 
 
 def text_tag(text: str = "text") -> Column:
-    """16 bits of the text, which tell apart rows that repeat a doc_id with other texts."""
-    return F.xxhash64(body(text)).bitwiseAND(F.lit(0xFFFF))
+    """64 bits of the text, which tell apart rows that repeat a doc_id, or have none, with other texts."""
+    return F.xxhash64(body(text))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

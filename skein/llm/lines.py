@@ -18,7 +18,7 @@ from skein.llm.runs import ROWS, by_document, later_documents, pack
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
 _EDGE = b" \t\n\x0b\x0c\r"
-_ROWS = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("c", pa.int64())])
+_ROWS = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("c", pa.int64())])
 
 
 def _line_rows(min_length: int):
@@ -34,8 +34,8 @@ def _line_rows(min_length: int):
                         tags.append(tag)
                         places.append(at)
             both = np.frombuffer(b"".join(keys), ">u8").reshape(-1, 2).astype(np.uint64)
-            c = pack(both[:, 1], 0, np.array(places, np.uint64)) | (np.array(tags, np.int64) << 32)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy().view(np.int64)), pa.array(np.array(docs, np.int64)), pa.array(c)], schema=_ROWS)
+            c = pack(both[:, 1], np.array(places, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy().view(np.int64)), pa.array(np.array(docs, np.int64)), pa.array(np.array(tags, np.int64)), pa.array(c)], schema=_ROWS)
 
     return emit
 
@@ -49,7 +49,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if gone:
                 keep[gone] = False
             counts.append(n)
-            drops.append(len(gone or ()))
+            drops.append(n - int(keep.sum()))
             maps.append(zlib.compress(np.packbits(keep).tobytes(), 1))
         yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in batch.schema.names if c != "positions"}, "n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(drops, pa.int64()), "keep_bitmap": pa.array(maps, pa.binary())})
 
@@ -78,7 +78,7 @@ def line_keep_bitmaps(docs: DataFrame, payload: list[str] | tuple[str, ...] = ()
     own = [c for c in dict.fromkeys(["doc_id", *payload]) if c != "text"]
     # A text keeps its own copy under names that no payload has.
     whole = docs.select(*own, body().alias("text"), id_or_lowest().alias("_doc"), text_tag().alias("_tag"))
-    joined = whole.join(gone.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "positions"), ["_doc", "_tag"], "left").select(*own, "text", "positions")
+    joined = whole.join(gone.select(F.col("doc").alias("_doc"), F.col("t").alias("_tag"), "positions"), ["_doc", "_tag"], "left").select(*own, "text", "positions")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "positions")
     return joined.mapInArrow(_bitmaps, f"{schema}, n_lines long, n_dropped long, keep_bitmap binary")
 

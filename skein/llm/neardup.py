@@ -218,7 +218,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, band
     copies = signed.groupBy("s1", "s2").agg(F.min("node").alias("rep"))
     # One row for each text: the smallest node's, reduced before the shuffle.
     own = signed.groupBy("s1", "s2").agg(F.min(F.struct("node", "bands")).alias("x")).select("x.*")
-    rows = write_table(own, "bands").select(F.explode("bands").alias("k"), F.col("node").alias("doc"), F.lit(0).cast("long").alias("c"))
+    rows = write_table(own, "bands").select(F.explode("bands").alias("k"), F.col("node").alias("doc"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("c"))
     met = write_table(later_documents(rows, 2, False, "buckets").select("k", "doc", "first"), "met")
     sets = write_table(sets_of(whole, met.select(F.col("doc").alias("node")).union(met.select("first")).distinct(), weigh, bands, wide), "sets")
     stars = compared(met.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), sets)

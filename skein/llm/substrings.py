@@ -29,7 +29,7 @@ GRAM = 25
 CELLS = 1 << 26
 _SEGMENT = 1 << 20
 _SALT = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABC98388FB8FAC03))
-_ROWS = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("c", pa.int64())])
+_ROWS = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("c", pa.int64())])
 
 
 def _cells(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -113,7 +113,7 @@ def _window_rows(sketch, window: int, gram: int, cells: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
         for batch in slices(batches, 64):
-            ks, docs, cs = [], [], []
+            ks, docs, tags, cs = [], [], [], []
             for doc, tag, data in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), texts(batch.column("text"))):
                 words = word_hashes(data)
                 if len(words) < window:
@@ -130,10 +130,11 @@ def _window_rows(sketch, window: int, gram: int, cells: int):
                 at = np.flatnonzero(np.repeat(hit, np.diff(np.append(head, len(anchors)))))
                 # Only windows that can repeat are hashed in full, by two families.
                 ks.append(rolling(words, window)[at].view(np.int64))
-                cs.append(pack(rolling(words, window, "again")[at], tag, at))
+                cs.append(pack(rolling(words, window, "again")[at], at))
                 docs.append(np.full(len(at), doc, np.int64))
+                tags.append(np.full(len(at), tag, np.int64))
             if ks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ks, docs, cs)], schema=_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ks, docs, tags, cs)], schema=_ROWS)
 
     return emit
 
@@ -176,7 +177,7 @@ def remove_repeated_passages(docs: DataFrame, payload: list[str] | tuple[str, ..
     gone = by_document(later_documents(windows, 2, False, "windows"))
     own = [c for c in dict.fromkeys(["doc_id", *payload]) if c != "text"]
     whole = docs.select(*own, body().alias("text"), id_or_lowest().alias("_doc"), text_tag().alias("_tag"))
-    joined = whole.join(gone.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "positions"), ["_doc", "_tag"], "left").select(*own, "text", "positions")
+    joined = whole.join(gone.select(F.col("doc").alias("_doc"), F.col("t").alias("_tag"), "positions"), ["_doc", "_tag"], "left").select(*own, "text", "positions")
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in own)
     return joined.mapInArrow(_spans(window), f"{schema}, n_words long, n_removed long, kept string")
 

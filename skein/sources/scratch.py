@@ -29,12 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def write_table(df: DataFrame, tag: str) -> DataFrame:
+def write_table(df: DataFrame, tag: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, read again.
 
-    The table lives as long as the folder, as Spark's own checkpoint files do.
+    The table lives as long as the folder, as Spark's own checkpoint files do. A loop names
+    its last round's table in ``instead_of``, which is deleted once the new one is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skein-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.skein_path = path
+    if instead_of is not None and (old := getattr(instead_of, "skein_path", None)):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return made

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -10,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,86 +18,62 @@ from skein.llm.common import body, prefix_sums, slices, slot_count, slot_of, slo
 
 LONGEST = 1024
 END_ID = 0
-#: The most words, chunks at a line's start, and chunks after a blank that a Python worker remembers.
-_REMEMBERED = (150_000, 50_000, 250_000)
-_SPECIAL = "<|endoftext|>"
-#: Chunks of other characters send their text to the tokenizer whole: they may be white
-#: space that isn't a single blank, or letters on which Unicode tables differ.
-_ODD = re.compile("[^\x21-\x7E\xA1-\u024F\u2010-\u2027\u2030-\u205E\u20AC]")
-_tokenizers: dict[str, tuple] = {}
+# Fixed value: how a byte-level pre-tokenizer cuts a text before the merges.
+_BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters on whose class two Unicode tables could differ, or very long runs of white
+#: space, send their text to the tokenizer whole.
+_ODD = re.compile("[^\t\n\r\x20-\x7E\xA1-\u024F\u2010-\u2027\u2030-\u205E\u20AC]|[\t\n\r ]{2000}")
+_encoders: dict[str, Encoder] = {}
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> dict[str, int]:
     """Byte-level BPE writes each byte as a letter: printable Latin-1 as itself, the others from code point 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
-class _Words(dict):
-    """The ids of what the pattern cuts out, asked of the tokenizer's model when first met."""
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ids by bytes, if the tokenizer is plain byte-level BPE whose ids stand in the order of its merges; else None."""
+    model, cut, post = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("post_processor") or {"type": "ByteLevel"}
+    plain = model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    extra = spec.get("normalizer") or spec.get("truncation") or spec.get("padding") or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or extra or post.get("type") != "ByteLevel":
+        return None
+    letters, vocab = _byte_letters(), model["vocab"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if len(vocab) != 256 + len(merged) or any(vocab.get(x, 256) > 255 for x in letters) or any(vocab.get(x) != 256 + i for i, x in enumerate(merged)):
+        return None
+    return {bytes(map(letters.__getitem__, word)): i for word, i in vocab.items()}
 
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.letters = model, _byte_letters()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        self[word] = made = struct.pack(f"<{len(ids)}I", *ids)
-        return made
+class Encoder:
+    """A tokenizer file's ids. Where the file is plain byte-level BPE the same merges run in tiktoken, which is faster."""
 
-
-class _Chunks(dict):
-    """The ids of what stands between blanks, with ``before`` (nothing or a blank) before it; KeyError for odd ones."""
-
-    def __init__(self, words: _Words, pattern, before: str):
-        super().__init__()
-        self.words, self.pattern, self.before = words, pattern, before
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or _ODD.search(chunk) or _SPECIAL in chunk:
-            raise KeyError(chunk)
-        self[chunk] = made = b"".join(map(self.words.__getitem__, self.pattern.findall(self.before + chunk)))
-        return made
-
-
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer and what it made of the words and chunks seen so far; they live as long as the Python worker."""
-    if path not in _tokenizers:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
         from tokenizers import Tokenizer
 
-        # The tokenizer splits a text by this pattern and encodes each part by itself.
-        tokenizer, pattern = Tokenizer.from_file(path), regex.compile(public_tokenizers.PATTERN)
-        words = _Words(tokenizer.model)
-        _tokenizers[path] = (tokenizer, words, _Chunks(words, pattern, ""), _Chunks(words, pattern, " "))
-    return _tokenizers[path]
+        self.whole, self.fast = Tokenizer.from_file(path), None
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.added = [x["content"] for x in spec.get("added_tokens") or ()]
+        if ranks := _ranks(spec):
+            import tiktoken
 
+            self.fast = tiktoken.Encoding("own", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-def token_bytes(data: list[str], path: str) -> list[bytes]:
-    """Each text's ids, little-endian in four bytes, as the tokenizer gives them without special tokens added.
+    def ids(self, text: str) -> list[int]:
+        if self.fast is None or _ODD.search(text) or any(x in text for x in self.added):
+            return self.whole.encode(text, add_special_tokens=False).ids
+        return self.fast(text)
 
-    The pattern never cuts across a blank before, or a line feed between, printed characters.
-    So lines split at blanks give chunks that can be encoded by themselves, once for
-    all texts; a text with anything else (double blanks, other white space, rare scripts,
-    special tokens) goes to the tokenizer whole.
-    """
-    tokenizer, words, first, later = _tokenizer(path)
-    for known, most in zip((words, first, later), _REMEMBERED):
-        if len(known) > most:
-            known.clear()
-    feed = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
-    out = []
-    for text in data:
-        try:
-            lines = []
-            for line in text.split("\n"):
-                start, *rest = line.split(" ")
-                lines.append(first[start] + b"".join(map(later.__getitem__, rest)))
-            out.append(feed.join(lines))
-        except KeyError:
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-    return out
+
+def token_bytes(data: list[str], path: str) -> list[bytes]:
+    """Each text's ids, little-endian in four bytes, as the tokenizer gives them without special tokens added."""
+    if path not in _encoders:  # lives as long as the Python worker
+        _encoders[path] = Encoder(path)
+    ids = _encoders[path].ids
+    return [np.array(ids(text), "<u4").tobytes() for text in data]
 
 
 def binary_pieces(n: int, longest: int = LONGEST) -> list[tuple[int, int]]:
@@ -139,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int =
     A document is its text's ids and end_id. Its length's binary digits cut it into pieces
     of a power of two, ``longest`` at most, and each piece is a sequence: no padding, and
     no sequence crosses documents. Sequences of a length are numbered in the order of a
-    hash of (doc_id, start), by distributed prefix sums; sequence_id is that number times
+    hash of (doc_id, start, ids), by distributed prefix sums; sequence_id is that number times
     16 plus the length's exponent, so ``sequence_id % 16`` tells the bucket.
 
     Null and empty texts are the end id alone. Rows that repeat a doc_id are packed each,
@@ -147,7 +123,8 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int =
     """
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     made = docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(_pieces(tokenizer, longest, end_id, with_ids), columns)
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start").cast("binary"))
+    # The ids' checksum keeps the pieces of a repeated doc_id, or of none, from meeting in one slot.
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "ids_crc32", "doc_tokens").cast("binary"))
     pieces = write_table(made, "pieces").withColumn("key", key).withColumn("one", F.lit(1).cast("long"))
     pieces = pieces.withColumn("slot", slot_of(F.col("key"), slot_count(pieces.count())))
     numbered = prefix_sums(pieces, "length", "key", "one", ["doc_id", "start", "ids_crc32"], slot_offsets(pieces, "length", "one"))

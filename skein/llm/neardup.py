@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import body, mix, rolling, slices, texts, word_hashes, write_table
+from skein.llm.common import HOT_PARTS, body, id_or_lowest, mix, rolling, slices, spread_join, text_tag, texts, word_hashes, write_table
 from skein.llm.runs import later_documents
 from skein.operators.graph import components
 
@@ -21,8 +21,8 @@ SIMILARITY = 0.8
 BANDS, WIDE = 64, 8
 #: A pair at the threshold is ruled out by its sketches with a chance of 3 in a million.
 DEVIATIONS = 4.5
-#: Bits of the map that says whose sets are asked for: 2 MB, whatever the input.
-CELLS = 1 << 24
+#: Bits, at most, of the map that says whose sets are asked for: what is broadcast takes 32 MB at most.
+MOST_CELLS = 1 << 28
 _NEVER = np.uint64(2**64 - 1)
 _REGION, _CELL, _DART, _SLICE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 #: Chances of 0, 1, 2 ... darts in a region of area one, summed: a Poisson law of mean one.
@@ -91,14 +91,12 @@ def shingles(data: bytes, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
 def _signed(weigh: bool, bands: int, wide: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = {"s1": [], "s2": [], "bands": []}
+            nodes, keys = [], []
             for data in texts(batch.column("text")):
-                whole = xxhash.xxh3_128_intdigest(b" ".join(data.split()))
+                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(data.split())) - 2**63)
                 sh, counts = shingles(data)
-                rows["s1"].append((whole >> 64) - 2**63)
-                rows["s2"].append((whole & (2**64 - 1)) - 2**63)
-                rows["bands"].append(band_hashes(dart_minhash(sh, counts.astype(np.float64) if weigh else None, bands * wide), bands).view(np.int64) if len(sh) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "s1": pa.array(rows["s1"], pa.int64()), "s2": pa.array(rows["s2"], pa.int64()), "bands": pa.array(rows["bands"], pa.list_(pa.int64()))})
+                keys.append(band_hashes(dart_minhash(sh, counts.astype(np.float64) if weigh else None, bands * wide), bands).view(np.int64) if len(sh) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "t": batch.column("t"), "node": pa.array(nodes, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
 
     return emit
 
@@ -121,44 +119,50 @@ def sketch(signature: np.ndarray) -> np.ndarray:
 
 
 def _sets(weigh: bool, bands: int, wide: int, bits):
-    """The shingle sets of the documents whose cell is set, as 32 bits for each element, sorted; their bands and sketches."""
+    """The shingle sets of the texts whose cell is set, as 64 bits for each element, sorted; their bands and sketches. A text that repeats in the partition comes once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = np.frombuffer(bits.value, np.uint8)
+        seen: set[int] = set()
         for batch in slices(batches, 1024):
             cell = batch.column("cell").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((asked[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)))
-            sets, keys, sketches = [], [], []
-            for data in texts(batch.column("text")):
+            tags, sets, keys, sketches = [], [], [], []
+            for tag, data in zip(batch.column("t").to_pylist(), texts(batch.column("text"))):
+                if tag in seen:
+                    continue
+                seen.add(tag)
                 sh, counts = shingles(data)
                 signature = dart_minhash(sh, counts.astype(np.float64) if weigh else None, bands * wide)
-                sets.append(np.repeat((sh >> np.uint64(32)).astype(np.uint32), counts if weigh else 1).tobytes())
+                tags.append(tag)
+                sets.append((np.repeat(sh, counts) if weigh else sh).tobytes())
                 keys.append(band_hashes(signature, bands).view(np.int64))
                 sketches.append(sketch(signature).view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "s": pa.array(sets, pa.binary()), "bands": pa.array(keys, longs), "sketch": pa.array(sketches, longs)})
+            yield pa.RecordBatch.from_pydict({"t": pa.array(tags, pa.int64()), "s": pa.array(sets, pa.binary()), "bands": pa.array(keys, longs), "sketch": pa.array(sketches, longs)})
 
     return emit
 
 
-def sets_of(texts_: DataFrame, involved: DataFrame, weigh: bool, bands: int, wide: int) -> DataFrame:
-    """(node, s, bands, sketch) of the involved nodes, with no text moved: a bitmap of fixed size drops most others where they are read."""
-    cell = F.pmod(F.xxhash64("node"), F.lit(CELLS))
+def sets_of(whole: DataFrame, involved: DataFrame, weigh: bool, bands: int, wide: int) -> DataFrame:
+    """(node, s, bands, sketch) of the involved (node, t), with no text moved: a bitmap of bounded size drops most others where they are read."""
+    cells = min(MOST_CELLS, max(1 << 20, 1 << (8 * involved.count()).bit_length()))
+    cell = F.pmod(F.xxhash64("t"), F.lit(cells))
     # Buckets and bits are counted from value 1 on.
     marks = involved.select((cell + 1).alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-    whole = np.zeros(CELLS // 8, np.uint8)
-    for x in marks.collect():  # CELLS / 8 bytes at most
-        whole[(x.bucket - 1) * 4096 : x.bucket * 4096] = np.frombuffer(x.bits, np.uint8)
-    bits = texts_.sparkSession.sparkContext.broadcast(whole.tobytes())
-    found = texts_.select("node", "text", cell.alias("cell")).mapInArrow(_sets(weigh, bands, wide, bits), "node long, s binary, bands array<long>, sketch array<long>")
-    return found.join(involved, "node", "left_semi").distinct()
+    asked = np.zeros(cells // 8, np.uint8)
+    for x in marks.collect():  # cells / 8 bytes at most
+        asked[(x.bucket - 1) * 4096 : x.bucket * 4096] = np.frombuffer(x.bits, np.uint8)
+    bits = whole.sparkSession.sparkContext.broadcast(asked.tobytes())
+    found = whole.select("t", "text", cell.alias("cell")).mapInArrow(_sets(weigh, bands, wide, bits), "t long, s binary, bands array<long>, sketch array<long>")
+    return found.join(involved, "t").drop("t").dropDuplicates(["node"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 512):
         na, nb, both = [], [], []
         for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             na.append(len(x))
             nb.append(len(y))
             both.append(_overlap(x, y))
@@ -166,9 +170,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both): the sizes of two sets and of what they share."""
+    """(a, b, na, nb, both): the sizes of two sets and of what they share; pairs is a written table, and a text of very many pairs is spread."""
     left, right = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_compare, "a long, b long, na long, nb long, both long")
+    return spread_join(spread_join(pairs, left, ["a"]), right, ["b"]).mapInArrow(_compare, "a long, b long, na long, nb long, both long")
 
 
 def _linked(similarity: float):
@@ -194,57 +198,99 @@ def _may_link(similarity: float, k: int):
     return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (unlike <= most)
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, wide: int = WIDE, weigh: bool = False) -> DataFrame:
-    """(doc_id, class_id), a row for each document; class_id is the smallest doc_id of the class.
-
-    Two documents are linked if the Jaccard similarity of their sets of five-word shingles
-    is at least ``similarity`` (weigh: of the multisets); classes are what links connect.
-    Words are what ASCII white space separates, unchanged. A text of fewer than five words
-    has one shingle, of all its words; texts of the same words in the same order are
-    copies, empty and null ones among them, and one of them stands for all from then on.
-
-    Candidates share a band of DartMinHash signatures; each is verified exactly. In every
-    band's bucket all are first compared with the smallest. Where these links leave a
-    bucket in several classes, pairs of the others are compared too, unless they are of one
-    class already or their sketches (four bits of each coordinate) rule them out. No bucket
-    is collected.
-
-    A null doc_id is replaced by a hash of its text, above 2**62. Rows that repeat a doc_id
-    fall into one class. No rows: no rows. Other columns are ignored.
-    """
-    node = F.coalesce(F.col("doc_id").cast("long"), F.expr("(xxhash64(text) & 4611686018427387903L) | 4611686018427387904L"))
-    whole = docs.select("doc_id", body().alias("text")).select(node.alias("node"), "text")
-    signed = write_table(whole.mapInArrow(_signed(weigh, bands, wide), "node long, s1 long, s2 long, bands array<long>"), "signed")
-    copies = signed.groupBy("s1", "s2").agg(F.min("node").alias("rep"))
-    # One row for each text: the smallest node's, reduced before the shuffle.
-    own = signed.groupBy("s1", "s2").agg(F.min(F.struct("node", "bands")).alias("x")).select("x.*")
-    rows = write_table(own, "bands").select(F.explode("bands").alias("k"), F.col("node").alias("doc"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("c"))
+def _classes(docs: DataFrame, similarity: float, bands: int, wide: int, weigh: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, t, node), a row for each document, and (node, root, low): each text's class and the smallest id in it, null if it has none."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), text_tag().alias("t"), body().alias("text"))
+    signed = write_table(whole.mapInArrow(_signed(weigh, bands, wide), "id long, t long, node long, bands array<long>"), "signed")
+    # One row for each text, reduced before the shuffle; node is a hash of its words.
+    own = signed.groupBy("node").agg(F.min(F.struct("t", "bands")).alias("x"), F.min("id").alias("low"))
+    own = write_table(own.select("node", "low", "x.t", "x.bands"), "texts")
+    rows = own.select(F.explode("bands").alias("k"), F.col("node").alias("doc"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("c"))
     met = write_table(later_documents(rows, 2, False, "buckets").select("k", "doc", "first"), "met")
-    sets = write_table(sets_of(whole, met.select(F.col("doc").alias("node")).union(met.select("first")).distinct(), weigh, bands, wide), "sets")
-    stars = compared(met.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), sets)
-    links = write_table(stars.where(_linked(similarity)).select("a", "b"), "links")
+    involved = met.select(F.col("doc").alias("node")).union(met.select("first")).distinct().join(own.select("node", "t"), "node")
+    sets = write_table(sets_of(whole, write_table(involved, "involved"), weigh, bands, wide), "sets")
+    known = sets.select(F.col("node").alias("doc"), (F.octet_length("s") / 8).alias("n"), "bands", "sketch")
+    # First every text beside one: the smallest it shares a band with.
+    pairs = write_table(met.groupBy(F.col("doc").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), "pairs")
+    links = write_table(compared(pairs, sets).where(_linked(similarity)).select("a", "b"), "links")
     root = components(links)
-    # What is left: buckets of several classes.
-    members = met.select("k", "doc").join(root.select(F.col("node").alias("doc"), "root"), "doc", "left").select("k", "doc", F.coalesce("root", "doc").alias("root"))
+    # Then, in the buckets that this leaves in several classes, all beside the smallest; then pairs of the others.
+    for pairs_of in (_star_pairs, _apart_pairs):
+        apart = write_table(_in_split_buckets(met, root).join(known, "doc"), "apart")
+        pairs = write_table(pairs_of(apart, similarity, bands * wide), "pairs")
+        if not pairs.isEmpty():
+            links = write_table(links.unionAll(compared(pairs, sets).where(_linked(similarity)).select("a", "b")), "links")
+            root = components(links)
+    placed = own.select("node", "low").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
+    lowest = placed.groupBy("root").agg(F.min("low").alias("low"))
+    return signed.select("id", "t", "node"), placed.select("node", "root").join(lowest, "root")
+
+
+def _in_split_buckets(met: DataFrame, root: DataFrame) -> DataFrame:
+    """(k, doc, first, root) of the buckets whose texts are of several classes, by what is linked so far."""
+    members = met.unionAll(met.select("k", F.col("first").alias("doc"), "first").distinct())
+    members = members.join(root.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     split = members.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k")
-    known = sets.select(F.col("node").alias("doc"), (F.octet_length("s") / 4).alias("n"), "bands", "sketch")
-    apart = write_table(members.join(split, "k", "left_semi").join(known, "doc"), "apart")
+    return members.join(split, "k", "left_semi")
+
+
+def _star_pairs(apart: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(a, b): the smallest of a bucket, and each of it that is of another class and that sketches don't rule out."""
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc", "root", "n", "sketch")]
+    centre = apart.where("doc = first").select("k", *side("a"))
+    pairs = spread_join(apart.where("doc <> first").select("k", *side("b")), centre, ["k"]).where("root_a <> root_b")
+    return pairs.where(_may_link(similarity, k)).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+
+
+def _apart_pairs(apart: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(a, b) of one bucket but of different classes that sketches don't rule out; a bucket of very many is dealt over several tasks."""
     left, right = (apart.select("k", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "root", "n", "bands", "sketch")]) for x in "ab")
+    least = -(-apart.count() // HOT_PARTS) + 1
+    hot = F.broadcast(apart.groupBy("k").agg(F.count("*").alias("_n")).where(F.col("_n") > least).select("k", F.ceil(F.col("_n") / least).alias("_parts")))  # under HOT_PARTS rows
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    left = left.join(hot, "k", "left").withColumn("_salt", F.pmod(F.col("doc_a"), parts)).drop("_parts")
+    right = right.join(hot, "k", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
     # A pair is taken up in the first band that it shares, so once.
     same = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True)
-    more = left.join(right, (left.k == right.k) & F.expr("doc_a < doc_b and root_a <> root_b") & _may_link(similarity, bands * wide) & (same == F.array_position("bands_a", left.k)))
-    more = write_table(more.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), "more")
-    if not more.isEmpty():
-        root = components(links.unionAll(compared(more, sets).where(_linked(similarity)).select("a", "b")))
-    placed = signed.select("node", "s1", "s2").join(copies, ["s1", "s2"]).join(root.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return placed.select(F.col("node").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
+    taken = F.expr("doc_a < doc_b and root_a <> root_b") & _may_link(similarity, k) & (same == F.array_position("bands_a", left.k))
+    more = left.join(right, (left.k == right.k) & (left._salt == right._salt) & taken)
+    return more.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, wide: int = WIDE, weigh: bool = False) -> DataFrame:
+    """(doc_id, class_id), a row for each document; class_id is the smallest doc_id of the class.
+
+    Two documents are linked if the Jaccard similarity of their sets of five-word shingles
+    is at least ``similarity`` (weigh: of the multisets, each shingle weighted by its count);
+    classes are what links connect. Words are what ASCII white space separates, unchanged. A
+    text of fewer than five words has one shingle, of all its words; texts of the same words
+    in the same order are copies, empty and null ones among them, and one of them stands for
+    all from then on.
+
+    Candidates share a band of DartMinHash signatures; each is verified by its whole sets.
+    Every text is first compared with the smallest it shares a band with. Where these links
+    leave a band's bucket in several classes, all are compared with the bucket's smallest, and
+    where it is still in several, with each other, unless they are of one class already or
+    their sketches (four bits of each coordinate) rule them out. No bucket is collected.
+
+    A null doc_id stays null; a class without any id has a hash, below zero, as class_id.
+    Rows that repeat a doc_id are documents of their own, in the classes of their texts. No
+    rows: no rows. Other columns are ignored.
+    """
+    rows, classes = _classes(docs, similarity, bands, wide, weigh)
+    named = F.coalesce("low", -F.shiftrightunsigned("root", 1) - 1)
+    return spread_join(rows, classes.select("node", named.alias("class_id")), ["node"]).select(F.col("id").alias("doc_id"), "class_id")
 
 
 def keep_one(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """One document of each class: the one of the smallest doc_id; the rest unchanged."""
-    node = F.coalesce(F.col("doc_id").cast("long"), F.expr("(xxhash64(coalesce(text, '')) & 4611686018427387903L) | 4611686018427387904L"))
-    firsts = near_duplicate_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_node")).distinct()
-    return docs.select(*columns, node.alias("_node")).join(firsts, "_node").dropDuplicates(["_node"]).select(*columns)
+    """One document of each class, unchanged: the one of the smallest doc_id, without any if no other; of its texts the one of the smallest hash."""
+    rows, classes = _classes(docs, SIMILARITY, BANDS, WIDE, False)
+    placed = spread_join(rows, classes.select("node", "root"), ["node"])
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "t")).alias("x"))
+    best = best.select(id_or_lowest("x.id").alias("_id"), F.col("x.t").alias("_t"))
+    # Rows of one id and text are reduced to one before they are shuffled.
+    distinct = docs.select(*columns, id_or_lowest().alias("_id"), text_tag().alias("_t")).dropDuplicates(["_id", "_t"])
+    return distinct.join(best, ["_id", "_t"], "left_semi").select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from skein.llm.runs import ROWS, by_document, later_documents, pack
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
+_OWN = ("text", "n_lines", "n_dropped", "keep_bitmap")
 _EDGE = b" \t\n\x0b\x0c\r"
 _ROWS = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("c", pa.int64())])
 
@@ -62,6 +63,17 @@ def kept_text(data: bytes, n_lines: int, n_dropped: int, bitmap: bytes) -> bytes
     return b"\n".join(line for line, k in zip(data.split(b"\n"), keep) if k)
 
 
+def _marked(docs: DataFrame, payload: list[str], min_length: int, min_documents: int) -> DataFrame:
+    """The payload as _p0, _p1 ..., then text, n_lines, n_dropped and keep_bitmap."""
+    rows = docs.select(id_or_lowest().alias("doc"), text_tag().alias("tag"), body().alias("text"))
+    gone = by_document(later_documents(rows.mapInArrow(_line_rows(min_length), ROWS), min_documents, True, "lines"))
+    own = [F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(payload)]
+    whole = docs.select(*own, body().alias("text"), id_or_lowest().alias("_doc"), text_tag().alias("_tag"))
+    joined = whole.join(gone.select(F.col("doc").alias("_doc"), F.col("t").alias("_tag"), "positions"), ["_doc", "_tag"], "left").drop("_doc", "_tag")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "positions")
+    return joined.mapInArrow(_bitmaps, f"{schema}, n_lines long, n_dropped long, keep_bitmap binary")
+
+
 def line_keep_bitmaps(docs: DataFrame, payload: list[str] | tuple[str, ...] = (), min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """doc_id, payload, text, n_lines, n_dropped and keep_bitmap (zlib of one bit for each line, 1: stays).
 
@@ -71,29 +83,26 @@ def line_keep_bitmaps(docs: DataFrame, payload: list[str] | tuple[str, ...] = ()
 
     Null or empty texts are one empty line, which stays. A null doc_id counts as one
     document, below all others. Rows that repeat a doc_id are parts of one document; each
-    gets its own bitmap. No rows: no rows. Only payload is carried of other columns.
+    gets its own bitmap. No rows: no rows. Of other columns only payload is carried, and of
+    that not what is called text, n_lines, n_dropped or keep_bitmap.
     """
-    rows = docs.select(id_or_lowest().alias("doc"), text_tag().alias("tag"), body().alias("text"))
-    gone = by_document(later_documents(rows.mapInArrow(_line_rows(min_length), ROWS), min_documents, True, "lines"))
-    own = [c for c in dict.fromkeys(["doc_id", *payload]) if c != "text"]
-    # A text keeps its own copy under names that no payload has.
-    whole = docs.select(*own, body().alias("text"), id_or_lowest().alias("_doc"), text_tag().alias("_tag"))
-    joined = whole.join(gone.select(F.col("doc").alias("_doc"), F.col("t").alias("_tag"), "positions"), ["_doc", "_tag"], "left").select(*own, "text", "positions")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "positions")
-    return joined.mapInArrow(_bitmaps, f"{schema}, n_lines long, n_dropped long, keep_bitmap binary")
+    own = [c for c in dict.fromkeys(["doc_id", *payload]) if c not in _OWN]
+    return _marked(docs, own, min_length, min_documents).toDF(*own, *_OWN)
 
 
 def drop_lines(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs without the dropped lines; n_chars, if it is there, follows the text."""
-    marked = line_keep_bitmaps(docs, [c for c in columns if c not in ("doc_id", "text")])
+    """docs without the dropped lines, with the given columns; n_chars, if it is there, follows the text."""
+    carried = [c for c in columns if c != "text"]
+    marked = _marked(docs, carried, MIN_LENGTH, MIN_DOCUMENTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            kept = [kept_text(*x).decode("utf-8", "replace") for x in zip(texts(batch.column("text")), *(batch.column(c).to_pylist() for c in ("n_lines", "n_dropped", "keep_bitmap")))]
-            yield pa.RecordBatch.from_pydict({c: pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in columns})
+            kept = [kept_text(*x).decode("utf-8", "replace") for x in zip(texts(batch.column("text")), *(batch.column(c).to_pylist() for c in _OWN[1:]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(kept, pa.string())], names=[*batch.schema.names[: len(carried)], "text"])
 
-    out = marked.mapInArrow(cut, ", ".join(f"`{c}` {marked.schema[c].dataType.simpleString()}" for c in columns))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else out
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema[: len(carried) + 1])
+    out = marked.mapInArrow(cut, schema).toDF(*carried, "text")
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

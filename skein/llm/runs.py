@@ -54,24 +54,42 @@ def _stream(min_docs: int):
         yield out(_SUMMARY, k[:1], c[:1], doc[:1], t[:1], docs[:1], doc[-1:])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = [np.zeros(0, np.int64)] * 4, True
+        held: list[list[np.ndarray]] = []  # parts of the run that is still open
+        first = True
+
+        def ended():
+            nonlocal first
+            whole = [np.concatenate(x) for x in zip(*held)]
+            if first:
+                first = False
+                return leave_open(*whole)
+            return [decide(*whole)]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.concatenate([a, batch.column(name).to_numpy(zero_copy_only=False)]) for a, name in zip(held, ("k", "c", "doc", "t"))]
+            now = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("k", "c", "doc", "t")]
+            if held:
+                k, c = (held[-1][x][-1] for x in (0, 1))
+                other = np.flatnonzero((now[0] != k) | (now[1] >> 48 != c >> 48))
+                lead = int(other[0]) if len(other) else len(now[0])
+                if lead:
+                    held.append([x[:lead] for x in now])
+                if lead == len(now[0]):
+                    continue
+                yield from ended()
+                now = [x[lead:] for x in now]
             start = runs(*now[:3])[0]
-            cut = start[-1]
-            if first and cut:  # the partition's first run has ended
-                end = start[1]
-                yield from leave_open(*[a[:end] for a in now])
-                first = False
-                if end < cut:
-                    yield decide(*[a[end:cut] for a in now])
-            elif cut:
-                yield decide(*[a[:cut] for a in now])
-            held = [a[cut:] for a in now]
-        if len(held[0]):
-            yield from leave_open(*held)
+            if first and len(start) > 1:  # the partition's first run has ended
+                held = [[x[: start[1]] for x in now]]
+                yield from ended()
+                now = [x[start[1] :] for x in now]
+                start = start[1:] - start[1]
+            if cut := start[-1]:
+                yield decide(*[x[:cut] for x in now])
+            held = [[x[cut:] for x in now]]
+        if held:
+            yield from leave_open(*[np.concatenate(x) for x in zip(*held)])
 
     return stream
 

@@ -11,29 +11,35 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import body, id_or_lowest, mix, rolling, slices, text_tag, texts, word_hashes
+from skein.llm.common import body, id_or_lowest, mix, rolling, slices, text_tag, texts, word_hashes, write_table
 from skein.llm.runs import ROWS, by_document, later_documents, pack
 
 WINDOW = 50
+_OWN = ("n_words", "n_removed", "kept")
 #: A window is counted under the smallest-hashed run of this many words in it. Equal
 #: windows share that run, so its count is never below the window's; neighbouring
 #: windows mostly share it too, which leaves about one in thirteen positions to count.
 GRAM = 25
-#: Counters in each of the sketch's two rows. The merged sketch keeps one bit a counter
-#: (two or more?), so what is broadcast is 2 * CELLS / 8 bytes, whatever the input.
-CELLS = 1 << 26
-_SEGMENT = 1 << 20
+#: Counters in each of the sketch's two rows, at most, as bits. There are about four for each
+#: distinct run that was counted; the merged sketch keeps one bit a counter (two or more?), so
+#: what is broadcast is 128 MB at most, whatever the input.
+MOST_BITS = 29
+#: The sketch is merged in so many parts for each row, by the first bits of the cell.
+_PART_BITS = 8
+_LEAST_BITS = _PART_BITS + 3
+#: Touched cells that a task holds before it sends them on.
+_HELD = 1 << 24
 _SALT = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABC98388FB8FAC03))
 _ROWS = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("c", pa.int64())])
 
 
-def _cells(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return mix(anchors ^ _SALT[row]) & np.uint64(cells - 1)
+def _cells(anchors: np.ndarray, row: int) -> np.ndarray:
+    """32 bits for each run; a sketch of fewer cells takes the first bits."""
+    return (mix(anchors ^ _SALT[row]) >> np.uint64(32)).astype(np.uint32)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -51,67 +57,92 @@ def _anchors(words: np.ndarray, window: int, gram: int) -> np.ndarray:
     return _sliding_min(rolling(words, gram), window - gram + 1)
 
 
-def _sketch(window: int, gram: int, cells: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        seen: list[list[np.ndarray]] = [[], []]
+def _sketch(window: int, gram: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint32)
+        once, more, new = [none, none], [none, none], [[], []]
+
+        def fold():
+            for row in (0, 1):
+                once[row], count = np.unique(np.concatenate([once[row], *new[row]]), return_counts=True)
+                more[row] = np.union1d(more[row], once[row][count > 1])
+                new[row] = []
+
         for batch in slices(batches):
             for data in texts(batch.column("text")):
                 words = word_hashes(data)
                 if len(words) >= window:
                     anchors = np.unique(_anchors(words, window, gram))  # a document counts once
                     for row in (0, 1):
-                        seen[row].append(_cells(anchors, row, cells).astype(np.uint32))
-            if sum(map(len, seen[0])) > 4096 or sum(x.nbytes for x in seen[0]) > 1 << 26:
-                yield from pack_up(seen)
-                seen = [[], []]
-        yield from pack_up(seen)
-
-    def pack_up(seen: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """This partition's counters, capped at two, by segment: the touched cells, and those touched again."""
+                        new[row].append(_cells(anchors, row))
+            if sum(map(len, new[0])) > max(1 << 20, len(once[0])):
+                fold()
+            if len(once[0]) > _HELD:
+                yield from pack_up(once, more)
+                once, more = [none, none], [none, none]
+        fold()
+        yield from pack_up(once, more)
+
+    def pack_up(once: list[np.ndarray], more: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """This task's counters, capped at two, by part: the touched cells, and those touched again."""
+        shift = np.uint32(32 - _PART_BITS)
         for row in (0, 1):
-            if not seen[row]:
-                continue
-            all_cells = np.sort(np.concatenate(seen[row]))
-            cell, count = np.unique(all_cells, return_counts=True)
-            segment = cell // _SEGMENT
-            for s in np.unique(segment):
-                at = segment == s
-                inside = (cell[at] % _SEGMENT).astype(np.uint32)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([row * 4096 + int(s)], pa.int32()), "once": pa.array([inside.tobytes()], pa.binary()), "more": pa.array([inside[count[at] > 1].tobytes()], pa.binary())})
+            parts = np.unique(once[row] >> shift)
+            borders = np.append(parts, np.uint32(1 << _PART_BITS)).astype(np.int64) << (32 - _PART_BITS)
+            ends = [np.searchsorted(x.astype(np.int64), borders) for x in (once[row], more[row])]
+            cut = [[x[a:b].tobytes() for a, b in zip(at, at[1:])] for x, at in zip((once[row], more[row]), ends)]
+            if len(parts):
+                yield pa.RecordBatch.from_pydict({"part": pa.array(row * (1 << _PART_BITS) + parts.astype(np.int32), pa.int32()), "n": pa.array([len(x) // 4 for x in cut[0]], pa.int64()), "once": pa.array(cut[0], pa.binary()), "more": pa.array(cut[1], pa.binary())})
 
     return emit
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds the partitions' counters; one bit a cell says whether two or more came."""
-    count = np.zeros(_SEGMENT, np.uint8)
-    for once, more in zip(pdf.once, pdf.more):
-        for cells in (once, more):
-            at = np.frombuffer(cells, np.uint32)
-            count[at] = np.minimum(count[at] + 1, 2)
-    return pd.DataFrame({"part": [pdf.part.iloc[0]], "bits": [zlib.compress(np.packbits(count > 1).tobytes(), 1)]})
+def _merge(bits: int):
+    """Adds the tasks' counters of each part, one after another; one bit a cell says whether two or more came."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, shift = 1 << (bits - _PART_BITS), np.uint32(32 - bits)
+        part, count = None, np.zeros(size, np.uint8)
+        done = lambda: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(count > 1).tobytes(), 1)], pa.binary())})
+        for batch in batches:
+            for now, *both in zip(*(batch.column(c).to_pylist() for c in ("part", "once", "more"))):
+                if now != part:
+                    if part is not None:
+                        yield done()
+                    part, count = now, np.zeros(size, np.uint8)
+                for cells in both:
+                    at, n = np.unique((np.frombuffer(cells, np.uint32) >> shift) & np.uint32(size - 1), return_counts=True)
+                    count[at] = np.minimum(count[at] + np.minimum(n, 2), 2)
+        if part is not None:
+            yield done()
+
+    return emit
 
 
-def repeat_sketch(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS) -> list[np.ndarray]:
-    """The merged sketch, as two bitmaps: may a run of words be in two documents?
+def repeat_sketch(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, most_bits: int = MOST_BITS) -> tuple[list[np.ndarray], int]:
+    """The merged sketch, as two bitmaps and their size in bits: may a run of words be in two documents?
 
-    cells bounds what reaches the driver and is broadcast again; where the input outgrows
-    it the sketch lets more windows through to the exact pass and still loses none.
+    Every task merges what it reads; the parts of all tasks are then added up as they stream
+    by, so no worker holds more than one part of one sketch. The number of cells
+    follows the number of runs counted, up to most_bits; past that the sketch lets more windows
+    through to the exact pass and still loses none.
     """
-    parts = rows.select("text").mapInArrow(_sketch(window, gram, cells), "part int, once binary, more binary")
-    merged = parts.groupBy("part").applyInPandas(_merge, "part int, bits binary").collect()  # 2 * cells / 8 bytes at most
-    bits = [np.zeros(cells // 8, np.uint8) for _ in range(2)]
+    parts = write_table(rows.select("text").mapInArrow(_sketch(window, gram), "part int, n long, once binary, more binary"), "sketches")
+    counted = parts.agg(F.sum("n")).first()[0] or 0
+    bits = min(most_bits, max(_LEAST_BITS, int(2 * counted).bit_length()))
+    dealt = parts.repartition("part").sortWithinPartitions("part")
+    merged = dealt.mapInArrow(_merge(bits), "part int, bits binary").collect()  # 2 * 2**bits / 8 bytes at most
+    maps = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
+    size = (1 << bits) // 8 >> _PART_BITS
     for x in merged:
-        row, segment = divmod(x.part, 4096)
-        own = np.frombuffer(zlib.decompress(x.bits), np.uint8)
-        room = bits[row][segment * _SEGMENT // 8 : (segment + 1) * _SEGMENT // 8]
-        room[:] = own[: len(room)]
-    return bits
+        row, part = divmod(x.part, 1 << _PART_BITS)
+        maps[row][part * size : (part + 1) * size] = np.frombuffer(zlib.decompress(x.bits), np.uint8)
+    return maps, bits
 
 
-def _window_rows(sketch, window: int, gram: int, cells: int):
+def _window_rows(sketch, window: int, gram: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sketch.value
+        maps, bits = sketch.value
         for batch in slices(batches, 64):
             ks, docs, tags, cs = [], [], [], []
             for doc, tag, data in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), texts(batch.column("text"))):
@@ -123,8 +154,8 @@ def _window_rows(sketch, window: int, gram: int, cells: int):
                 head = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
                 hit = np.ones(len(head), bool)
                 for row in (0, 1):
-                    cell = _cells(anchors[head], row, cells).astype(np.int64)
-                    hit &= (bits[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+                    cell = (_cells(anchors[head], row) >> np.uint32(32 - bits)).astype(np.int64)
+                    hit &= (maps[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
                 if not hit.any():
                     continue
                 at = np.flatnonzero(np.repeat(hit, np.diff(np.append(head, len(anchors)))))
@@ -159,7 +190,7 @@ def _spans(window: int):
     return emit
 
 
-def remove_repeated_passages(docs: DataFrame, payload: list[str] | tuple[str, ...] = (), window: int = WINDOW, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, payload: list[str] | tuple[str, ...] = (), window: int = WINDOW, gram: int = GRAM, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, payload, n_words, n_removed and kept: the words that stay, one space between them.
 
     A window is ``window`` consecutive words of one document, a word what ASCII white space
@@ -169,17 +200,19 @@ def remove_repeated_passages(docs: DataFrame, payload: list[str] | tuple[str, ..
 
     Null, empty and short texts have no window and lose nothing. A null doc_id is below all
     others. Rows that repeat a doc_id are one document and don't take from each other.
-    No rows: no rows. Only payload is carried of other columns.
+    No rows: no rows. Of other columns only payload is carried, and of that not what is
+    called text, n_words, n_removed or kept.
     """
     rows = docs.select(id_or_lowest().alias("doc"), text_tag().alias("tag"), body().alias("text"))
-    sketch = docs.sparkSession.sparkContext.broadcast(repeat_sketch(rows, window, gram, cells))
-    windows = rows.mapInArrow(_window_rows(sketch, window, gram, cells), ROWS)
+    sketch = docs.sparkSession.sparkContext.broadcast(repeat_sketch(rows, window, gram, most_bits))
+    windows = rows.mapInArrow(_window_rows(sketch, window, gram), ROWS)
     gone = by_document(later_documents(windows, 2, False, "windows"))
-    own = [c for c in dict.fromkeys(["doc_id", *payload]) if c != "text"]
+    names = [c for c in dict.fromkeys(["doc_id", *payload]) if c not in ("text", *_OWN)]
+    own = [F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(names)]
     whole = docs.select(*own, body().alias("text"), id_or_lowest().alias("_doc"), text_tag().alias("_tag"))
-    joined = whole.join(gone.select(F.col("doc").alias("_doc"), F.col("t").alias("_tag"), "positions"), ["_doc", "_tag"], "left").select(*own, "text", "positions")
-    schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in own)
-    return joined.mapInArrow(_spans(window), f"{schema}, n_words long, n_removed long, kept string")
+    joined = whole.join(gone.select(F.col("doc").alias("_doc"), F.col("t").alias("_tag"), "positions"), ["_doc", "_tag"], "left").drop("_doc", "_tag")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema[: len(own)])
+    return joined.mapInArrow(_spans(window), f"{schema}, n_words long, n_removed long, kept string").toDF(*names, *_OWN)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from skein.llm.common import WORD, body, prefix_sums, slot_count, slot_of, slot_
 
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
+_OWN = ("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -37,27 +38,17 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
 
 
 def _sized(docs: DataFrame, payload: list[str]) -> DataFrame:
+    """doc_id, source, the payload as _p0, _p1 ..., and what orders and weighs the documents."""
     return docs.select(
-        "doc_id", "source", *payload,
+        "doc_id", "source", *[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(payload)],
         F.concat(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce("source", F.lit(""))).alias("skey"),
         F.regexp_count(body(), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias("key"),
+        F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(body().cast("binary"))).cast("binary")).alias("key"),
     )
 
 
-def mix_sources(docs: DataFrame, payload: list[str] | tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """How many words of each document the mix takes: doc_id, source, payload, size, source_size, target, taken.
-
-    Each source's documents stand in the order of md5(doc_id); prefix sums of their sizes
-    are built from sums over equal ranges of that key, so no source is ordered in one task.
-    The source's budget is its target, rounded: whole epochs of all its documents, then
-    documents from the start of the order, and of the one at the cut the words that are left.
-
-    Null or empty texts have size 0 and take 0. A null source is a source of its own,
-    the last; "" is another. Rows that repeat a doc_id are documents of their own, ordered
-    by size. No rows: no rows. Other columns are ignored unless named in payload.
-    """
-    payload = list(payload)
+def _placed(docs: DataFrame, payload: list[str], weights: tuple[int, ...], most: int) -> DataFrame:
+    """doc_id, source, _p0, _p1 ..., size, source_size, target, taken."""
     sized = write_table(_sized(docs, []), "sizes")
     slots = slot_count(sized.count())
     slotted = sized.withColumn("slot", slot_of(F.col("key"), slots))
@@ -70,7 +61,26 @@ def mix_sources(docs: DataFrame, payload: list[str] | tuple[str, ...] = (), weig
     placed = placed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     rest = budget - F.col("epochs") * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
-    return placed.select("doc_id", "source", *payload, "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    taken = (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
+    return placed.select("doc_id", "source", *[f"_p{i}" for i in range(len(payload))], "size", "source_size", "target", taken)
+
+
+def mix_sources(docs: DataFrame, payload: list[str] | tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """How many words of each document the mix takes: doc_id, source, payload, size, source_size, target, taken.
+
+    Each source's documents stand in the order of a hash of doc_id and text; prefix sums of their
+    sizes are built from sums over equal ranges of that key, so no source is ordered in one task.
+    The source's budget is its target, rounded: whole epochs of all its documents, then
+    documents from the start of the order, and of the one at the cut the words that are left.
+
+    Null or empty texts have size 0 and take 0. A null source is a source of its own,
+    the last; "" is another. Rows that repeat a doc_id are documents of their own; those that
+    repeat its text too are alike, so whichever is cut, the words are the same. No rows: no
+    rows. Of other columns only payload is carried, and of that not what has the name of
+    a column that is given anyway.
+    """
+    own = [c for c in dict.fromkeys(payload) if c not in _OWN]
+    return _placed(docs, own, weights, most).toDF("doc_id", "source", *own, *_OWN[2:])
 
 
 def repeat_taken(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,14 +88,16 @@ def repeat_taken(docs: DataFrame, columns: list[str]) -> DataFrame:
 
     Documents of which nothing is taken go. n_chars, if it is there, follows the text.
     """
-    mixed = mix_sources(docs, [c for c in columns if c not in ("doc_id", "source")])
+    carried = [c for c in columns if c not in ("doc_id", "source", "text")]
+    mixed = _placed(docs, ["text", *carried], WEIGHTS, MOST_EPOCHS)
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     rows = mixed.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     left = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("long")
-    rows = rows.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(first_words(F.col("text"), left)))
+    text = F.when(left >= F.col("size"), F.col("_p0")).otherwise(first_words(F.col("_p0"), left))
+    named = {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": F.col("_text")} | {c: F.col(f"_p{i + 1}") for i, c in enumerate(carried)}
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*columns)
+        named["n_chars"] = F.length("_text").cast("long")
+    return rows.withColumn("_text", text).select(*[named[c].alias(c) for c in columns])
 
 
 def first_words(text, n):
@@ -101,7 +113,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+         md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', md5(coalesce(text, '')))) AS key
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (

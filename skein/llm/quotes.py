@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import body, write_table
+from skein.llm.common import body, spread_join, write_table
 
 #: What stands before a quoted line: a mark for each level.
 _MARKS = r"^(?:[ \t]*>)+"
@@ -17,55 +17,83 @@ def normalised(line: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Adds lines: level (quote marks before it), content without marks, and the hash of the normalised content."""
+    """Adds lines, (level, content, norm) each, and passages: runs of lines of one level that aren't blank.
+
+    A passage has its level and its lines' normalised contents.
+    """
     one = lambda x: F.struct(
         F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 0), "[^>]", "")).alias("level"),
         F.regexp_replace(x, _MARKS, "").alias("content"),
+        normalised(F.regexp_replace(x, _MARKS, "")).alias("norm"),
     )
-    lines = F.transform(F.split(body(), "\n"), one)
-    return messages.withColumn("lines", F.transform(lines, lambda x: F.struct(x.level.alias("level"), x.content.alias("content"), F.md5(normalised(x.content).cast("binary")).alias("hash"))))
+    lines = messages.withColumn("lines", F.transform(F.split(body(), "\n"), one))
+    starts = F.expr("filter(sequence(0, size(lines) - 1), i -> i = 0 or lines[i].level <> lines[i - 1].level or (lines[i].norm = '') <> (lines[i - 1].norm = ''))")
+    runs = F.expr("transform(starts, (s, j) -> slice(lines, s + 1, coalesce(get(starts, j + 1), size(lines)) - s))")
+    told = F.expr("transform(filter(runs, r -> r[0].norm <> ''), r -> struct(r[0].level as level, r.norm as norms))")
+    return lines.withColumn("starts", starts).withColumn("runs", runs).withColumn("passages", told).drop("starts", "runs")
+
+
+def _hash(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
 
 
 def link_quotations(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quoted lines), n_quoted, n_linked, reply_to, thread_turn, depth.
 
-    A line that begins with ">" is quoted, at as many levels as it has marks. Every quoted
-    line is a passage; normalised and hashed, it is joined to the first message of its conversation that
-    says it itself, and counts if that one is earlier (n_linked, whatever the level).
-    reply_to is the turn that most of the passages at level one come from, the latest of
+    A line that begins with ">" is quoted, at as many levels as it has marks. Quoted lines of
+    one level that follow one another, blank ones aside, are a passage. Normalised and
+    hashed, its lines as one text, it is joined to the first message of its conversation that
+    says it as a paragraph of its own; so a passage that was wrapped anew is found. If none
+    before it does, its lines are looked for one by one, among lines and paragraphs. All
+    lines of what is found in an earlier message count (n_linked, whatever the level).
+    reply_to is the turn that most of the lines at level one come from, the latest of
     equals. Following reply_to leads to thread_turn, in ``depth`` steps: ordered by conv_id,
-    thread_turn and turn, the rows are the reply-ordered conversations.
+    thread_turn and turn, the rows are the reply-ordered conversations, since every message
+    stands behind the one it replies to.
 
     Blank quoted lines are dropped and never linked. Null texts are empty. Null conv_id or
     turn: the message stands alone. Rows that repeat (conv_id, turn) each stay; together
     they link as one message. No rows: no rows. Other columns are ignored.
 
-    A line that very many messages say is reduced to its first turn on the map side, so the join
-    is many to one; replies are followed by doubling, in as many rounds as the logarithm of
-    the deepest thread.
+    What very many messages say is reduced to its first turn on the map side, so the join
+    is many to one, and what very many quote is dealt over several tasks; replies are followed by
+    doubling, in as many rounds as the logarithm of the deepest thread.
     """
     base = parsed(conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"))
-    said = lambda x: ~F.col(x).isin(F.md5(F.lit("").cast("binary")))
-    line = base.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("lines").alias("l")).select("conv_id", "turn", "l.level", "l.hash")
-    quoted = line.where(F.col("level") > 0).where(said("hash")).groupBy("conv_id", "turn", "level", "hash").agg(F.count("*").alias("n"))
-    # Only lines that someone quotes matter on the other side.
-    first = line.where(F.col("level") == 0).where(said("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    links = quoted.join(first, ["conv_id", "hash"]).where("origin < turn")
-    votes = links.groupBy("conv_id", "turn", "origin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("level") == 1, F.col("n")).otherwise(0)).alias("near"))
+    placed = base.where("conv_id is not null and turn is not null")
+    passage = placed.select("conv_id", "turn", F.xxhash64(body()).alias("t"), F.posexplode("passages").alias("p", "x"))
+    whole = F.array(F.struct(F.lit(True).alias("whole"), F.size("x.norms").alias("lines"), _hash(F.array_join("x.norms", " ")).alias("hash")))
+    single = F.when(F.size("x.norms") > 1, F.transform("x.norms", lambda n: F.struct(F.lit(False).alias("whole"), F.lit(1).alias("lines"), _hash(n).alias("hash")))).otherwise(F.array().cast("array<struct<whole: boolean, lines: int, hash: string>>"))
+    unit = passage.select("conv_id", "turn", "t", "p", F.col("x.level").alias("level"), F.explode(F.concat(whole, single)).alias("u")).select("conv_id", "turn", "t", "p", "level", "u.*")
+    quoted = unit.where(F.col("level") > 0).groupBy("conv_id", "turn", "t", "p", "level", "whole", "lines", "hash").agg(F.count("*").alias("n"))
+    quoted = write_table(quoted, "quoted")
+    first = unit.where(F.col("level") == 0).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+    found = spread_join(quoted, first, ["conv_id", "hash"]).where("origin < turn")
+    # One group is one passage of one message.
+    settled = found.groupBy("conv_id", "turn", "t", "p", "level").agg(
+        F.max(F.when(F.col("whole"), F.struct("origin", (F.col("n") * F.col("lines")).alias("n")))).alias("all"),
+        F.collect_list(F.when(~F.col("whole"), F.struct("origin", F.col("n").cast("long").alias("n")))).alias("each"),
+    )
+    votes = settled.select("conv_id", "turn", "level", F.explode(F.when(F.col("all").isNotNull(), F.array("all")).otherwise(F.col("each"))).alias("v"))
+    votes = votes.groupBy("conv_id", "turn", F.col("v.origin").alias("origin")).agg(F.sum("v.n").alias("n"), F.sum(F.when(F.col("level") == 1, F.col("v.n")).otherwise(0)).alias("near"))
     best = votes.groupBy("conv_id", "turn").agg(F.sum("n").alias("n_linked"), F.max(F.when(F.col("near") > 0, F.struct("near", "origin"))).getField("origin").alias("reply_to"))
     best = write_table(best, "replies")
     up = best.where("reply_to is not null").select("conv_id", "turn", F.col("reply_to").alias("above"), F.lit(1).cast("long").alias("depth"))
+    stepped = None
     while True:
         higher = up.select("conv_id", F.col("turn").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
-        stepped = write_table(up.join(higher, ["conv_id", "above"], "left"), "threads")
+        stepped = write_table(up.join(higher, ["conv_id", "above"], "left"), "threads", instead_of=stepped)
         done = stepped.where("next is not null").isEmpty()
         up = stepped.select("conv_id", "turn", F.coalesce("next", "above").alias("above"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         if done:
             break
     kept = F.array_join(F.transform(F.filter("lines", lambda x: x.level == 0), lambda x: x.content), "\n")
     own = base.select("conv_id", "turn", "role", kept.alias("text"), F.size(F.filter("lines", lambda x: x.level > 0)).cast("long").alias("n_quoted"))
-    out = own.join(best, ["conv_id", "turn"], "left").join(up, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "text", "n_quoted", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "reply_to", F.coalesce("above", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+    # Rows without a conversation or turn would all meet in one task of the join.
+    alone = own.where("conv_id is null or turn is null").selectExpr("*", "0L as n_linked", "cast(null as long) as reply_to", "turn as thread_turn", "0L as depth")
+    out = own.where("conv_id is not null and turn is not null").join(best, ["conv_id", "turn"], "left").join(up, ["conv_id", "turn"], "left")
+    out = out.select("conv_id", "turn", "role", "text", "n_quoted", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "reply_to", F.coalesce("above", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+    return out.unionByName(alone)
 
 
 def reply_ordered(linked: DataFrame) -> DataFrame:
@@ -74,7 +102,7 @@ def reply_ordered(linked: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return reply_ordered(link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 SQL = r"""
@@ -85,11 +113,27 @@ l AS (
          regexp_replace(u.line, '^(?:[ \t]*>)+', '') AS content
   FROM m, LATERAL (SELECT unnest(m.parts) AS line, unnest(range(1, len(m.parts) + 1)) AS pos) u),
 n AS (SELECT *, trim(regexp_replace(lower(content), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l),
-quoted AS (SELECT conv_id, turn, level, norm, count(*) AS n FROM n WHERE level > 0 AND norm <> '' GROUP BY ALL),
-first AS (SELECT conv_id, norm, min(turn) AS origin FROM n WHERE level = 0 AND norm <> '' GROUP BY ALL),
+edges AS (
+  SELECT *, CASE WHEN level = lag(level) OVER w AND (norm = '') = (lag(norm) OVER w = '') THEN 0 ELSE 1 END AS edge
+  FROM n WINDOW w AS (PARTITION BY row_id ORDER BY pos)),
+runs AS (SELECT *, sum(edge) OVER (PARTITION BY row_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS p FROM edges),
+passages AS (
+  SELECT row_id, conv_id, turn, p, level, string_agg(norm, ' ' ORDER BY pos) AS said, count(*) AS n_lines
+  FROM runs WHERE norm <> '' GROUP BY ALL),
+told AS (
+  SELECT conv_id, said, turn FROM passages WHERE level = 0
+  UNION ALL SELECT conv_id, norm, turn FROM runs WHERE level = 0 AND norm <> ''),
+first AS (SELECT conv_id, said, min(turn) AS origin FROM told GROUP BY ALL),
+wholes AS (
+  SELECT q.row_id, q.p, q.conv_id, q.turn, q.level, f.origin, q.n_lines AS n
+  FROM passages q JOIN first f ON q.conv_id = f.conv_id AND q.said = f.said AND f.origin < q.turn WHERE q.level > 0),
+singles AS (
+  SELECT r.row_id, r.p, r.conv_id, r.turn, r.level, f.origin, 1 AS n
+  FROM runs r JOIN first f ON r.conv_id = f.conv_id AND r.norm = f.said AND f.origin < r.turn
+  WHERE r.level > 0 AND r.norm <> '' AND NOT EXISTS (SELECT 1 FROM wholes w WHERE w.row_id = r.row_id AND w.p = r.p)),
 votes AS (
-  SELECT q.conv_id, q.turn, f.origin, sum(q.n) AS n, sum(CASE WHEN q.level = 1 THEN q.n ELSE 0 END) AS near
-  FROM quoted q JOIN first f ON q.conv_id = f.conv_id AND q.norm = f.norm AND f.origin < q.turn GROUP BY ALL),
+  SELECT conv_id, turn, origin, sum(n) AS n, sum(CASE WHEN level = 1 THEN n ELSE 0 END) AS near
+  FROM (SELECT * FROM wholes UNION ALL SELECT * FROM singles) GROUP BY ALL),
 best AS (
   SELECT conv_id, turn, sum(n) AS n_linked,
          list(origin ORDER BY near DESC, origin DESC) FILTER (WHERE near > 0)[1] AS reply_to

@@ -338,14 +338,14 @@ def passages_by_brute_force(rows, width=50):
     return out
 
 
-@pytest.mark.parametrize("cells", [1 << 20, 1 << 10])
-def test_passages_as_brute_force(hard, none, cells):
+@pytest.mark.parametrize("bits", [29, 11])
+def test_passages_as_brute_force(hard, none, bits):
     small = hard.where("length(text) < 100000 or text is null")  # brute force is slow on the longest
     rows = [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()]
-    got = substrings.remove_repeated_passages(small, cells=cells)
+    got = substrings.remove_repeated_passages(small, most_bits=bits)
     assert bag(got.select("doc_id", "n_words", "n_removed", "kept")) == passages_by_brute_force(rows)
-    assert substrings.remove_repeated_passages(none, cells=cells).isEmpty()
-    assert substrings.remove_repeated_passages(hard, cells=cells).count() == hard.count()
+    assert substrings.remove_repeated_passages(none, most_bits=bits).isEmpty()
+    assert substrings.remove_repeated_passages(hard, most_bits=bits).count() == hard.count()
 
 
 # 9
@@ -358,11 +358,12 @@ def licenses_by_brute_force(rows):
         w = word.findall(low(t))
         places = [(j, label) for p, label in licenses.PHRASES.items() for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
         met = {}
-        for block in low(t).split("\n"):
-            own = set(word.findall(block))
-            for text, label in licenses.TEMPLATES:
-                tokens = set(text.split())
-                if (part := len(tokens & own) / len(tokens)) >= 0.8 - 1e-9:
+        for text, label, must in licenses.TEMPLATES:
+            tokens = set(text.split())
+            for at in range(len(w)):
+                own = set(w[at : at + (3 * len(tokens) + 1) // 2])
+                part = len(tokens & own) / len(tokens)
+                if part >= 0.8 - 1e-9 and set(must.split()) <= own:
                     met[label] = max(part, met.get(label, 0))
         base = {x for _, x in places}
         starts = [j for j, _ in places]
@@ -372,22 +373,46 @@ def licenses_by_brute_force(rows):
 
 def test_licenses_as_brute_force(spark, hard, none, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(hard.select("doc_id", "text"))
+    docs = docs.where("length(text) < 100000 or text is null")  # brute force is slow on the longest
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert bag(licenses.scan_licenses(docs)) == licenses_by_brute_force(rows)
-    assert licenses.scan_licenses(none).isEmpty()
+    assert licenses.scan_licenses(none).isEmpty() and licenses.scan_licenses(hard).count() == hard.count()
+
+
+WRAPPED = [
+    (1, "Some words.\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "mit-notice"),
+    (2, "Released under the Apache License", ""), (3, "The album was released under a license from the label", ""),
+    (4, "Licensed under CC BY 4.0", ""), (5, "This work is licensed under the GNU General Public License, version 2", ""),
+    (6, "this work is\nlicensed under the\nGNU General Public\nLicense version 3", "gpl-3"), (7, "licensed under CC BY NC 4 0", "cc-by-nc"),
+]
+
+
+def test_wrapped_licenses_and_near_misses(spark):
+    df = spark.createDataFrame([x[:2] for x in WRAPPED], "doc_id long, text string")
+    got = {r.doc_id: ",".join(sorted(set(r.labels.split(",")) - set(r.base_labels.split(",")))) for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: label for i, _, label in WRAPPED}
 
 
 def test_filters_lose_no_template():
     rng = np.random.default_rng(2)
-    templates = [(" ".join(f"t{x}" for x in rng.choice(40, rng.integers(1, 12), replace=False)), f"l{i}") for i in range(30)]
+    templates = []
+    for i in range(30):
+        tokens = [f"t{x}" for x in rng.choice(40, rng.integers(1, 12), replace=False)]
+        templates.append((" ".join(tokens), f"l{i}", tokens[0]))
     order = {f"t{x}".encode(): i for i, x in enumerate(rng.permutation(40))}
     for limit in (0.5, 0.8, 1.0):
         index = licenses.TemplateIndex(templates, order, limit)
         for _ in range(300):
-            block = [f"t{x}".encode() for x in rng.choice(60, rng.integers(0, 20))]
-            own = {b.decode() for b in block}
-            want = {label for text, label in templates if len(own & set(text.split())) >= limit * len(set(text.split())) - 1e-9}
-            assert {label for label, _ in index.matches(block)} == want
+            words = [f"t{x}" for x in rng.choice(60, rng.integers(0, 40))]
+            want = {}
+            for text, label, must in templates:
+                tokens = set(text.split())
+                for at in range(len(words)):
+                    own = set(words[at : at + licenses.block_length(len(tokens))])
+                    if len(own & tokens) >= limit * len(tokens) - 1e-9 and must in own:
+                        want[label] = max(want.get(label, 0), len(own & tokens) / len(tokens))
+            coded = [w.encode() for w in words]
+            assert index.matches(coded, set(coded)) == want
 
 
 # 10
@@ -420,3 +445,40 @@ def test_long_threads(spark):
     rows = [(7, i, "user", f"> say {i - 1}\nsay {i}") for i in range(70)]
     got = quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {r.turn: (r.thread_turn, r.depth) for r in got} == {i: (0, i) for i in range(70)}
+
+
+def test_wrapped_passages_and_single_lines(spark):
+    rows = [
+        (1, 0, "a", "The first paragraph\nruns over two lines\n\nand a second one"),
+        (1, 1, "b", "> The first\n> paragraph runs\n> over two lines\nanswer"),
+        (1, 2, "a", "> runs over two lines\n> no such line\n> and a second one\n>> answer\nwell"),
+    ]
+    got = {r.turn: (r.n_quoted, r.n_linked, r.reply_to) for r in quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (0, 0, None), 1: (3, 3, 0), 2: (4, 3, 0)}
+
+
+def test_random_quotes_as_sql(spark, same_rows):
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    rows, said = [], {}
+    for conv in range(12):
+        for turn in range(30):
+            own = ["\n".join(f"say {rng.integers(60)}" for _ in range(rng.integers(1, 4))) for _ in range(rng.integers(1, 3))]
+            quoted = []
+            for text in rng.choice(said.get(conv, ["nothing"]), rng.integers(0, 3)):
+                mark = ">" * int(rng.integers(1, 4)) + " " * int(rng.integers(0, 2))
+                lines = text.upper().split("\n") if rng.random() < 0.7 else text.replace("\n", " ").split("\n")
+                quoted += [mark + x for x in (lines if rng.random() < 0.7 else lines[:1] + ["something else"])]
+            said.setdefault(conv, []).extend(own)
+            rows += [(conv, turn, "user", "\n".join([*quoted, "\n\n".join(own)]))] * (2 if rng.random() < 0.1 else 1)
+    rows += [(None, 1, "user", "> x"), (5, None, "user", "> say 1"), (5, 50, None, None), (None, None, None, "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotes.link_quotations(df.repartition(3)).toPandas()
+    assert (got.n_linked > 0).sum() > 100 and got.depth.max() >= 3
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    con.sql("CREATE TABLE c AS SELECT CAST(conv_id AS BIGINT) conv_id, CAST(turn AS BIGINT) turn, role, text FROM conversations")
+    con.unregister("conversations")
+    con.sql("ALTER TABLE c RENAME TO conversations")
+    same_rows(got, con.sql(quotes.SQL).df())

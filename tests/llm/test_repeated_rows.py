@@ -35,5 +35,5 @@ def test_many_texts_of_one_id_keep_their_own_words(spark):
     for i in range(3000):
         own = [f"r{i}w{j}" for j in range(i % 7)]
         rows.append((2, " ".join([*own, passage] if i % 2 else [passage, *own, f"r{i}"])))
-    got = substrings.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), cells=1 << 20).select("doc_id", "n_words", "n_removed", "kept").collect()
+    got = substrings.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert Counter(tuple(r) for r in got) == passages_by_brute_force(rows)

@@ -135,6 +135,8 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "in
     """
     least = -(-(many.count() if rows is None else rows) // HOT_PARTS) + 1
     hot = many.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / least).alias("_parts"))
+    if hot.isEmpty():
+        return many.join(few, keys, how)
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
     dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts)).drop("_parts")
     copied = few.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")

@@ -91,12 +91,12 @@ def shingles(data: bytes, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
 def _signed(weigh: bool, bands: int, wide: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            nodes, keys = [], []
+            hashes, keys = [], []
             for data in texts(batch.column("text")):
-                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(data.split())) - 2**63)
+                hashes.append(xxhash.xxh3_64_intdigest(b" ".join(data.split())) - 2**63)
                 sh, counts = shingles(data)
                 keys.append(band_hashes(dart_minhash(sh, counts.astype(np.float64) if weigh else None, bands * wide), bands).view(np.int64) if len(sh) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "t": batch.column("t"), "node": pa.array(nodes, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "t": batch.column("t"), "h": pa.array(hashes, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
 
     return emit
 
@@ -199,12 +199,14 @@ def _may_link(similarity: float, k: int):
 
 
 def _classes(docs: DataFrame, similarity: float, bands: int, wide: int, weigh: bool) -> tuple[DataFrame, DataFrame]:
-    """(id, t, node), a row for each document, and (node, root, low): each text's class and the smallest id in it, null if it has none."""
+    """(id, t, h), a row for each document, h a hash of its words; and (h, root, low, least): each text's class, the smallest id in it, null if it has none, and the smallest h."""
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), text_tag().alias("t"), body().alias("text"))
-    signed = write_table(whole.mapInArrow(_signed(weigh, bands, wide), "id long, t long, node long, bands array<long>"), "signed")
-    # One row for each text, reduced before the shuffle; node is a hash of its words.
-    own = signed.groupBy("node").agg(F.min(F.struct("t", "bands")).alias("x"), F.min("id").alias("low"))
-    own = write_table(own.select("node", "low", "x.t", "x.bands"), "texts")
+    signed = write_table(whole.mapInArrow(_signed(weigh, bands, wide), "id long, t long, h long, bands array<long>"), "signed")
+    # One row for each text, reduced before the shuffle, and numbered in the order of the
+    # smallest id: so what stands first in a bucket is its oldest text, mostly the original.
+    own = signed.groupBy("h").agg(F.min(F.struct("t", "bands")).alias("x"), F.min("id").alias("low"))
+    own = own.select("h", "low", "x.t", "x.bands").orderBy(F.col("low").asc_nulls_last(), "h")
+    own = write_table(own.withColumn("node", F.monotonically_increasing_id()), "texts")
     rows = own.select(F.explode("bands").alias("k"), F.col("node").alias("doc"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("c"))
     met = write_table(later_documents(rows, 2, False, "buckets").select("k", "doc", "first"), "met")
     involved = met.select(F.col("doc").alias("node")).union(met.select("first")).distinct().join(own.select("node", "t"), "node")
@@ -215,15 +217,15 @@ def _classes(docs: DataFrame, similarity: float, bands: int, wide: int, weigh: b
     links = write_table(compared(pairs, sets).where(_linked(similarity)).select("a", "b"), "links")
     root = components(links)
     # Then, in the buckets that this leaves in several classes, all beside the smallest; then pairs of the others.
-    for pairs_of in (_star_pairs, _apart_pairs):
-        apart = write_table(_in_split_buckets(met, root).join(known, "doc"), "apart")
+    for pairs_of, needs in ((_star_pairs, known.drop("bands")), (_apart_pairs, known)):
+        apart = write_table(_in_split_buckets(met, root).join(needs, "doc"), "apart")
         pairs = write_table(pairs_of(apart, similarity, bands * wide), "pairs")
         if not pairs.isEmpty():
             links = write_table(links.unionAll(compared(pairs, sets).where(_linked(similarity)).select("a", "b")), "links")
             root = components(links)
-    placed = own.select("node", "low").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
-    lowest = placed.groupBy("root").agg(F.min("low").alias("low"))
-    return signed.select("id", "t", "node"), placed.select("node", "root").join(lowest, "root")
+    placed = own.select("node", "h", "low").join(root, "node", "left").select("h", F.coalesce("root", "node").alias("root"), "low")
+    lowest = placed.groupBy("root").agg(F.min("low").alias("low"), F.min("h").alias("least"))
+    return signed.select("id", "t", "h"), placed.select("h", "root").join(lowest, "root")
 
 
 def _in_split_buckets(met: DataFrame, root: DataFrame) -> DataFrame:
@@ -278,14 +280,14 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, band
     rows: no rows. Other columns are ignored.
     """
     rows, classes = _classes(docs, similarity, bands, wide, weigh)
-    named = F.coalesce("low", -F.shiftrightunsigned("root", 1) - 1)
-    return spread_join(rows, classes.select("node", named.alias("class_id")), ["node"]).select(F.col("id").alias("doc_id"), "class_id")
+    named = F.coalesce("low", -F.shiftrightunsigned("least", 1) - 1)
+    return spread_join(rows, classes.select("h", named.alias("class_id")), ["h"]).select(F.col("id").alias("doc_id"), "class_id")
 
 
 def keep_one(docs: DataFrame, columns: list[str]) -> DataFrame:
     """One document of each class, unchanged: the one of the smallest doc_id, without any if no other; of its texts the one of the smallest hash."""
     rows, classes = _classes(docs, SIMILARITY, BANDS, WIDE, False)
-    placed = spread_join(rows, classes.select("node", "root"), ["node"])
+    placed = spread_join(rows, classes.select("h", "root"), ["h"])
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "t")).alias("x"))
     best = best.select(id_or_lowest("x.id").alias("_id"), F.col("x.t").alias("_t"))
     # Rows of one id and text are reduced to one before they are shuffled.

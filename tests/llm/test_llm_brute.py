@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -482,3 +483,83 @@ def test_random_quotes_as_sql(spark, same_rows):
     con.unregister("conversations")
     con.sql("ALTER TABLE c RENAME TO conversations")
     same_rows(got, con.sql(quotes.SQL).df())
+
+
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** int(rng.integers(0, 12))]) for i in range(120)]
+    rows += [(50, [1e8, 1.0, 0.0]), (50, [1e8, 1.0, 0.0]), (7, [3.0, 2.0, 1.0]), (8, [2.0**60, 0.0, 0.0]), (150, [])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string").select("vec_id", "score", topk.floored(F.col("embedding")).alias("v"))
+    edge = lambda x: max(-(2**63), min(2**63 - 1, x))
+    fine = [(i, [max(-(2**63), min(2**63 - 1024, math.floor(256 * x))) for x in e]) for i, e in rows]
+    want = Counter()
+    for i, a in {(i, tuple(a)) for i, a in fine if i % 50 == 0}:
+        best = sorted((-edge(sum(x * y for x, y in zip(a, b))), j) for j, b in fine if j != i and len(a) == len(b))[:5]
+        want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(best))
+    assert bag(topk.exact_top_k(df.where("vec_id % 50 = 0"), df)) == want
+
+
+def test_tokens_of_other_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.Encoder(path).fast is None and packing.Encoder(packing.default_tokenizer()).fast
+    for got, text in zip(packing.token_bytes(["Some words, it's 3rd", "", "x" * 500], path), ["Some words, it's 3rd", "", "x" * 500]):
+        assert np.frombuffer(got, "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_scores_as_plain_python():
+    rng = np.random.default_rng(2)
+    model = (np.round(rng.normal(size=quality._END + 1) * quality._UNIT), 0.25)
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & mask
+        return x ^ (x >> 32)
+
+    def plain(text):
+        words = split(text)
+        hashes = [int(h) for h in common.word_hashes(text.encode())]
+        ids = [h >> 47 for h in hashes] + [(mixed((b - a) & mask) >> 47) + quality._PART for a, b in zip(hashes, hashes[1:])] + [quality._END]
+        for w in words:
+            c = [32, *map(ord, w), 32]
+            for x, y, z in zip(c, c[1:], c[2:]):
+                h = (x * 0x9E3779B1 + y * 0x85EBCA6B + z * 0xC2B2AE35) & 0xFFFFFFFF
+                h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+                ids.append((h >> 15) + 2 * quality._PART)
+        return 1 / (1 + math.exp(-(sum(model[0][i] for i in ids) / quality._UNIT / len(ids) + model[1])))
+
+    texts = ["", " \n", "one", "one one one two", "naïve ’quote’ 日本 語", "a b", "long " * 300_000 + "end"]
+    assert quality.scores([t.encode() for t in texts], model) == pytest.approx([plain(t) for t in texts], rel=1e-12)
+
+
+def test_log_mel_as_a_direct_transform():
+    rng = np.random.default_rng(6)
+    samples = rng.integers(0, 256, 1600).astype(np.uint8)
+    up, down, taps = 1, 2, audio.TAPS * 2
+    t = np.arange(-taps, taps + 1)
+    h = np.sinc(t / 2) * np.hanning(len(t) + 2)[1:-1]
+    x = (samples.astype(float) - 128) / 128
+    y = np.convolve(x, h / h.sum())[taps : taps + len(x)][::2]
+    assert np.allclose(audio.resample(samples, 0, 800, up, down), y, atol=1e-5)
+    mel, energy = audio.log_mel(samples, audio.RATE_IN)
+    y = np.append(y, np.convolve(np.append(x, np.zeros(600)), h / h.sum())[taps:][::2][800:1100])
+    k, n = np.arange(audio.WINDOW // 2 + 1)[:, None], np.arange(audio.WINDOW)[None]
+    dft = np.exp(-2j * np.pi * k * n / audio.WINDOW)
+    for i in range(len(mel)):
+        frame = y[i * audio.HOP : i * audio.HOP + audio.WINDOW]
+        power = np.abs(dft @ (frame * np.hanning(audio.WINDOW))) ** 2
+        assert np.allclose(mel[i], np.log(power @ audio._mel_bank(audio.RATE_OUT, audio.WINDOW, audio.MELS) + 1e-6), atol=5e-3)
+        assert abs(energy[i] - 10 * np.log10(np.mean(frame**2) + 1e-10)) < 5e-3
+
+
+def test_payloads_with_the_operators_own_names(spark):
+    rows = [(i, "a line that everyone has in common\nown", "s", 5, "k", 2, "p") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, key string, n_lines long, _doc string")
+    names = docs.columns
+    assert {(r["size"], r["key"], r["n_lines"], r["_doc"]) for r in mixing.repeat_taken(docs, names).collect()} == {(5, "k", 2, "p")}
+    assert {(r["size"], r["key"], r["n_lines"], r["_doc"]) for r in lines.drop_lines(docs, names).collect()} == {(5, "k", 2, "p")}
+    assert mixing.mix_sources(docs, ["key", "size"]).columns == ["doc_id", "source", "key", "size", "source_size", "target", "taken"]
+    assert lines.line_keep_bitmaps(docs, ["_doc", "n_lines"]).columns == ["doc_id", "_doc", "text", "n_lines", "n_dropped", "keep_bitmap"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from skein.llm import lines, substrings
+from skein.llm import lines, neardup, substrings
 from tests.llm.test_llm_brute import lines_by_brute_force, passages_by_brute_force
 
 
@@ -37,3 +37,20 @@ def test_many_texts_of_one_id_keep_their_own_words(spark):
         rows.append((2, " ".join([*own, passage] if i % 2 else [passage, *own, f"r{i}"])))
     got = substrings.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert Counter(tuple(r) for r in got) == passages_by_brute_force(rows)
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, prose(k)) for k in range(40)] + [(None, prose(3)), (None, prose(90)), (None, prose(90)), (2, prose(90) + " tail"), (None, prose(91)), (7, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(docs).collect())
+    alone = [k for k in got if k[0] is None and k[1] < 0]
+    assert got[1, 1] == 40 and got[None, 1] == 1 and got[2, 2] == 1 and got[None, 2] == 2 and got[7, 7] == 1 and got[None, 7] == 1 and len(alone) == 1
+    kept = Counter(tuple(r) for r in neardup.keep_one(docs, ["doc_id", "text"]).collect())
+    assert kept == Counter([(1, prose(k)) for k in range(40)] + [(2, prose(90) + " tail"), (None, prose(91)), (7, None)])
+
+
+def test_many_exact_copies_and_a_hot_text(spark):
+    rows = [(i, "the same words in every one of these documents") for i in range(4000)] + [(i, f"document {i} has words of its own") for i in range(4000, 6000)]
+    got = neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert len(got) == 6000 and all(r.class_id == (0 if r.doc_id < 4000 else r.doc_id) for r in got)

@@ -48,3 +48,17 @@ def changed_or_new(indexed: DataFrame, current: DataFrame, key: str, digest: str
     """Rows to index again: unknown keys, and known ones whose content has another hash."""
     same = indexed.select(key, digest)
     return current.join(same, [key, digest], "left_anti")
+
+
+def guarded_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """id, status, payload, outcome from two tables (id, kind, content, status, payload), ids unique in each.
+
+    Another kind or content under a known id is a conflict and changes nothing; only
+    pending rows take the new payload; unknown ids are inserted.
+    """
+    o, n = old.alias("o"), new.alias("n")
+    both = o.join(n, F.col("o.id") == F.col("n.id"), "full_outer")
+    other = (F.col("o.kind") != F.col("n.kind")) | (F.col("o.content") != F.col("n.content"))
+    outcome = F.when(F.col("o.id").isNull(), "inserted").when(F.col("n.id").isNull(), "kept").when(other, "conflict").when(F.col("o.status") == "pending", "updated").otherwise("decided")
+    payload = F.when(outcome.isin("inserted", "updated"), F.col("n.payload")).otherwise(F.col("o.payload"))
+    return both.select(F.coalesce("o.id", "n.id").alias("id"), F.coalesce("o.status", "n.status").alias("status"), payload.alias("payload"), outcome.alias("outcome"))

@@ -11,10 +11,16 @@ from pyspark.sql import types as T
 
 from skein.functions import privacy
 
-_STEPS = (("secret", privacy.SECRET, "[SECRET]"), ("email", privacy.EMAIL, "[EMAIL]"), ("phone", privacy.PHONE, "[PHONE]"), ("url", privacy.URL, "[URL]"))
+#: The kinds of redaction in their order, as :func:`privacy.redacted` has them.
+_STEPS = (("secret", privacy.SECRET, "[SECRET]"), ("checksum_id", privacy.LONG_ID, "[ID]"), ("email", privacy.EMAIL, "[EMAIL]"), ("phone", privacy.PHONE, "[PHONE]"), ("url", privacy.URL, "[URL]"))
 REDACTED = T.StructType([T.StructField("value", T.StringType()), T.StructField("flags", T.ArrayType(T.StringType()))])
 
 
+def _closes(digits: str) -> bool:
+    """Eleven digits whose last one closes the weighted sum of the others."""
+    return len(digits) == 11 and (10 - sum(int(d) * w for d, w in zip(digits, privacy.CHECK_WEIGHTS)) % 10) % 10 == int(digits[10])
+
+
 def _walk(value, change):
     if isinstance(value, dict):
         return {k: _walk(v, change) for k, v in value.items()}
@@ -25,7 +31,7 @@ def _walk(value, change):
 
 @F.pandas_udf(REDACTED)
 def redact_json(values: pd.Series) -> pd.DataFrame:
-    """Every string inside a JSON value redacted, and the kinds found, each once; what isn't JSON becomes null."""
+    """Every string inside a JSON value redacted, and the kinds and topics found, each once; what isn't JSON becomes null."""
     patterns = [(flag, re.compile(p), token) for flag, p, token in _STEPS]
 
     def one(text: str | None):
@@ -35,9 +41,13 @@ def redact_json(values: pd.Series) -> pd.DataFrame:
             if not isinstance(x, str):
                 return x
             for flag, pattern, token in patterns:
-                x, n = pattern.subn(token, x)
-                if n and flag not in found:
+                before = x
+                x = pattern.sub((lambda m: token if _closes(m[0]) else m[0]) if flag == "checksum_id" else token, x)  # noqa: B023
+                if x != before and flag not in found:
                     found.append(flag)
+            for topic, marks in privacy.TOPICS.items():
+                if topic not in found and any(mark in x.lower() for mark in marks):
+                    found.append(topic)
             return x
 
         try:

@@ -12,9 +12,9 @@ PUNCTUATION = ".,?!:;"
 
 
 def normalize(text: Column) -> Column:
-    """Lower case without marks; other characters than letters, digits and : / . _ - become one space for each run."""
-    plain = F.replace(F.translate(F.lower(text), MARKED, PLAIN), F.lit("ß"), F.lit("ss"))
-    return F.trim(F.regexp_replace(plain, r"[^a-z0-9:/._ -]+", " "))
+    """Lower case without marks; other characters than letters and digits of any script and : / . _ - become one space for each run."""
+    plain = F.replace(strip_marks(F.lower(text)), F.lit("ß"), F.lit("ss"))
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}:/._ -]+", " "))
 
 
 def collapse(text: Column) -> Column:
@@ -23,11 +23,12 @@ def collapse(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """For duplicate checks: letters and digits in lower case, one space between words."""
-    return collapse(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"[^a-z0-9]+", " "))
+    return collapse(F.regexp_replace(strip_marks(F.lower(text)), r"[^\p{L}\p{N}]+", " "))
 
 
 def strip_marks(text: Column) -> Column:
-    return F.translate(text, MARKED, PLAIN)
+    """Without combining marks; the Latin letters that have one built in become plain."""
+    return F.regexp_replace(F.translate(text, MARKED, PLAIN), r"\p{M}+", "")
 
 
 def words(text: Column) -> Column:

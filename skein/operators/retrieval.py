@@ -1,4 +1,4 @@
-"""Exact scoring of a bounded query set, rank fusion, and retrieval metrics."""
+"""Exact scoring of a stated query set against all points, rank fusion, and retrieval metrics."""
 
 from __future__ import annotations
 
@@ -8,27 +8,42 @@ from pyspark.sql import functions as F
 from skein.functions import vectors
 
 
-def score_all(queries: DataFrame, points: DataFrame, most: int) -> DataFrame:
-    """Cosine of each query with each other point; rows: vec_id, label, v, norm.
+#: Queries that are broadcast at once; more come to the points in blocks.
+MOST_QUERIES = 2000
+_PARTS = 256
 
-    The queries are a stated set of ``most`` rows, which bounds what is broadcast; every point is read once. For query sets that
-    grow with the data there is the blocked exact search of the training-data operators.
+
+def beside(points: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every point with every query of the same keys, a query's own point aside; queries have query_id, points vec_id.
+
+    Up to MOST_QUERIES queries are counted and broadcast. More are dealt into blocks of that
+    size, and the points into parts; every block meets every part in a task of its own.
     """
-    q = queries.orderBy("vec_id").limit(most).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    both = points.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    return both.select("query_id", "query_label", "vec_id", "label", F.round(vectors.cosine(F.col("qv"), F.col("v"), F.col("qn"), F.col("norm")), 9).alias("score"))
+    many = queries.count()
+    other = F.col("vec_id") != F.col("query_id")
+    if many <= MOST_QUERIES:
+        return (points.join(F.broadcast(queries), list(keys)) if keys else points.crossJoin(F.broadcast(queries))).where(other)
+    blocks = -(-many // MOST_QUERIES)
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    p = points.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(_PARTS))).withColumn("_block", number(blocks))
+    q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_part", number(_PARTS))
+    return p.join(q, [*keys, "_block", "_part"]).drop("_block", "_part").where(other)
+
+
+def score_all(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """Cosine of each query with each other point; rows: vec_id, label, v, norm."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
+    return beside(points, q).select("query_id", "query_label", "vec_id", "label", F.round(vectors.cosine(F.col("qv"), F.col("v"), F.col("qn"), F.col("norm")), 9).alias("score"))
 
 
-def fuse(queries: DataFrame, points: DataFrame, cut: int, least: float, most: int, k: int = 60) -> DataFrame:
+def fuse(queries: DataFrame, points: DataFrame, cut: int, least: float, k: int = 60) -> DataFrame:
     """Weighted reciprocal rank fusion; rows: vec_id, space, v, weight, norm.
 
     Only the first ``cut`` of each space and those over ``least`` count. Normalised by the best
     that is possible: rank one in all spaces, whose weights sum to one.
     """
-    ids = queries.select("vec_id").distinct().orderBy("vec_id").limit(most)
-    q = queries.join(F.broadcast(ids), "vec_id").select(F.col("vec_id").alias("query_id"), "space", F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    both = points.join(F.broadcast(q), "space").where("vec_id <> query_id")
-    scored = both.select("query_id", "space", "weight", "vec_id", F.round(vectors.cosine(F.col("qv"), F.col("v"), F.col("qn"), F.col("norm")), 9).alias("score"))
+    q = queries.select(F.col("vec_id").alias("query_id"), "space", F.col("v").alias("qv"), F.col("norm").alias("qn"))
+    scored = beside(points, q, ("space",)).select("query_id", "space", "weight", "vec_id", F.round(vectors.cosine(F.col("qv"), F.col("v"), F.col("qn"), F.col("norm")), 9).alias("score"))
     w = Window.partitionBy("query_id", "space").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= cut) & (F.col("score") >= least))
     fusion = F.least(F.lit(1.0), F.sum(F.col("weight") / (F.lit(k) + F.col("rank"))) / (1.0 / (k + 1)))

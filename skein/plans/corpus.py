@@ -11,8 +11,9 @@ from skein.plans.registry import query, table
 
 # Fragments of the SQL that say the same as the functions.
 _MARKS = f"'{text.MARKED}', '{text.PLAIN}'"
-_NORM = "trim(regexp_replace(replace(translate(lower({0}), " + _MARKS + "), 'ß', 'ss'), '[^a-z0-9:/._ -]+', ' ', 'g'))"
-_CANON = "trim(regexp_replace(regexp_replace(translate(lower({0}), " + _MARKS + "), '[^a-z0-9]+', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
+_PLAIN = "regexp_replace(translate(lower({0}), " + _MARKS + r"), '\p{{M}}+', '', 'g')"
+_NORM = "trim(regexp_replace(replace(" + _PLAIN + r", 'ß', 'ss'), '[^\p{{L}}\p{{N}}:/._ -]+', ' ', 'g'))"
+_CANON = "trim(regexp_replace(regexp_replace(" + _PLAIN + r", '[^\p{{L}}\p{{N}}]+', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
 _WORDS = "list_filter(regexp_split_to_array({0}, '[ \\t\\r\\n]+'), lambda w: w <> '')"
 _DIGIT = "CAST(substr(x, {0}, 1) AS INT)"
 _TOTAL = " + ".join(f"{_DIGIT.format(i + 1)} * {w}" for i, w in enumerate(privacy.CHECK_WEIGHTS))
@@ -121,22 +122,24 @@ def _adjacent(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("next_text", F.lead("text").over(w)).where("next_text is not null")
 
 
-@query(f"WITH {_PAIRS.format(*[f'''regexp_replace(substr({c}, 1, 200), '[^ -~]', '', 'g')''' for c in ('text', 'next_text')])} SELECT conv_id, turn, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(a, b) / length(a)::DOUBLE END, 6) AS cer FROM pairs")
+@query()
 def cer_adjacent_turns(spark, sf_dir):
-    ascii_ = lambda c: F.regexp_replace(F.substring(c, 1, 200), "[^ -~]", "")
-    return _adjacent(spark, sf_dir).select("conv_id", "turn", F.round(text.character_error_rate(ascii_("text"), ascii_("next_text")), 6).alias("cer"))
+    """Over whole texts, code point by code point."""
+    return _adjacent(spark, sf_dir).select("conv_id", "turn", F.round(text.character_error_rate(F.col("text"), F.col("next_text")), 6).alias("cer"))
 
 
-@query(f"""WITH {_PAIRS.format(*[f"list_slice({_WORDS.format(c)}, 1, 20)" for c in ('text', 'next_text')])},
-k AS (SELECT *, list_concat(a, b) AS known FROM pairs),
-c AS (SELECT conv_id, turn, a, array_to_string(list_transform(a, lambda w: chr(CAST(32 + list_position(known, w) AS INT))), '') AS ca,
-       array_to_string(list_transform(b, lambda w: chr(CAST(32 + list_position(known, w) AS INT))), '') AS cb FROM k)
-SELECT conv_id, turn, round(levenshtein(ca, cb) / len(a)::DOUBLE, 6) AS wer FROM c WHERE len(a) > 0""")
+@query()
 def wer_adjacent_turns(spark, sf_dir):
-    """Over the first 20 words of either side, so that SQL can code words as single bytes."""
-    head = lambda c: F.array_join(F.slice(text.words(F.col(c)), 1, 20), " ")
-    rows = _adjacent(spark, sf_dir).select("conv_id", "turn", head("text").alias("a"), head("next_text").alias("b"))
-    return rows.where("a <> ''").select("conv_id", "turn", F.round(text.word_error_rate(F.col("a"), F.col("b")), 6).alias("wer"))
+    """Over whole texts, word by word."""
+    rows = _adjacent(spark, sf_dir).where(text.word_count(F.col("text")) > 0)
+    return rows.select("conv_id", "turn", F.round(text.word_error_rate(F.col("text"), F.col("next_text")), 6).alias("wer"))
+
+
+@query()
+def error_rates_of_corpus(spark, sf_dir):
+    """Mean CER and WER of all adjacent turns."""
+    rates = _adjacent(spark, sf_dir).select(text.character_error_rate(F.col("text"), F.col("next_text")).alias("cer"), text.word_error_rate(F.col("text"), F.col("next_text")).alias("wer"))
+    return rates.agg(F.count("*").alias("n"), F.round(F.avg("cer"), 6).alias("cer"), F.round(F.avg("wer"), 6).alias("wer"))
 
 
 _N = lambda c, m: f"(length({c}) - length(replace({c}, '{m}', '')))"
@@ -315,9 +318,7 @@ def echo_scores(spark, sf_dir):
 LEXICON = {"the": "THE", "of the": "OF-THE", "les": "LES"}
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, '\bof the\b', 'OF-THE', 'gi'), '\bles\b', 'LES', 'gi'), '\bthe\b', 'THE', 'gi')) AS replaced_sha256
-FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents)""")
+@query()
 def lexicon_replace(spark, sf_dir):
-    """Approved forms for whole words, over the ASCII part of every document."""
-    ascii_ = F.regexp_replace("text", "[^ -~]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fuzzy.lexicon_replace(ascii_, LEXICON), 256).alias("replaced_sha256"))
+    """Approved forms for whole words of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fuzzy.lexicon_replace(F.col("text"), LEXICON), 256).alias("replaced_sha256"))

@@ -42,7 +42,7 @@ _COS = "coalesce(list_inner_product(q.v, c.v) / nullif(sqrt(list_inner_product(q
 WITH p AS (SELECT vec_id, label, unnest([{', '.join(f"{{'space': {s}, 'v': list_transform(embedding[{a}:{a + 15}], lambda x: CAST(x AS DOUBLE))}}" for s, a in enumerate((1, 17, 33)))}]) AS x FROM embeddings),
 sp AS (SELECT vec_id, label, x.space AS space, x.v AS v FROM p),
 sc AS (SELECT q.vec_id AS request_id, c.vec_id AS candidate_id, q.label = c.label AS same, (q.vec_id + c.vec_id) % 17 = 0 AS rejected, sum(greatest(0.0, round({_COS}, 9))) / 3 AS vec
-  FROM sp q JOIN sp c ON q.space = c.space AND q.vec_id < 20 AND c.vec_id <> q.vec_id GROUP BY 1, 2, 3, 4),
+  FROM sp q JOIN sp c ON q.space = c.space AND q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id GROUP BY 1, 2, 3, 4),
 s AS (SELECT *, CASE WHEN rejected THEN 0.0 ELSE round(0.60 * vec + 0.35 * (0.5 * CAST(same AS INT) + 0.15 + 0.2 * CAST(same AS INT)) + 0.05, 9) END AS score FROM sc),
 r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, candidate_id) AS rank, lead(score) OVER (PARTITION BY request_id ORDER BY score DESC, candidate_id) AS second FROM s)
 SELECT request_id, candidate_id, round(score, 6) AS score, round(score - second, 6) AS margin,
@@ -56,7 +56,7 @@ def resolve_requests(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     one = lambda s, a: F.struct(F.lit(s).alias("space"), F.slice("embedding", a, 16).cast("array<double>").alias("v"))
     points = rows.select("vec_id", F.col("label").cast("int").alias("label"), F.explode(F.array(*[one(s, a) for s, a in enumerate((1, 17, 33))])).alias("x")).select("vec_id", "label", "x.*").withColumn("norm", vectors.norm(F.col("v")))
-    per_space = [retrieval.score_all(points.where(f"space = {s} and vec_id < 20"), points.where(f"space = {s}"), 20) for s in range(3)]
+    per_space = [retrieval.score_all(points.where(f"space = {s} and vec_id % 50 = 0"), points.where(f"space = {s}")) for s in range(3)]
     scored = per_space[0].unionByName(per_space[1]).unionByName(per_space[2])
     pairs = scored.groupBy(F.col("query_id").alias("request_id"), F.col("vec_id").alias("candidate_id"), (F.col("query_label") == F.col("label")).alias("same")).agg(F.collect_list("score").alias("cosines"))
     lexical = routing.lexical_score(F.col("same"), F.lit(None).cast("double"), F.col("same").cast("double"))

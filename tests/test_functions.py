@@ -49,3 +49,54 @@ def test_nested(spark):
     deep = json.dumps({"confidence": 0.5, "x": [{"confidence": 1}, {"y": {"confidence": 0.0, "z": True}}]})
     got = spark.createDataFrame([(deep,), ("{}",), (None,)], "v string").select(nested.mean_confidence("v").alias("m")).collect()
     assert [r.m for r in got] == [0.5, None, None]
+
+
+def test_nested_redaction_as_the_plain_one(spark):
+    from skein.functions import privacy
+
+    texts = ["id 44051401359 here", "id 44051401358 here", "my salary, mail a@b.cd", "token=abc https://x.y/z", "44051401359 44051401359"]
+    df = spark.createDataFrame([(t, '{"a": [' + f'"{t}"' + "]}") for t in texts], "text string, v string")
+    for r in privacy.redacted(df).withColumn("r", nested.redact_json("v")).collect():
+        assert r.r.value == '{"a": ["' + r.clean + '"]}' and set(r.r.flags) == set(r.flags)
+
+
+def test_letters_of_other_scripts_stay(spark):
+    from skein.functions import text
+
+    df = spark.createDataFrame([("Ελλάδα — Ёлка 日本",), ("été ÉTÉ!",)], "t string")
+    for fold in (text.normalize, text.canonical):
+        scripts, french = [r[0] for r in df.select(fold(df.t)).collect()]
+        assert [len(w) for w in scripts.split()] == [6, 4, 2] and french == "ete ete"
+
+
+def test_error_rates_of_whole_texts(spark):
+    import random
+
+    from skein.functions import text
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(1)
+    make = lambda n: " ".join(rng.choice(["été", "naïve", "one", "two", "три", "日本"]) + str(rng.randrange(40)) for _ in range(n))
+    rows = [(make(n), make(m)) for n, m in ((3, 4), (60, 50), (300, 280), (1, 1))]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", text.character_error_rate(F.col("a"), F.col("b")).alias("c"), text.word_error_rate(F.col("a"), F.col("b")).alias("w"))
+    for r in df.collect():
+        assert abs(r.c - distance(r.a, r.b) / len(r.a)) < 1e-9
+        assert abs(r.w - distance(r.a.split(), r.b.split()) / len(r.a.split())) < 1e-9
+
+
+def test_queries_beyond_a_broadcast_meet_in_blocks(spark, monkeypatch):
+    from skein.operators import retrieval
+
+    points = spark.range(60).withColumnRenamed("id", "vec_id").withColumn("space", F.col("vec_id") % 2)
+    queries = points.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    pairs = lambda: sorted((r.query_id, r.vec_id) for r in retrieval.beside(points, queries, ("space",)).collect())
+    want = pairs()
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 5)
+    assert pairs() == want and len(want) == 12 * 29

@@ -35,9 +35,12 @@ def text_tag(text: str = "text") -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches cut to ``rows``; what Arrow holds of read ones goes back, since Python workers live on after a task."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -63,15 +63,18 @@ def kept_text(data: bytes, n_lines: int, n_dropped: int, bitmap: bytes) -> bytes
     return b"\n".join(line for line, k in zip(data.split(b"\n"), keep) if k)
 
 
-def _marked(docs: DataFrame, payload: list[str], min_length: int, min_documents: int) -> DataFrame:
-    """The payload as _p0, _p1 ..., then text, n_lines, n_dropped and keep_bitmap."""
+def _decided(docs: DataFrame, payload: list[str], min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """The payload as _p0, _p1 ..., then text and positions, what :func:`_bitmaps` takes."""
     rows = docs.select(id_or_lowest().alias("doc"), text_tag().alias("tag"), body().alias("text"))
     gone = by_document(later_documents(rows.mapInArrow(_line_rows(min_length), ROWS), min_documents, True, "lines"))
     own = [F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(payload)]
     whole = docs.select(*own, body().alias("text"), id_or_lowest().alias("_doc"), text_tag().alias("_tag"))
-    joined = whole.join(gone.select(F.col("doc").alias("_doc"), F.col("t").alias("_tag"), "positions"), ["_doc", "_tag"], "left").drop("_doc", "_tag")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "positions")
-    return joined.mapInArrow(_bitmaps, f"{schema}, n_lines long, n_dropped long, keep_bitmap binary")
+    return whole.join(gone.select(F.col("doc").alias("_doc"), F.col("t").alias("_tag"), "positions"), ["_doc", "_tag"], "left").drop("_doc", "_tag")
+
+
+def _schema(decided: DataFrame) -> str:
+    """Of the columns before positions."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in decided.schema[:-1])
 
 
 def line_keep_bitmaps(docs: DataFrame, payload: list[str] | tuple[str, ...] = (), min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -87,33 +90,33 @@ def line_keep_bitmaps(docs: DataFrame, payload: list[str] | tuple[str, ...] = ()
     that not what is called text, n_lines, n_dropped or keep_bitmap.
     """
     own = [c for c in dict.fromkeys(["doc_id", *payload]) if c not in _OWN]
-    return _marked(docs, own, min_length, min_documents).toDF(*own, *_OWN)
+    decided = _decided(docs, own, min_length, min_documents)
+    return decided.mapInArrow(_bitmaps, f"{_schema(decided)}, n_lines long, n_dropped long, keep_bitmap binary").toDF(*own, *_OWN)
 
 
 def drop_lines(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs without the dropped lines, with the given columns; n_chars, if it is there, follows the text."""
     carried = [c for c in columns if c != "text"]
-    marked = _marked(docs, carried, MIN_LENGTH, MIN_DOCUMENTS)
+    decided = _decided(docs, carried)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in _bitmaps(batches):
             kept = [kept_text(*x).decode("utf-8", "replace") for x in zip(texts(batch.column("text")), *(batch.column(c).to_pylist() for c in _OWN[1:]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(kept, pa.string())], names=[*batch.schema.names[: len(carried)], "text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema[: len(carried) + 1])
-    out = marked.mapInArrow(cut, schema).toDF(*carried, "text")
+    out = decided.mapInArrow(cut, _schema(decided)).toDF(*carried, "text")
     return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = line_keep_bitmaps(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    decided = _decided(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            kept = [hashlib.sha256(kept_text(*x)).hexdigest() for x in zip(texts(batch.column("text")), *(batch.column(c).to_pylist() for c in ("n_lines", "n_dropped", "keep_bitmap")))]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_lines": batch.column("n_lines"), "n_dropped": batch.column("n_dropped"), "kept_sha256": pa.array(kept, pa.string())})
+        for batch in _bitmaps(batches):
+            kept = [hashlib.sha256(kept_text(*x)).hexdigest() for x in zip(texts(batch.column("text")), *(batch.column(c).to_pylist() for c in _OWN[1:]))]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("_p0"), "n_lines": batch.column("n_lines"), "n_dropped": batch.column("n_dropped"), "kept_sha256": pa.array(kept, pa.string())})
 
-    return marked.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return decided.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 SQL = r"""

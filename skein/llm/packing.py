@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +51,7 @@ class Encoder:
     """A tokenizer file's ids. Where the file is plain byte-level BPE the same merges run in tiktoken, which is faster."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole, self.fast = Tokenizer.from_file(path), None
+        self.path, self.fast = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.added = [x["content"] for x in spec.get("added_tokens") or ()]
@@ -62,6 +60,13 @@ class Encoder:
 
             self.fast = tiktoken.Encoding("own", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def whole(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> list[int]:
         if self.fast is None or _ODD.search(text) or any(x in text for x in self.added):
             return self.whole.encode(text, add_special_tokens=False).ids

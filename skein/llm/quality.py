@@ -26,7 +26,7 @@ _PART = 1 << BITS
 _END = 3 * _PART  # the bucket of the mark that every text has at its end
 #: Values are whole multiples of 1 / _UNIT, so that sums don't depend on their order.
 _UNIT = 2.0**20
-_PIECE = 1 << 19
+_PIECE = 1 << 17
 _SPACES = re.compile(rb"[ \t-\r]")
 
 

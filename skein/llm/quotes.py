@@ -9,6 +9,8 @@ from skein.llm.common import body, spread_join, write_table
 
 #: What stands before a quoted line: a mark for each level.
 _MARKS = r"^(?:[ \t]*>)+"
+#: What stands between paragraphs: line ends with nothing but white space between them.
+_BLANK = r"\n[\x20\x09-\x0D]*\n"
 
 
 def normalised(line: Column) -> Column:
@@ -16,25 +18,41 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
+def _hash(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """Adds lines, (level, content, norm) each, and passages: runs of lines of one level that aren't blank.
+    """Adds passages, (level, norms) each: the level and the normalised lines of every run of lines of one level that aren't blank.
 
-    A passage has its level and its lines' normalised contents.
+    Only a text with a ">" is taken line by line; in any other all is level zero, and a
+    passage is a paragraph.
     """
-    one = lambda x: F.struct(
-        F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 0), "[^>]", "")).alias("level"),
-        F.regexp_replace(x, _MARKS, "").alias("content"),
-        normalised(F.regexp_replace(x, _MARKS, "")).alias("norm"),
-    )
-    lines = messages.withColumn("lines", F.transform(F.split(body(), "\n"), one))
+    marked = lambda x: F.regexp_extract(x, _MARKS, 0)
+    line = lambda x: F.struct(F.length(F.translate(marked(x), " \t", "")).alias("level"), normalised(F.regexp_replace(x, _MARKS, "")).alias("norm"))
+    lines = messages.withColumn("lines", F.when(_may_quote(), F.transform(F.split(body(), "\n"), line)))
     starts = F.expr("filter(sequence(0, size(lines) - 1), i -> i = 0 or lines[i].level <> lines[i - 1].level or (lines[i].norm = '') <> (lines[i - 1].norm = ''))")
     runs = F.expr("transform(starts, (s, j) -> slice(lines, s + 1, coalesce(get(starts, j + 1), size(lines)) - s))")
     told = F.expr("transform(filter(runs, r -> r[0].norm <> ''), r -> struct(r[0].level as level, r.norm as norms))")
-    return lines.withColumn("starts", starts).withColumn("runs", runs).withColumn("passages", told).drop("starts", "runs")
+    said = lambda x: F.filter(F.transform(F.split(x, "\n"), normalised), lambda n: n != "")
+    paragraph = lambda x: F.struct(F.lit(0).alias("level"), said(x).alias("norms"))
+    plain = F.filter(F.transform(F.split(body(), _BLANK), paragraph), lambda x: F.size(x.norms) > 0)
+    split = lines.withColumn("starts", starts).withColumn("runs", runs)
+    return split.withColumn("passages", F.when(_may_quote(), told).otherwise(plain)).drop("lines", "starts", "runs")
 
 
-def _hash(text: Column) -> Column:
-    return F.md5(text.cast("binary"))
+def _may_quote() -> Column:
+    return F.contains(body(), F.lit(">"))
+
+
+def _units(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, t, p, level, whole, lines, hash): every passage p, and each line of those of several."""
+    passage = parsed(messages).select("conv_id", "turn", F.xxhash64(body()).alias("t"), F.posexplode("passages").alias("p", "x"))
+    one = lambda whole, lines, said: F.struct(whole.alias("whole"), lines.alias("lines"), said.alias("said"))
+    whole = F.array(one(F.lit(True), F.size("x.norms"), F.array_join("x.norms", " ")))
+    single = F.transform(F.when(F.size("x.norms") > 1, F.col("x.norms")).otherwise(F.slice("x.norms", 1, 0)), lambda n: one(F.lit(False), F.lit(1), n))
+    unit = passage.select("conv_id", "turn", "t", "p", F.col("x.level").alias("level"), F.explode(F.concat(whole, single)).alias("u"))
+    return unit.select("conv_id", "turn", "t", "p", "level", "u.whole", "u.lines", _hash(F.col("u.said")).alias("hash"))
 
 
 def link_quotations(conversations: DataFrame) -> DataFrame:
@@ -59,15 +77,12 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     is many to one, and what very many quote is dealt over several tasks; replies are followed by
     doubling, in as many rounds as the logarithm of the deepest thread.
     """
-    base = parsed(conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"))
+    base = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     placed = base.where("conv_id is not null and turn is not null")
-    passage = placed.select("conv_id", "turn", F.xxhash64(body()).alias("t"), F.posexplode("passages").alias("p", "x"))
-    whole = F.array(F.struct(F.lit(True).alias("whole"), F.size("x.norms").alias("lines"), _hash(F.array_join("x.norms", " ")).alias("hash")))
-    single = F.when(F.size("x.norms") > 1, F.transform("x.norms", lambda n: F.struct(F.lit(False).alias("whole"), F.lit(1).alias("lines"), _hash(n).alias("hash")))).otherwise(F.array().cast("array<struct<whole: boolean, lines: int, hash: string>>"))
-    unit = passage.select("conv_id", "turn", "t", "p", F.col("x.level").alias("level"), F.explode(F.concat(whole, single)).alias("u")).select("conv_id", "turn", "t", "p", "level", "u.*")
-    quoted = unit.where(F.col("level") > 0).groupBy("conv_id", "turn", "t", "p", "level", "whole", "lines", "hash").agg(F.count("*").alias("n"))
+    quoted = _units(placed.where(_may_quote())).where(F.col("level") > 0)
+    quoted = quoted.groupBy("conv_id", "turn", "t", "p", "level", "whole", "lines", "hash").agg(F.count("*").alias("n"))
     quoted = write_table(quoted, "quoted")
-    first = unit.where(F.col("level") == 0).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+    first = _units(placed).where(F.col("level") == 0).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     found = spread_join(quoted, first, ["conv_id", "hash"]).where("origin < turn")
     # One group is one passage of one message.
     settled = found.groupBy("conv_id", "turn", "t", "p", "level").agg(
@@ -87,8 +102,10 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
         up = stepped.select("conv_id", "turn", F.coalesce("next", "above").alias("above"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         if done:
             break
-    kept = F.array_join(F.transform(F.filter("lines", lambda x: x.level == 0), lambda x: x.content), "\n")
-    own = base.select("conv_id", "turn", "role", kept.alias("text"), F.size(F.filter("lines", lambda x: x.level > 0)).cast("long").alias("n_quoted"))
+    of_lines = lambda keep: F.filter(F.split(body(), "\n"), keep)
+    kept = F.when(_may_quote(), F.array_join(of_lines(lambda x: ~x.rlike(_MARKS)), "\n")).otherwise(body())
+    n_quoted = F.when(_may_quote(), F.size(of_lines(lambda x: x.rlike(_MARKS)))).otherwise(0)
+    own = base.select("conv_id", "turn", "role", kept.alias("text"), n_quoted.cast("long").alias("n_quoted"))
     # Rows without a conversation or turn would all meet in one task of the join.
     alone = own.where("conv_id is null or turn is null").selectExpr("*", "0L as n_linked", "cast(null as long) as reply_to", "turn as thread_turn", "0L as depth")
     out = own.where("conv_id is not null and turn is not null").join(best, ["conv_id", "turn"], "left").join(up, ["conv_id", "turn"], "left")

@@ -458,9 +458,16 @@ def test_wrapped_passages_and_single_lines(spark):
     assert got == {0: (0, 0, None), 1: (3, 3, 0), 2: (4, 3, 0)}
 
 
-def test_random_quotes_as_sql(spark, same_rows):
+def _quotes_by_sql(df):
     import duckdb
 
+    con = duckdb.connect()
+    con.register("given", df.toPandas())
+    con.sql("CREATE TABLE conversations AS SELECT CAST(conv_id AS BIGINT) conv_id, CAST(turn AS BIGINT) turn, role, text FROM given")
+    return con.sql(quotes.SQL).df()
+
+
+def test_random_quotes_as_sql(spark, same_rows):
     rng = np.random.default_rng(4)
     rows, said = [], {}
     for conv in range(12):
@@ -477,12 +484,21 @@ def test_random_quotes_as_sql(spark, same_rows):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = quotes.link_quotations(df.repartition(3)).toPandas()
     assert (got.n_linked > 0).sum() > 100 and got.depth.max() >= 3
-    con = duckdb.connect()
-    con.register("conversations", df.toPandas())
-    con.sql("CREATE TABLE c AS SELECT CAST(conv_id AS BIGINT) conv_id, CAST(turn AS BIGINT) turn, role, text FROM conversations")
-    con.unregister("conversations")
-    con.sql("ALTER TABLE c RENAME TO conversations")
-    same_rows(got, con.sql(quotes.SQL).df())
+    same_rows(got, _quotes_by_sql(df))
+
+
+def test_blank_lines_of_all_kinds_as_sql(spark, same_rows):
+    rng = np.random.default_rng(9)
+    plain = ["", " ", "\t", "\r", " \f\v", "a b", " A  b ", "\tc\r", "c", "1 < 2", "d"]
+    rows = []
+    for conv in range(20):
+        for turn in range(12):
+            lines = plain if rng.random() < 0.5 else [*plain, "> a b", ">c", "> ", ">> d", " > > a B\r", "x > y"]
+            rows.append((conv, turn, "user", "\n".join(rng.choice(lines, rng.integers(0, 9)))))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotes.link_quotations(df.repartition(3)).toPandas()
+    assert (got.n_linked > 0).sum() > 30
+    same_rows(got, _quotes_by_sql(df))
 
 
 def test_top_k_of_large_components_and_repeated_ids(spark):

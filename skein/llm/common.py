@@ -128,20 +128,22 @@ def rolling(words: np.ndarray, width: int, kind: str = "word") -> np.ndarray:
 HOT_PARTS = 1000
 
 
-def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None, counted: DataFrame | None = None, place: Column | None = None) -> DataFrame:
     """many joined to few, which has one row a key; no key of very many rows meets in one task.
 
     Keys that hold over 1 / HOT_PARTS of the rows of many are dealt over tasks of that
     size, and the row of few goes to each of them. There are fewer than HOT_PARTS such keys, so
     the table that names them is broadcast. many must be a written table: its rows are
-    dealt by their place in it.
+    dealt by their place in it. Or else counted is one that holds the keys of the same rows, and
+    place a column of many with their place in it.
     """
-    least = -(-(many.count() if rows is None else rows) // HOT_PARTS) + 1
-    hot = many.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / least).alias("_parts"))
+    counted = many if counted is None else counted
+    least = -(-(counted.count() if rows is None else rows) // HOT_PARTS) + 1
+    hot = counted.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / least).alias("_parts"))
     if hot.isEmpty():
         return many.join(few, keys, how)
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
-    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts)).drop("_parts")
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id() if place is None else place, parts)).drop("_parts")
     copied = few.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
     return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
 

@@ -172,7 +172,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, both): the sizes of two sets and of what they share; pairs is a written table, and a text of very many pairs is spread."""
     left, right = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    return spread_join(spread_join(pairs, left, ["a"]), right, ["b"]).mapInArrow(_compare, "a long, b long, na long, nb long, both long")
+    rows = pairs.count()
+    placed = pairs.withColumn("_at", F.monotonically_increasing_id())
+    joined = spread_join(placed, left, ["a"], rows=rows, counted=pairs)
+    joined = spread_join(joined, right, ["b"], rows=rows, counted=pairs, place=F.col("_at")).drop("_at")
+    return joined.mapInArrow(_compare, "a long, b long, na long, nb long, both long")
 
 
 def _linked(similarity: float):

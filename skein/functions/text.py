@@ -102,3 +102,15 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
     h = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), name.cast("binary")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def set_fingerprint(entry: Column) -> Column:
+    """Aggregate: a hash of the multiset of entries, whatever their order; two sums of hash parts, so nothing is gathered. Nulls don't count."""
+    h = F.sha2(entry, 256)
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return F.sha2(F.concat_ws(":", part(1), part(16)), 256)
+
+
+def set_fingerprint_sql(entry: str) -> str:
+    part = lambda at: f"CAST(coalesce(sum(CAST(concat('0x', substr(sha256({entry}), {at}, 15)) AS BIGINT)) FILTER (WHERE {entry} IS NOT NULL), 0) AS VARCHAR)"
+    return f"sha256(concat({part(1)}, ':', {part(16)}))"

@@ -48,8 +48,8 @@ def selective_risk(rows: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6, 0
     return hit.groupBy(F.col("x.threshold").alias("threshold")).agg(taken.alias("support"), F.round(taken / F.count("*"), 6).alias("coverage"), F.round(1 - F.avg(F.when(F.col("x.taken"), F.col("y"))), 6).alias("risk"))
 
 
-def platt_fit(rows: DataFrame, penalty: float = 1e-3, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
-    """Slope (not negative) and intercept of a logistic fit, by Newton steps.
+def platt_fit(rows: DataFrame, penalty: float = 1e-3, rounds: int = 200, tolerance: float = 1e-9, least_slope: float = 0.0) -> DataFrame:
+    """Slope (least_slope at least; -inf: any) and intercept of a logistic fit, by Newton steps.
 
     Each step is one aggregate of six sums over the distributed rows; only those reach the driver.
     """
@@ -64,7 +64,7 @@ def platt_fit(rows: DataFrame, penalty: float = 1e-3, rounds: int = 200, toleran
         ga, gb, haa, hab, hbb = s[0] + penalty * a, s[1], s[2] + penalty, s[3], s[4] + 1e-12
         det = haa * hbb - hab * hab
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        a, b = max(0.0, a - da), b - db
+        a, b = max(least_slope, a - da), b - db
         if math.hypot(da, db) < tolerance:
             break
     return rows.sparkSession.createDataFrame([(a, b, steps)], "slope double, intercept double, steps int")

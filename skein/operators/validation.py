@@ -67,12 +67,20 @@ def decide_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def recent_and_summary(turns: DataFrame, key: str, order: str, text: str, keep: int, most: int) -> DataFrame:
-    """(key, recent, summary): the last ``keep`` texts joined, and the end of what came before, at most ``most`` characters."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    placed = turns.withColumn("_back", F.row_number().over(w))
-    joined = lambda taken: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(taken, F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))), lambda x: x.t), "\n")
-    both = placed.groupBy(key).agg(joined(F.col("_back") <= keep).alias("recent"), joined(F.col("_back") > keep).alias("older"))
-    return both.select(key, "recent", F.expr(f"right(older, {int(most)})").alias("summary"))
+    """(key, recent, summary): the last ``keep`` texts joined, and the end of what came before, at most ``most`` characters.
+
+    Null texts don't count. Each older text and the line break before it add at least one character, so the last
+    ``keep + most + 1`` rows of a key settle both; Spark drops the others before the shuffle.
+    """
+    placed = turns.where(F.col(text).isNotNull()).select(key, F.col(order).alias("_o"), F.col(text).alias("_t"))
+    placed = placed.withColumn("_back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_o")))).where(F.col("_back") <= keep + most + 1)
+    old = F.col("_back") > keep
+    placed = placed.withColumn("_t", F.when(old, F.expr(f"right(_t, {int(most)})")).otherwise(F.col("_t")))
+    joined = lambda taken: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(taken, F.struct("_o", "_t")))), lambda x: x["_t"]), "\n")
+    both = placed.groupBy(key).agg(joined(~old).alias("recent"), joined(old).alias("older"))
+    every = turns.select(key).distinct()  # keys whose texts are all null
+    both = every.join(both.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left")
+    return both.select(key, F.coalesce("recent", F.lit("")).alias("recent"), F.coalesce(F.expr(f"right(older, {int(most)})"), F.lit("")).alias("summary"))
 
 
 def exact_holdout(groups: DataFrame, size: int) -> DataFrame:

@@ -274,12 +274,12 @@ def page_cleanup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", lines.alias("lines")).select("page_id", F.size("lines").cast("long").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("n_chars"))
 
 
-@query("SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(DISTINCT sha256(text)) AS n_texts, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+@query(f"SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(DISTINCT sha256(text)) AS n_texts, {text.set_fingerprint_sql("(doc_id || ':' || sha256(text))")} AS fingerprint FROM documents GROUP BY source")
 def source_manifest(spark, sf_dir):
-    """Totals and a fingerprint of each source's documents in order."""
+    """Totals and a fingerprint of each source's documents; sums of hashes, so no task holds a source."""
     rows = table(spark, sf_dir, "documents").withColumn("h", F.sha2("text", 256))
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: F.concat(x.doc_id.cast("string"), F.lit(":"), x.h))
-    return rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.count_distinct("h").alias("n_texts"), F.sha2(F.array_join(entries, ","), 256).alias("fingerprint"))
+    entry = F.concat(F.col("doc_id").cast("string"), F.lit(":"), "h")
+    return rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.count_distinct("h").alias("n_texts"), text.set_fingerprint(entry).alias("fingerprint"))
 
 
 @query(f"""

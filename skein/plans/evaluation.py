@@ -142,6 +142,14 @@ def platt_fit(spark, sf_dir):
     return calibration.platt_fit(write_table(_observations(spark, sf_dir), "fit"))
 
 
+@query()
+def calibration_line(spark, sf_dir):
+    """The logistic line of outcomes over the scores' log-odds: slope 1 and intercept 0 if calibrated; any sign."""
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p")))
+    rows = _observations(spark, sf_dir).select(F.ln(p / (1 - p)).alias("p"), "y")
+    return calibration.platt_fit(write_table(rows, "line"), least_slope=float("-inf"))
+
+
 @query()
 def bootstrap_ci(spark, sf_dir):
     return calibration.bootstrap_interval(_observations(spark, sf_dir).select("y", F.col("source").alias("group")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skein.functions import text
 from skein.operators import intervals
 from skein.plans.registry import query, table
 
@@ -69,11 +70,11 @@ def bucket_rollup_10min(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("event_type")), 1, 30), ",").alias("kinds"), F.round(F.sum("value"), 4).alias("total")).select("user_id", F.floor(F.unix_micros("w.start") / 600_000_000).cast("long").alias("bucket"), "n", "kinds", "total")
 
 
-@query("""SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, array_to_string(list_sort(list_distinct(list(role))), ',') AS roles, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS transcript_sha256 FROM conversations GROUP BY conv_id""")
+@query(f"""SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, array_to_string(list_sort(list_distinct(list(role))), ',') AS roles, {text.set_fingerprint_sql("(turn || ':' || role || ': ' || text)")} AS transcript_sha256 FROM conversations GROUP BY conv_id""")
 def meeting_rollup(spark, sf_dir):
-    """One row for each conversation: span, speakers, and the hash of the ordered transcript."""
-    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t")))), lambda x: x.t)
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.sha2(F.array_join(said, "\n"), 256).alias("transcript_sha256"))
+    """One row for each conversation: span, speakers, and a fingerprint of the numbered turns; a long conversation is in no one task."""
+    said = F.concat(F.col("turn").cast("string"), F.lit(":"), "role", F.lit(": "), "text")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), text.set_fingerprint(said).alias("transcript_sha256"))
 
 
 @query("""

@@ -79,6 +79,10 @@ def test_calibration(spark):
     assert calibration.ece_equal_mass(df).first() == calibration.ece_equal_mass(back).first()
     fit = calibration.platt_fit(df).first()
     assert fit.slope > 0 and fit.steps < 50
+    falling = df.select("p", (1 - F.col("y")).alias("y"))
+    assert calibration.platt_fit(falling).first().slope == 0
+    free = calibration.platt_fit(falling, least_slope=float("-inf")).first()
+    assert abs(free.slope + fit.slope) < 1e-6 and abs(free.intercept + fit.intercept) < 1e-6
     few = df.withColumn("group", F.lit(1))
     assert calibration.bootstrap_interval(few, 100).first().low is None
     many = df.withColumn("group", F.monotonically_increasing_id())

@@ -46,3 +46,7 @@ def test_exact_holdout(spark):
 def test_recent_and_summary(spark):
     turns = spark.createDataFrame([(1, i, f"t{i}") for i in range(5)], "c int, n int, t string")
     assert tuple(validation.recent_and_summary(turns, "c", "n", "t", 2, 5).first()) == (1, "t3\nt4", "t1\nt2")
+    many = spark.createDataFrame([(c, i, None if c == 3 or i % 7 == 0 else "x" * (i % 4)) for c in (1, 2, 3, None) for i in range(400)], "c int, n int, t string")
+    texts = ["x" * (i % 4) for i in range(400) if i % 7]
+    got = {r.c: (r.recent, r.summary) for r in validation.recent_and_summary(many, "c", "n", "t", 2, 50).collect()}
+    assert got == {c: ("\n".join(texts[-2:]), "\n".join(texts[:-2])[-50:]) for c in (1, 2, None)} | {3: ("", "")}

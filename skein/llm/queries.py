@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import audio, licenses, lines, mixing, neardup, packing, quality, quotes, substrings, topk
+from skein.llm import audio, bpe, licenses, lines, mixing, neardup, packing, quality, quotes, substrings, topk
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substrings.query,
     "op9_license_scan": licenses.query,
     "op10_quotation_linking": quotes.query,
+    "op11_bpe": bpe.query,
 }
 
 #: The others are held against brute force in tests/llm.

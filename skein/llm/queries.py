@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import audio, bpe, licenses, lines, mixing, neardup, packing, quality, quotes, substrings, topk, whitening
+from skein.llm import audio, bpe, licenses, lines, mixing, neardup, packing, phrases, quality, quotes, substrings, topk, whitening
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": licenses.query,
     "op10_quotation_linking": quotes.query,
     "op11_bpe": bpe.query,
+    "op12_phrase_collocations": phrases.query,
     "op13_embedding_whitening": whitening.query,
 }
 
@@ -27,4 +28,5 @@ SQL = {
     "op8_substring_dedup": substrings.SQL,
     "op9_license_scan": licenses.SQL,
     "op10_quotation_linking": quotes.SQL,
+    "op12_phrase_collocations": phrases.SQL,
 }

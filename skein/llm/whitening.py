@@ -18,10 +18,10 @@ from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import slices, write_table
+from skein.llm.common import numbered, slices, write_table
 
 COMPONENTS = 16
 SCALE, SHIFT = 64, 1_000_000
@@ -31,7 +31,6 @@ _MOST = 1 << 52
 _BLOCK = 1024
 #: Eigenvalues of at most this share of the largest are zero but for rounding.
 _ZERO = 1e-12
-_SHIFT = 33
 OUT = "{id}, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
@@ -81,29 +80,11 @@ def _centred(width: int, centre: Centre):
             deviation = [min(int(d), 2**63 - 1) for d in (whole * whole).sum(1)]
             values = (apart / centre.n).astype(np.float64).ravel()
             ends = np.arange(0, len(values) + 1, width, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(deviation, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["at", "deviation", "centred"])
+            yield pa.RecordBatch.from_arrays([batch.column("index"), pa.array(deviation, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["index", "deviation", "centred"])
 
     return emit
 
 
-def _numbered(rows: DataFrame, tag: str) -> DataFrame:
-    """rows written with their place ``at``; partition and place in it, so no row meets another."""
-    return write_table(rows.withColumn("at", F.monotonically_increasing_id()), tag)
-
-
-def _places(rows: DataFrame) -> DataFrame:
-    """(part, first): how many rows stand in earlier partitions; a row for each partition."""
-    counts = rows.groupBy(F.shiftright("at", _SHIFT).alias("part")).agg(F.count("*").alias("n"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-
-
-def _indexed(centred: DataFrame, places: DataFrame) -> DataFrame:
-    """With ``index``, from 0 without gaps, in place of ``at``."""
-    with_part = centred.withColumn("part", F.shiftright("at", _SHIFT)).join(places, "part")
-    return with_part.withColumn("index", F.col("first") + F.col("at").bitwiseAND((1 << _SHIFT) - 1)).drop("part", "first")
-
-
 def _blocks(indexed: DataFrame, rows: int, width: int) -> BlockMatrix:
     vectors = MLUtils.convertVectorColumnsFromML(indexed.select("index", array_to_vector("centred").alias("vector")), "vector")
     return IndexedRowMatrix(vectors, rows, width).toBlockMatrix(_BLOCK, min(width, _BLOCK))
@@ -122,12 +103,12 @@ def _as_blocks(spark: SparkSession, local: np.ndarray, height: int) -> BlockMatr
     return BlockMatrix(spark.sparkContext.parallelize(parts, 1), height, local.shape[1])
 
 
-def _whiten(rows: DataFrame, width: int, id: str, components: int) -> DataFrame:
+def _whiten(rows: DataFrame, width: int, components: int) -> DataFrame:
     spark = rows.sparkSession
-    fit = _numbered(rows.select("x").distinct(), "fit")
+    fit = numbered(rows.select("x").distinct(), "fit", "index")
     centre = centre_of(fit, width)
-    centred = lambda df: df.select("at", "x").mapInArrow(_centred(width, centre), "at long, deviation long, centred array<double>")
-    matrix = _blocks(_indexed(centred(fit), _places(fit)), centre.n, width).persist(StorageLevel.MEMORY_AND_DISK)
+    centred = lambda df: df.select("index", "x").mapInArrow(_centred(width, centre), "index long, deviation long, centred array<double>")
+    matrix = _blocks(centred(fit), centre.n, width).persist(StorageLevel.MEMORY_AND_DISK)
     covariance = _scatter(matrix, centre.n) / centre.n
     values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
     kept = min(components, width)
@@ -141,16 +122,16 @@ def _whiten(rows: DataFrame, width: int, id: str, components: int) -> DataFrame:
         error = float(np.abs(own).max())
     matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
-    numbered = _numbered(rows, "rows")
-    indexed = write_table(_indexed(centred(numbered).join(numbered.select(id, "at"), "at"), _places(numbered)), "centred")
-    result = project(_blocks(indexed, indexed.count(), width)).toIndexedRowMatrix()
+    indexed = write_table(numbered(rows, "rows", "index"), "indexed")
+    apart = write_table(centred(indexed), "centred")
+    result = project(_blocks(apart, apart.count(), width)).toIndexedRowMatrix()
     found = callMLlibFunc("getIndexedRows", result._java_matrix_wrapper._java_model)
     found = found.select("index", F.posexplode(vector_to_array("vector")).alias("place", "whitened"))
     total = float(np.trace(covariance))
     shares = F.array(*[F.lit(float(v) / total if total > 0 else None).cast("double") for v in values])
     flags = F.array(*[F.lit(bool(x)) for x in there])
-    return found.join(indexed.select("index", id, "deviation"), "index").select(
-        id, (F.col("place") + 1).alias("component"), F.lit(centre.n).cast("long").alias("n"), "deviation",
+    return found.join(apart.select("index", "deviation"), "index").join(indexed.select("index", "_id"), "index").select(
+        "_id", (F.col("place") + 1).alias("component"), F.lit(centre.n).cast("long").alias("n"), "deviation",
         F.when(F.get(flags, F.col("place")), F.col("whitened")).alias("whitened"), F.get(shares, F.col("place")).alias("explained"), F.lit(error).cast("double").alias("identity_error"),
     )
 
@@ -173,16 +154,16 @@ def whiten(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", co
     spark = vectors.sparkSession
     whole = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     held = lambda c: F.greatest(F.least(F.floor(c.cast("double") * SCALE), F.lit(_MOST)), F.lit(-_MOST)) + SHIFT
-    rows = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & whole).select(id, F.transform(vector, held).alias("x"))
+    rows = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & whole).select(F.col(id).alias("_id"), F.transform(vector, held).alias("x"))
     rows = write_table(rows, "vectors")
     widths = sorted(r.w for r in rows.select(F.size("x").alias("w")).distinct().collect())
-    made = [_whiten(rows.where(F.size("x") == w), w, id, components) for w in widths]
+    made = [_whiten(rows.where(F.size("x") == w), w, components) for w in widths]
     if not made:
         return spark.createDataFrame([], OUT.format(id=f"`{id}` {vectors.schema[id].dataType.simpleString()}"))
     out = made[0]
     for more in made[1:]:
         out = out.unionAll(more)
-    return out
+    return out.withColumnRenamed("_id", id)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

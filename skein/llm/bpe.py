@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import base64
 import json
-import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,25 +27,29 @@ from pyspark.sql import functions as F
 from skein.llm.common import body, slices
 from skein.llm.packing import _BYTE_LEVEL, _ODD, _byte_letters, default_tokenizer
 
-#: Pieces that a worker remembers, and the longest of them; what is not remembered is merged again.
-_MOST_PIECES, _LONGEST_PIECE = 200_000, 64
-_POSITION = 32
+#: Pieces and words that a worker remembers, at most twice as many each, and the longest of them; what is not remembered is merged again.
+_MOST_KNOWN, _LONGEST_KNOWN = 300_000, 64
+#: A space with white space, or nothing, on both sides: there the pieces of a text are not those of what single spaces separate.
+_WIDE_GAP = re.compile(r" (?<=\s )(?=\s|\Z)").search
 _loaded: dict[str, Bpe] = {}
 
 
-class _Pieces(dict):
-    """Ids by piece; a piece that is not there is merged."""
+class _Known(dict):
+    """Ids by text, four bytes each; what is not there is made. Of two generations the older one goes when the younger is full."""
 
-    def __init__(self, merge):
+    def __init__(self, make):
         super().__init__()
-        self.merge = merge
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.merge(piece.encode())
-        if len(piece) <= _LONGEST_PIECE:
-            if len(self) >= _MOST_PIECES:
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.make(text)
+        if len(text) <= _LONGEST_KNOWN:
+            if len(self) >= _MOST_KNOWN:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = ids
+            self[text] = ids
         return ids
 
 
@@ -81,12 +86,19 @@ class Bpe:
         if missing := [b for b in range(256) if bytes([b]) not in ids]:
             raise ValueError(f"{path}: no symbol for the bytes {missing}")
         self.strings = {i: word for word, i in ids.items()} | {i: word.encode() for word, i in self.added.items()}
-        self.size = max(self.strings) + 1
         self.symbols = [ids[bytes([b])] for b in range(256)]
-        #: Rank of the merge of two symbols, by the number a * size + b; what it makes, by rank.
-        self.ranks = {a * self.size + b: rank for (a, b), (rank, _) in pairs.items()}
+        #: Ranks of a symbol's merges by the symbol behind it; what a merge makes, by rank.
+        none: dict[int, int] = {}
+        self.ranks = [none] * (max(self.strings) + 1)
+        for (a, b), (rank, _) in pairs.items():
+            if self.ranks[a] is none:
+                self.ranks[a] = {}
+            self.ranks[a][b] = rank
         self.made = dict(pairs.values())
-        self.pieces = _Pieces(self.merged)
+        #: Ranks of two bytes' merges, None where there is none, by byte and byte behind it.
+        self.first = [list(map(self.ranks[a].get, self.symbols)) for a in self.symbols]
+        self.pieces = _Known(lambda piece: array("i", self.merged(piece.encode())).tobytes())
+        self.words = _Known(lambda word: self._cut(" " + word))
         self.cut = regex.compile(_BYTE_LEVEL).findall
         self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
 
@@ -112,43 +124,49 @@ class Bpe:
 
     def merged(self, data: bytes) -> list[int]:
         """The ids of one piece."""
-        n, ranks, size = len(data), self.ranks, self.size
-        symbol = [self.symbols[b] for b in data]
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = [rank << _POSITION | i for i in range(n - 1) if (rank := ranks.get(symbol[i] * size + symbol[i + 1])) is not None]
+        symbol = list(map(self.symbols.__getitem__, data))
+        n, ranks, made, first = len(symbol), self.ranks, self.made, self.first
+        bits = n.bit_length()
+        last = (1 << bits) - 1
+        heap = [rank << bits | i for i, (a, b) in enumerate(pairwise(data)) if (rank := first[a][b]) is not None]
+        if not heap:
+            return symbol
         heapify(heap)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while heap:
             top = heappop(heap)
-            rank, i = top >> _POSITION, top & 0xFFFFFFFF
+            rank, i = top >> bits, top & last
             j = after[i]
-            if symbol[i] < 0 or j >= n or ranks.get(symbol[i] * size + symbol[j]) != rank:
+            if j >= n or (a := symbol[i]) < 0 or ranks[a].get(symbol[j]) != rank:
                 continue  # stale
-            symbol[i], symbol[j] = self.made[rank], -1
-            k = after[i] = after[j]
+            symbol[i], symbol[j] = own, _ = made[rank], -1
+            h, k = before[i], after[j]
+            after[i] = k
             if k < n:
                 before[k] = i
-                if (rank := ranks.get(symbol[i] * size + symbol[k])) is not None:
-                    heappush(heap, rank << _POSITION | i)
-            h = before[i]
-            if h >= 0 and (rank := ranks.get(symbol[h] * size + symbol[i])) is not None:
-                heappush(heap, rank << _POSITION | h)
+                if (rank := ranks[own].get(symbol[k])) is not None:
+                    heappush(heap, rank << bits | i)
+            if h >= 0 and (rank := ranks[symbol[h]].get(own)) is not None:
+                heappush(heap, rank << bits | h)
         return [x for x in symbol if x >= 0]
 
-    def _plain(self, text: str) -> Iterator[int]:
+    def _cut(self, text: str) -> bytes:
         cut = self.library_cut if _ODD.search(text) else self.cut
-        return chain.from_iterable(map(self.pieces.__getitem__, cut(text)))
+        return b"".join(map(self.pieces.__getitem__, cut(text)))
+
+    def _plain(self, text: str) -> bytes:
+        # A piece begins before every single space, so words are cut and remembered alone.
+        first, *words = text.split(" ")
+        if not words or _WIDE_GAP(text):
+            return self._cut(text)
+        return self._cut(first) + b"".join(map(self.words.__getitem__, words))
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """The text's ids, as 32 bits each."""
         if self.split is None or not any(x in text for x in self.added):
-            return list(self._plain(text))
-        ids: list[int] = []
-        for part in self.split(text):
-            if part in self.added:
-                ids.append(self.added[part])
-            elif part:
-                ids.extend(self._plain(part))
-        return ids
+            return np.frombuffer(self._plain(text), np.int32)
+        parts = (np.array([self.added[x]], np.int32).tobytes() if x in self.added else self._plain(x) for x in self.split(text))
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; an id that the vocabulary lacks is left out, bytes that aren't UTF-8 become U+FFFD."""
@@ -177,7 +195,7 @@ def _encode(path: str, text: str, ids: str):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load(path).encode
         for batch in slices(batches, 128):
-            rows = [np.array(encode(x or ""), np.int32) for x in batch.column(text).to_pylist()]
+            rows = [encode(x or "") for x in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             yield _adds(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows))), batch, ids)
 
@@ -188,7 +206,10 @@ def _decode(path: str, ids: str, text: str):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = load(path).decode
         for batch in slices(batches, 128):
-            yield _adds(pa.array([decode(x or ()) for x in batch.column(ids).to_pylist()], pa.string()), batch, text)
+            column = batch.column(ids)
+            ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))
+            flat = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False).tolist()
+            yield _adds(pa.array([decode(flat[a:b]) for a, b in pairwise(ends.tolist())], pa.string()), batch, text)
 
     return emit
 

@@ -26,11 +26,13 @@ NO_LANG = "und"
 #: Words whose hashes one broadcast holds (20 bytes each), and phrases in one trie; of more, there are several, one after another.
 MOST_WORDS, MOST_PHRASES = 1 << 21, 1 << 19
 #: Text that is hashed at a time, and that makes one row of the written numbers.
-_BLOCK, _BLOB = 1 << 18, 1 << 23
+_BLOCK, _BLOB = 1 << 18, 1 << 22
 #: Word numbers up to which a task holds a table of them; beyond it searches.
 _DIRECT = 1 << 24
 #: Positions that a task gathers before it reduces them to distinct phrases.
-_HELD = 1 << 21
+_HELD = 1 << 19
+#: Rows of a batch that a task sends.
+_ROWS_SENT = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: What a byte is: of a word 0, blank 1, end of a piece 2.
@@ -131,7 +133,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = words_of(blob)
         counts = found.counts()
         if len(counts):  # the last row has all words, and no word
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * (len(counts) + 1), pa.string()), "word": pa.array([*found.words, None], pa.binary()).cast(pa.string()), "n": pa.array(np.append(counts, counts.sum()))})
+            whole = pa.RecordBatch.from_pydict({"lang": pa.array([lang] * (len(counts) + 1), pa.string()), "word": pa.array([*found.words, None], pa.binary()).cast(pa.string()), "n": pa.array(np.append(counts, counts.sum()))})
+            yield from slices([whole], _ROWS_SENT)
 
 
 # Texts as numbers of frequent words.
@@ -322,30 +325,34 @@ class _Gathered:
             first = np.empty(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             counts = np.bincount(codes, np.concatenate([n for _, n in self.keys]), len(distinct)).astype(np.int64)
-            yield _phrases(rows[:, first], counts, True)
             self.rows, self.keys, self.size = [], [], 0
+            yield from _phrases(rows[:, first], counts, True)
 
 
-def _phrases(words: np.ndarray, counts: np.ndarray, candidate: bool) -> pa.RecordBatch:
-    n = len(counts)
-    columns = [pa.array(words[i] if i < len(words) else np.full(n, -1, np.int32)) for i in range(LONGEST)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, candidate)), *columns, pa.array(counts)], names=["candidate", *_WORDS, "n"])
+def _phrases(words: np.ndarray, counts: np.ndarray, candidate: bool) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(counts), _ROWS_SENT):
+        n = counts[at : at + _ROWS_SENT]
+        columns = [pa.array(words[i, at : at + len(n)] if i < len(words) else np.full(len(n), -1, np.int32)) for i in range(LONGEST)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), candidate)), *columns, pa.array(n)], names=["candidate", *_WORDS, "n"])
 
 
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 _ROWS = "candidate boolean, " + ", ".join(f"{w} int" for w in _WORDS) + ", n long"
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in slices(batches, 1):
+        yield np.frombuffer(batch.column("ids")[0].as_buffer(), np.int32)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbouring frequent words of a task, with their counts in it."""
     found = _Gathered(2)
-    for batch in batches:
-        for data in batch.column("ids").to_pylist():
-            ids = np.frombuffer(data, np.int32)
-            place = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-            found.add(ids[place].astype(np.int64) << 32 | ids[place + 1], place, ids)
-            if found.size > _HELD:
-                yield from found.flush()
+    for ids in _stretches(batches):
+        place = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+        found.add(ids[place].astype(np.int64) << 32 | ids[place + 1], place, ids)
+        if found.size > _HELD:
+            yield from found.flush()
     yield from found.flush()
 
 
@@ -356,24 +363,21 @@ def _count(trie, size: int, whole: bool, more: bool):
         own: Trie = trie.value
         width = own.phrases.shape[1]
         counts, found = np.zeros(len(own.phrases), np.int64), _Gathered(width + 1)
-        for batch in batches:
-            for data in batch.column("ids").to_pylist():
-                ids = np.frombuffer(data, np.int32)
-                place, which = own.walk(ids, size)
-                counts += np.bincount(which, minlength=len(counts))
-                if more:
-                    if whole:
-                        longer = np.append(place[1:] == place[:-1] + 1, False)[: len(place)]
-                    else:
-                        longer = place + width < len(ids)
-                        longer[longer] = ids[place[longer] + width] >= 0
-                    place, which = place[longer], which[longer]
-                    found.add(which.astype(np.int64) << 32 | ids[place + width], place, ids)
-                    if found.size > _HELD:
-                        yield from found.flush()
+        for ids in _stretches(batches):
+            place, which = own.walk(ids, size)
+            counts += np.bincount(which, minlength=len(counts))
+            if more:
+                if whole:
+                    longer = np.append(place[1:] == place[:-1] + 1, False)[: len(place)]
+                else:
+                    longer = place + width < len(ids)
+                    longer[longer] = ids[place[longer] + width] >= 0
+                place, which = place[longer], which[longer]
+                found.add(which.astype(np.int64) << 32 | ids[place + width], place, ids)
+                if found.size > _HELD:
+                    yield from found.flush()
         at = np.flatnonzero(counts)
-        for some in np.array_split(at, len(at) // 65536 + 1):
-            yield _phrases(own.phrases[some].T, counts[some], False)
+        yield from _phrases(own.phrases[at].T, counts[at], False)
         yield from found.flush()
 
     return emit
@@ -450,7 +454,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, most_words
     score 2000000 a / (l + r), floored, holds, the earliest if several. Phrases that stand within a longer one at
     least 0.8 times as frequent go.
 
-    Words are told apart by 64 bits within a stretch of 8 MB and by 128 bits against the frequent ones. Null texts
+    Words are told apart by 64 bits within a stretch of 4 MB and by 128 bits against the frequent ones. Null texts
     are empty, a null lang is ``und``. Repeated rows count each. No frequent phrase: no rows. Other
     columns, doc_id among them, are ignored.
     """

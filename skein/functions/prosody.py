@@ -55,10 +55,10 @@ def _features(data: bytes | None) -> tuple[float | None, ...]:
         return (len(x) / rate, float(np.sqrt(np.mean(x**2))), share, None, None, None, silence)
     at = np.flatnonzero(voiced) * hop / rate
     tones = 12 * np.log2(hz[voiced] / np.median(hz[voiced]))
-    last = at >= at[-1] - TAIL_S
-    slope = float(np.polyfit(at[last], tones[last], 1)[0]) if last.sum() > 2 else 0.0
-    third = max(1, int(last.sum()) // 3)
-    rise = float(np.median(tones[last][-third:]) - np.median(tones[last][:third]))
+    tail_at, tail = at[at >= at[-1] - TAIL_S], tones[at >= at[-1] - TAIL_S]
+    # A line through the tail: what it gains in a second, and from the tail's first frame to its last.
+    slope = float(np.polyfit(tail_at, tail, 1)[0]) if len(tail) > 2 else 0.0
+    rise = slope * float(tail_at[-1] - tail_at[0])
     return (len(x) / rate, float(np.sqrt(np.mean(x**2))), share, float(np.median(hz[voiced])), rise, slope, silence)
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Hashable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters with marks, and what they become.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿąćęłńśźżÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝĄĆĘŁŃŚŹŻ"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyacelnszzAAAAAACEEEEIIIINOOOOOOUUUUYACELNSZZ"
 PUNCTUATION = ".,?!:;"
+_BLANKS = re.compile(r"[ \t\r\n]+")
 
 
 def normalize(text: Column) -> Column:
@@ -59,16 +65,37 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.length(reference) == 0, F.when(F.length(hypothesis) == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(F.levenshtein(reference, hypothesis) / F.length(reference))
 
 
-def word_error_rate(reference: Column, hypothesis: Column, first_code: int = 0xA000) -> Column:
-    """The same over words: each distinct word becomes one character, and levenshtein compares those."""
-
-    def rate(x: Column) -> Column:
-        r, h, known = x.r, x.h, F.array_distinct(F.concat(x.r, x.h))
-        letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + (first_code - 1)), 4, "0")), "UTF-16BE")
-        coded = lambda y: F.array_join(F.transform(y, letter), "")
-        return F.when(F.size(r) == 0, F.when(F.size(h) == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(F.levenshtein(coded(r), coded(h)) / F.size(r))
-
-    return F.element_at(F.transform(F.array(F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))), rate), 1)
+def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Levenshtein distance of two sequences of any length: a column of the table at a time, its differences in the bits of two integers."""
+    if not a or not b:
+        return max(len(a), len(b))
+    where: dict[Hashable, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    rises, falls, distance = every, 0, len(a)
+    for y in b:
+        same = where.get(y, 0)
+        level = same | falls
+        carried = (((same & rises) + rises) ^ rises) | same
+        up, down = (falls | ~(carried | rises)) & every, rises & carried
+        distance += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & every, (down << 1) & every
+        rises, falls = (down | ~(level | up)) & every, up & level
+    return distance
+
+
+@F.pandas_udf(T.DoubleType())
+def word_error_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Levenshtein distance over words by the reference's words; of an empty reference 0 if the other is empty too, else 1. Null of a null."""
+
+    def rate(r: str | None, h: str | None) -> float | None:
+        if r is None or h is None:
+            return None
+        r, h = ([w for w in _BLANKS.split(x) if w] for x in (r, h))
+        return edit_distance(r, h) / len(r) if r else float(bool(h))
+
+    return pd.Series([rate(r, h) for r, h in zip(reference, hypothesis)], dtype="float64")
 
 
 def _count(text: Column, mark: str) -> Column:

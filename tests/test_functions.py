@@ -91,6 +91,27 @@ def test_error_rates_of_whole_texts(spark):
         assert abs(r.w - distance(r.a.split(), r.b.split()) / len(r.a.split())) < 1e-9
 
 
+def test_error_rates_of_very_many_distinct_words(spark):
+    import random
+
+    from skein.functions import text
+
+    a = [f"w{i}" for i in range(70_000)]
+    b = a[:1000] + ["x"] + a[1000:30_000] + a[30_007:] + ["y", "z"]
+    df = spark.createDataFrame([(" ".join(a), " ".join(b), "a b", None)], "a string, b string, c string, d string")
+    row = df.select(text.word_error_rate(F.col("a"), F.col("b")).alias("many"), text.word_error_rate(F.col("c"), F.col("d")).alias("none")).collect()[0]
+    assert row.many == (1 + 7 + 2) / 70_000 and row.none is None
+    rng = random.Random(2)
+    for _ in range(300):
+        p, q = ([rng.choice("abc") for _ in range(rng.randrange(70))] for _ in "pq")
+        table = list(range(len(q) + 1))
+        for i, x in enumerate(p, 1):
+            last, table[0] = table[0], i
+            for j, y in enumerate(q, 1):
+                last, table[j] = table[j], min(table[j] + 1, table[j - 1] + 1, last + (x != y))
+        assert text.edit_distance(p, q) == table[-1]
+
+
 def test_queries_beyond_a_broadcast_meet_in_blocks(spark, monkeypatch):
     from skein.operators import retrieval
 

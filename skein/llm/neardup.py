@@ -88,15 +88,20 @@ def shingles(data: bytes, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     return np.unique(rolling(words, min(width, max(1, len(words)))), return_counts=True)
 
 
+def identity(data: bytes) -> bytes:
+    """128 bits of the text's words: texts of the same words in the same order are copies."""
+    return xxhash.xxh3_128_digest(b" ".join(data.split()))
+
+
 def _signed(weigh: bool, bands: int, wide: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             hashes, keys = [], []
             for data in texts(batch.column("text")):
-                hashes.append(xxhash.xxh3_64_intdigest(b" ".join(data.split())) - 2**63)
+                hashes.append(identity(data))
                 sh, counts = shingles(data)
                 keys.append(band_hashes(dart_minhash(sh, counts.astype(np.float64) if weigh else None, bands * wide), bands).view(np.int64) if len(sh) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "t": batch.column("t"), "h": pa.array(hashes, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "t": batch.column("t"), "h": pa.array(hashes, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64()))})
 
     return emit
 
@@ -123,12 +128,13 @@ def _sets(weigh: bool, bands: int, wide: int, bits):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = np.frombuffer(bits.value, np.uint8)
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in slices(batches, 1024):
             cell = batch.column("cell").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((asked[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)))
             tags, sets, keys, sketches = [], [], [], []
-            for tag, data in zip(batch.column("t").to_pylist(), texts(batch.column("text"))):
+            for data in texts(batch.column("text")):
+                tag = identity(data)
                 if tag in seen:
                     continue
                 seen.add(tag)
@@ -139,13 +145,13 @@ def _sets(weigh: bool, bands: int, wide: int, bits):
                 keys.append(band_hashes(signature, bands).view(np.int64))
                 sketches.append(sketch(signature).view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_pydict({"t": pa.array(tags, pa.int64()), "s": pa.array(sets, pa.binary()), "bands": pa.array(keys, longs), "sketch": pa.array(sketches, longs)})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(tags, pa.binary()), "s": pa.array(sets, pa.binary()), "bands": pa.array(keys, longs), "sketch": pa.array(sketches, longs)})
 
     return emit
 
 
 def sets_of(whole: DataFrame, involved: DataFrame, weigh: bool, bands: int, wide: int) -> DataFrame:
-    """(node, s, bands, sketch) of the involved (node, t), with no text moved: a bitmap of bounded size drops most others where they are read."""
+    """(node, s, bands, sketch) of the involved (node, h, t), with no text moved: a bitmap of bounded size drops most others where they are read."""
     cells = min(MOST_CELLS, max(1 << 20, 1 << (8 * involved.count()).bit_length()))
     cell = F.pmod(F.xxhash64("t"), F.lit(cells))
     # Buckets and bits are counted from value 1 on.
@@ -154,8 +160,8 @@ def sets_of(whole: DataFrame, involved: DataFrame, weigh: bool, bands: int, wide
     for x in marks.collect():  # cells / 8 bytes at most
         asked[(x.bucket - 1) * 4096 : x.bucket * 4096] = np.frombuffer(x.bits, np.uint8)
     bits = whole.sparkSession.sparkContext.broadcast(asked.tobytes())
-    found = whole.select("t", "text", cell.alias("cell")).mapInArrow(_sets(weigh, bands, wide, bits), "t long, s binary, bands array<long>, sketch array<long>")
-    return found.join(involved, "t").drop("t").dropDuplicates(["node"])
+    found = whole.select("text", cell.alias("cell")).mapInArrow(_sets(weigh, bands, wide, bits), "h binary, s binary, bands array<long>, sketch array<long>")
+    return found.join(involved.drop("t"), "h").drop("h").dropDuplicates(["node"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +209,9 @@ def _may_link(similarity: float, k: int):
 
 
 def _classes(docs: DataFrame, similarity: float, bands: int, wide: int, weigh: bool) -> tuple[DataFrame, DataFrame]:
-    """(id, t, h), a row for each document, h a hash of its words; and (h, root, low, least): each text's class, the smallest id in it, null if it has none, and the smallest h."""
+    """(id, t, h), a row for each document, h 128 bits of its words; and (h, root, low, least): each text's class, the smallest id in it, null if it has none, and the smallest h."""
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), text_tag().alias("t"), body().alias("text"))
-    signed = write_table(whole.mapInArrow(_signed(weigh, bands, wide), "id long, t long, h long, bands array<long>"), "signed")
+    signed = write_table(whole.mapInArrow(_signed(weigh, bands, wide), "id long, t long, h binary, bands array<long>"), "signed")
     # One row for each text, reduced before the shuffle, and numbered in the order of the
     # smallest id: so what stands first in a bucket is its oldest text, mostly the original.
     own = signed.groupBy("h").agg(F.min(F.struct("t", "bands")).alias("x"), F.min("id").alias("low"))
@@ -213,7 +219,7 @@ def _classes(docs: DataFrame, similarity: float, bands: int, wide: int, weigh: b
     own = write_table(own.withColumn("node", F.monotonically_increasing_id()), "texts")
     rows = own.select(F.explode("bands").alias("k"), F.col("node").alias("doc"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("c"))
     met = write_table(later_documents(rows, 2, False, "buckets").select("k", "doc", "first"), "met")
-    involved = met.select(F.col("doc").alias("node")).union(met.select("first")).distinct().join(own.select("node", "t"), "node")
+    involved = met.select(F.col("doc").alias("node")).union(met.select("first")).distinct().join(own.select("node", "h", "t"), "node")
     sets = write_table(sets_of(whole, write_table(involved, "involved"), weigh, bands, wide), "sets")
     known = sets.select(F.col("node").alias("doc"), (F.octet_length("s") / 8).alias("n"), "bands", "sketch")
     # First every text beside one: the smallest it shares a band with.
@@ -237,7 +243,7 @@ def _in_split_buckets(met: DataFrame, root: DataFrame) -> DataFrame:
     members = met.unionAll(met.select("k", F.col("first").alias("doc"), "first").distinct())
     members = members.join(root.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     split = members.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k")
-    return members.join(split, "k", "left_semi")
+    return spread_join(members, split, ["k"], "left_semi", counted=met, place=F.col("doc"))
 
 
 def _star_pairs(apart: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -284,7 +290,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, band
     rows: no rows. Other columns are ignored.
     """
     rows, classes = _classes(docs, similarity, bands, wide, weigh)
-    named = F.coalesce("low", -F.shiftrightunsigned("least", 1) - 1)
+    named = F.coalesce("low", -F.shiftrightunsigned(F.xxhash64("least"), 1) - 1)
     return spread_join(rows, classes.select("h", named.alias("class_id")), ["h"]).select(F.col("id").alias("doc_id"), "class_id")
 
 

@@ -24,7 +24,7 @@ LEAST, LONGEST, TOP, SHARE = 30, 4, 2000, 80
 SCALE = 2_000_000
 NO_LANG = "und"
 #: Words whose hashes one broadcast holds (20 bytes each), and phrases in one trie; of more, there are several, one after another.
-MOST_WORDS, MOST_PHRASES = 1 << 21, 1 << 19
+MOST_WORDS, MOST_PHRASES = 1 << 21, 1 << 18
 #: Text that is hashed at a time, and that makes one row of the written numbers.
 _BLOCK, _BLOB = 1 << 18, 1 << 22
 #: Word numbers up to which a task holds a table of them; beyond it searches.
@@ -210,24 +210,30 @@ def _placed(parent: np.ndarray, letter: np.ndarray, used: np.ndarray) -> tuple[n
     grouped = np.argsort(parent, kind="stable")
     _, begin, many = np.unique(parent[grouped], return_index=True, return_counts=True)
     slot = np.empty(len(parent), np.int64)
-    free, low, end = np.flatnonzero(~used), 0, int(np.flatnonzero(used)[-1]) + 1
-    for node in np.argsort(-many, kind="stable"):
-        if many[node] == 1:
-            break
+    end = int(np.flatnonzero(used)[-1]) + 1
+    families = np.argsort(-many, kind="stable")[: int((many > 1).sum())]
+    free = low = 0
+    for turn, node in enumerate(families):
         own = grouped[begin[node] : begin[node] + many[node]]
         shift = letter[own] - letter[own].min()
-        place, step = end + shift, max(4, min(256, (1 << 16) // int(many[node])))
-        for turn in range(16):
-            tried = free[low + turn * step : low + (turn + 1) * step, None] + shift
-            fits = np.flatnonzero(~(used[np.minimum(tried, len(used) - 1)] & (tried < len(used))).any(1))
+        if end + int(shift.max()) >= len(used):
+            used = np.append(used, np.zeros(len(used) + int(shift.max()), bool))
+            free = 0
+        if turn % 512 == 0 or isinstance(free, int):
+            free, low = np.flatnonzero(~used[: end + 1]), 0  # from the last on, all fits
+        at, step = low, max(4, min(256, (1 << 16) // len(own)))
+        while True:
+            tried = free[at : at + step, None] + shift
+            fits = np.flatnonzero(~used[tried].any(1))
             if len(fits):
                 place = tried[fits[0]]
                 break
-        if turn > 4:  # it is crowded here
-            low = min(low + step, len(free))
+            at, step = at + step, min(2 * step, max(4, (1 << 18) // len(own)))
+            if at >= len(free):
+                place = end + shift
+                break
+        low = min(max(low, at - 1024), len(free))  # it is crowded before
         end = max(end, int(place.max()) + 1)
-        if end > len(used):
-            used = np.append(used, np.zeros(end, bool))
         used[place] = True
         slot[own] = place
     alone = grouped[begin[many == 1]]
@@ -258,8 +264,7 @@ class Trie:
         letters = np.empty(len(alphabet), np.int32)
         letters[np.argsort(-uses, kind="stable")] = np.arange(len(alphabet), dtype=np.int32)  # frequent words get small letters
         rows = letters[inside.reshape(phrases.shape)]
-        used = np.zeros(2 * (len(alphabet) + len(phrases)) + 2, bool)
-        used[0] = True
+        used = np.ones(1, bool)
         base, check = np.zeros(0, np.int32), np.zeros(0, np.int32)
         state, child = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)  # of each phrase so far; is its part so far a new one
         child[:1] = True
@@ -268,6 +273,7 @@ class Trie:
             first = np.flatnonzero(child)
             parent, letter = state[first], rows[first, level].astype(np.int64)
             used, slot = _placed(parent, letter, used)
+            used = used[: max(int(np.flatnonzero(used)[-1]) + 1, len(base))]
             base, check = (np.append(x, np.full(len(used) - len(x), -1, np.int32)) for x in (base, check))
             base[parent] = slot - letter
             check[slot] = parent
@@ -410,7 +416,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST
     found = vocabulary.select(F.array(F.col("number").cast("int")).alias("p"), F.lit(1).alias("size"), F.col("n").alias("a"), "lang")
     if size:
         numbers = numbers_of(texts_, vocabulary, size, most_words)
-        rows = write_table(numbers.mapInArrow(_pairs, _ROWS), "pairs")
+        rows = numbers.mapInArrow(_pairs, _ROWS)  # read once
         before = None
         for width in range(2, LONGEST + 1):
             own = _WORDS[:width]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.plans.registry import query, table
-from skein.streaming import stateful
+from skein.streaming import stateful, traces
 
 
 @query("""
@@ -32,3 +32,44 @@ def ready_after_grace(spark, sf_dir):
     newest = events.agg(F.max("ts").alias("now"))
     ended = events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     return ended.join(newest, F.col("last") + F.expr("INTERVAL 90 SECOND") <= F.col("now")).select("user_id", "n", F.to_date("last").cast("string").alias("last_day"))
+
+
+_IDLE_HOURS = 6
+_PAIRS = ", ".join(f"('{name}', '{first}', '{then}')" for name, (first, then) in traces.METRICS.items())
+_TRACES = f"""
+marks AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, min(epoch_us(ts)) AS us, max(epoch_us(ts)) AS last_us FROM events GROUP BY 1, 2, 3),
+spans AS (SELECT user_id, day, min(us) AS began_us, max(last_us) AS last_us FROM marks GROUP BY 1, 2),
+told AS (SELECT * FROM spans WHERE last_us // 1000 + {_IDLE_HOURS * 3_600_000} + 1 <= (SELECT max(epoch_us(ts)) // 1000 FROM events)),
+phases AS (SELECT user_id, day, event_type, (us - began_us) // 1000 AS ms, began_us, t.last_us FROM told t JOIN marks USING (user_id, day))"""
+
+
+def _live_traces(spark, sf_dir):
+    days = stateful.file_stream(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
+    return stateful.run_available(traces.assemble(days, ["user_id", "day"], "event_type", "ts", f"{_IDLE_HOURS} hours"), keyed=True)
+
+
+@query(f"""WITH {_TRACES}
+SELECT user_id, day, began_us, max(last_us) AS last_us, count(*) AS n_marks, string_agg(event_type || '=' || ms, ',' ORDER BY event_type) AS phases_ms FROM phases GROUP BY 1, 2, 3""")
+def live_traces(spark, sf_dir):
+    """Traces of a user's day from a stream, each told once, six hours after its last event; those still open at the end are not told."""
+    listed = F.transform(F.array_sort(F.map_entries("phases_ms")), lambda x: F.concat(x.key, F.lit("="), x.value.cast("string")))
+    return _live_traces(spark, sf_dir).select("user_id", "day", "began_us", "last_us", F.size("phases_ms").cast("long").alias("n_marks"), F.array_join(listed, ",").alias("phases_ms"))
+
+
+@query(f"""WITH {_TRACES}, m AS (SELECT p.user_id, p.day, metric, y.ms - p.ms AS ms FROM (VALUES {_PAIRS}) AS t(metric, a, b) JOIN phases p ON p.event_type = a JOIN phases y ON y.event_type = b AND y.user_id = p.user_id AND y.day = p.day WHERE y.ms >= p.ms)
+SELECT user_id, day, metric, ms FROM m""")
+def live_trace_metrics(spark, sf_dir):
+    """The seven named metrics of every told trace."""
+    return _live_traces(spark, sf_dir).select("user_id", "day", F.inline(traces.metrics(F.col("phases_ms"))))
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT user_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS asked, epoch_us(ts) AS us, event_id FROM events),
+c AS (SELECT user_id, asked, min(us) AS us, arg_min(event_id, (us, event_id)) AS event_id FROM r GROUP BY 1, 2
+  UNION ALL SELECT x.user_id, x.asked, x.us, x.event_id FROM (SELECT r.*, row_number() OVER (PARTITION BY r.user_id, r.asked ORDER BY r.us, r.event_id) AS nth FROM c JOIN r ON r.user_id = c.user_id AND r.asked = c.asked AND r.us > c.us + 86400000000) x WHERE x.nth = 1)
+SELECT r.user_id, r.event_id AS request, c.event_id <> r.event_id AS hit, c.event_id AS computed_by
+FROM r JOIN c ON c.user_id = r.user_id AND c.asked = r.asked AND r.us BETWEEN c.us AND c.us + 86400000000""")
+def cached_results(spark, sf_dir):
+    """Each user's cache of at most a hundred answers that serve for a day: hits, and which request computed the answer."""
+    asked = stateful.file_stream(spark, sf_dir, "events").withColumn("asked", F.get_json_object("props", "$.k"))
+    return stateful.run_available(traces.cached(asked, "user_id", "asked", "event_id", "ts", "1 day"), keyed=True)

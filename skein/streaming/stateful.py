@@ -31,11 +31,18 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: in
     return df.withColumns({c: df[c].cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
-def run_available(out: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs the stream over all that is there, into a table of the shared folder."""
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_available(out: DataFrame, mode: str = "append", keyed: bool = False) -> DataFrame:
+    """Runs the stream over all that is there, into a table of the shared folder. keyed: its state has several parts or timers."""
     spark = out.sparkSession
     base = f"{shared_folder(spark)}/skein-stream-{uuid.uuid4().hex}"
+    if keyed:
+        spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     started = out.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    if keyed:
+        spark.conf.unset(_STORE)  # the query has its own copy
     started.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 

@@ -41,3 +41,37 @@ def test_duplicate_requests_of_shuffled_files(spark, sf_dir, shuffled):
         want.add((r["user_id"], r["event_id"], known[0]))
     got = [tuple(r) for r in catalog.QUERIES["stream_duplicate_requests"](spark, shuffled).select("user_id", "event_id", "first_id").collect()]
     assert len(got) == len(events) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["live_traces", "live_trace_metrics", "cached_results"])
+def test_keyed_state_over_shuffled_files(name, spark, shuffled, duck, same_rows):
+    same_rows(catalog.QUERIES[name](spark, shuffled).toPandas(), duck.sql(catalog.SQL[name]).df())
+
+
+def test_a_trace_is_told_once_and_a_small_cache_drops_the_oldest(spark, tmp_path):
+    from datetime import UTC, datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from skein.streaming import stateful, traces
+
+    start = datetime(2024, 5, 1, tzinfo=UTC)
+    files = [
+        [("s", 1, "end", 50), ("s", 1, "begin", 10), ("t", 2, "begin", 20)],
+        [("u", 1, "begin", 4000)],  # the watermark passes the first two
+        [("s", 1, "begin", 4001), ("u", 1, "end", 4002), (None, None, "begin", 4003), ("u", 1, None, 4004)],
+        [("v", 9, "begin", 90_000)],
+    ]
+    folder = tmp_path / "marks.parquet"
+    folder.mkdir()
+    for n, rows in enumerate(files):
+        at = pa.array([start + timedelta(seconds=x[3]) for x in rows], pa.timestamp("us", "UTC"))
+        pq.write_table(pa.table({"session": pa.array([x[0] for x in rows], pa.string()), "turn": pa.array([x[1] for x in rows], pa.int64()), "mark": pa.array([x[2] for x in rows], pa.string()), "ts": at, "id": pa.array(range(n * 10, n * 10 + len(rows)), pa.int64())}), folder / f"{n}.parquet")
+        os.utime(folder / f"{n}.parquet", (1_700_000_000 + n * 60,) * 2)
+    stream = lambda: stateful.file_stream(spark, str(tmp_path), "marks", 1)
+    told = stateful.run_available(traces.assemble(stream(), ["session", "turn"], "mark", "ts", "10 minutes"), keyed=True).collect()
+    assert sorted((str(r.session), str(r.turn), dict(r.phases_ms)) for r in told) == [("None", "None", {"begin": 0}), ("s", "1", {"begin": 0, "end": 40_000}), ("t", "2", {"begin": 0}), ("u", "1", {"begin": 0, "end": 2000})]
+    asked = stream().withColumn("who", F.lit("x")).withColumn("asked", F.concat_ws("/", "session", "turn"))
+    got = {r.request: (r.hit, r.computed_by) for r in stateful.run_available(traces.cached(asked, "who", "asked", "id", "ts", "2 hours", 2), keyed=True).collect()}
+    # s/1 at 10 s is asked again at 50 s; t/2 and u/1 follow, so s/1 is the oldest of three and goes.
+    assert got == {1: (False, 1), 2: (False, 2), 0: (True, 1), 10: (False, 10), 20: (False, 20), 21: (True, 10), 22: (False, 22), 23: (False, 23), 30: (False, 30)}

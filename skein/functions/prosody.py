@@ -16,7 +16,7 @@ LOW_HZ, HIGH_HZ = 70.0, 400.0
 FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("seconds", "rms", "voiced_share", "median_hz", "rise_semitones", "tail_slope", "longest_silence_s")])
 
 
-def _samples(data: bytes) -> tuple[np.ndarray, int]:
+def samples_of(data: bytes) -> tuple[np.ndarray, int]:
     with wave.open(io.BytesIO(data)) as w:
         if w.getsampwidth() != 2:
             raise ValueError("only 16-bit PCM is read")
@@ -39,7 +39,7 @@ def _pitch(frame: np.ndarray, rate: int) -> float:
 def _features(data: bytes | None) -> tuple[float | None, ...]:
     if data is None:
         return (None,) * len(FEATURES)
-    x, rate = _samples(data)
+    x, rate = samples_of(data)
     size, hop = int(FRAME_S * rate), int(HOP_S * rate)
     if len(x) < size:
         return (len(x) / rate, 0.0, 0.0, None, None, None, len(x) / rate)

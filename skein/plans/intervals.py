@@ -13,9 +13,10 @@ _SPAN = "iv AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS a,
 _HOUR = 3_600_000_000
 
 
-def _intervals(spark, sf_dir):
+def _intervals(spark, sf_dir, open_ends=False):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros("ts").alias("a"), F.unix_micros(F.lead("ts").over(w)).alias("b")).where("b is not null")
+    spans = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros("ts").alias("a"), F.unix_micros(F.lead("ts").over(w)).alias("b"))
+    return spans if open_ends else spans.where("b is not null")
 
 
 @query(f"""WITH {_SPAN}, w AS (SELECT event_id AS window_id, user_id, a AS wa, a + {6 * _HOUR} AS wb FROM iv WHERE event_type = 'purchase' AND b IS NOT NULL)

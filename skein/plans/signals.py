@@ -66,7 +66,7 @@ _NESTED = """{"user": %d, "told": [{"time": {"begin": %d, "end": "%d"}, "models"
 @query("""
 WITH k AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id AS u FROM events)
 SELECT event_id, path, 'scores' AS kind, CASE WHEN path = 'told.0' THEN u END::DOUBLE AS begin_s, CASE WHEN path = 'told.0' THEN u + k END::DOUBLE AS end_s, unnest(['bold', 'calm']) AS name, unnest([1.0, k / 100.0::DOUBLE])::DOUBLE AS score, unnest([1, 2])::BIGINT AS place
-FROM k, (VALUES ('told.0'), ('told.0.models')) AS both(path)
+FROM k, (VALUES ('told.0'), ('told.0.models')) AS places(path)
 UNION ALL SELECT event_id, 'told.1.deep.0.0', 'emotions', k::DOUBLE, NULL, unnest(CASE WHEN k > 0 THEN ['odd', 'bare'] ELSE ['bare', 'odd'] END), unnest([k / 200.0::DOUBLE, 0.0])::DOUBLE, unnest([1, 2])::BIGINT FROM k""")
 def nested_score_windows(spark, sf_dir):
     """Named scores out of nested answers made of the events' properties, wherever they stand; an inner object that has them counts too."""

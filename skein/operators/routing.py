@@ -60,6 +60,28 @@ def segment(rows: DataFrame, key: str, text: str, operations: dict[str, str], co
     return all_rows.select(key, decision.alias("decision"), reason.alias("reason"), F.when(decision.isin("simple", "compound"), F.col("subtasks")).otherwise(F.lit(None)).alias("subtasks"))
 
 
+def expand_targets(rows: DataFrame, key: str, text: str, operations: dict[str, str], connectors: set[str], targets: dict[str, str], most: int = MOST_SUBTASKS) -> DataFrame:
+    """(key, number, part, operation, target, start, end): a row for each target of each sub-task, with where it stands in the text.
+
+    Sub-tasks begin as :func:`segment` has them. A word that begins like a target's marker names that target; further
+    targets take over the sub-task's operation. A sub-task that names none has one row without target, which spans its words. Offsets
+    are in characters, from 0, the end exclusive. A text of over ``most`` rows has none at all.
+    """
+    t = tokens(rows, key, text).withColumn("operation", _lookup(F.col("token"), operations)).withColumn("target", _lookup(F.col("token"), targets))
+    order = Window.partitionBy(key).orderBy("at")
+    first = F.coalesce(F.max(F.col("operation").isNotNull()).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    joined = F.coalesce(F.lag(F.col("token").isin(sorted(connectors))).over(order), F.lit(False))
+    begins = F.col("operation").isNotNull() & (~first | joined)
+    t = t.withColumn("begins", begins).withColumn("number", F.sum(F.col("begins").cast("long")).over(order)).where("number > 0").withColumn("end", F.col("start") + F.length("token"))
+    # The anchor's own word names no target.
+    named = F.array_sort(F.collect_list(F.when(F.col("target").isNotNull() & ~F.col("begins"), F.struct("at", "target", "start", "end"))))
+    tasks = t.groupBy(key, "number").agg(F.max(F.when(F.col("begins"), F.col("operation"))).alias("operation"), named.alias("named"), F.min("start").alias("start"), F.max("end").alias("end"))
+    alone = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("target"), "start", "end"))
+    each = tasks.select(key, "number", "operation", F.posexplode(F.when(F.size("named") > 0, F.col("named")).otherwise(alone)).alias("part", "x"))
+    counted = each.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("_n") <= most)
+    return counted.select(key, "number", (F.col("part") + 1).cast("long").alias("part"), "operation", "x.target", "x.start", "x.end")
+
+
 def lexical_score(operation_matches: Column, target_matches: Column, token_overlap: Column) -> Column:
     """Half for the operation, 0.3 for the target (half of it if unknown), 0.2 for the best word overlap."""
     return 0.5 * operation_matches.cast("double") + 0.3 * F.coalesce(target_matches.cast("double"), F.lit(0.5)) + 0.2 * token_overlap

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import vectors
-from skein.operators import retrieval, routing
+from skein.operators import arguments, retrieval, routing
 from skein.plans.registry import query, table
 
 # Our own markers, in the languages of the tables.
@@ -35,6 +35,56 @@ def segment_commands(spark, sf_dir):
     return found.select("request_id", "decision", "reason", F.array_join(F.transform("subtasks", lambda x: x.operation), ",").alias("operations"))
 
 
+TARGETS = {"th": "door", "lei": "window", "leau": "window", "ch": "chair", "ado": "lamp", "ing": "table"}
+_AIM = "CASE " + " ".join(f"WHEN starts_with(token, '{k}') THEN '{v}'" for k, v in sorted(TARGETS.items(), key=lambda x: (-len(x[0]), x[0]))) + " END"
+
+
+@query(f"""
+WITH r AS (SELECT conv_id * 100 + turn AS request_id, regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}]*[\\p{{L}}\\p{{N}}]+') AS gs FROM conversations WHERE role = 'user'),
+g AS (SELECT request_id, unnest(gs) AS g, unnest(range(0, len(gs))) AS n FROM r),
+t AS (SELECT request_id, n, lower(regexp_extract(g, '[\\p{{L}}\\p{{N}}]+')) AS token, sum(length(g)) OVER (PARTITION BY request_id ORDER BY n) AS stop FROM g),
+o AS (SELECT *, {_FIND} AS operation, {_AIM} AS target, token IN {_IN(CONNECTORS)} AS joins FROM t),
+b AS (SELECT *, operation IS NOT NULL AND (NOT coalesce(bool_or(operation IS NOT NULL) OVER (PARTITION BY request_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+   OR coalesce(lag(joins) OVER (PARTITION BY request_id ORDER BY n), false)) AS begins FROM o),
+s AS (SELECT *, sum(begins::INT) OVER (PARTITION BY request_id ORDER BY n) AS number, stop - length(token) AS start FROM b),
+k AS (SELECT request_id, number, max(CASE WHEN begins THEN operation END) AS operation, min(start) AS a, max(stop) AS z, count(*) FILTER (WHERE target IS NOT NULL AND NOT begins) AS targets FROM s WHERE number > 0 GROUP BY 1, 2),
+e AS (SELECT request_id, number, k.operation, target, start, stop, row_number() OVER (PARTITION BY request_id, number ORDER BY n) AS part FROM s JOIN k USING (request_id, number) WHERE target IS NOT NULL AND NOT begins
+  UNION ALL SELECT request_id, number, operation, NULL, a, z, 1 FROM k WHERE targets = 0)
+SELECT request_id, number::BIGINT AS number, part::BIGINT AS part, operation, target, start::BIGINT AS start, stop::BIGINT AS "end" FROM e QUALIFY count(*) OVER (PARTITION BY request_id) <= 12""")
+def expanded_targets(spark, sf_dir):
+    """A row for each target of each sub-task of the user turns, with its place in the text."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("request_id"), "text")
+    return routing.expand_targets(turns, "request_id", "text", OPERATIONS, CONNECTORS, TARGETS)
+
+
+# Fixed values of our own: what three actions take.
+RULES = (
+    arguments.Rule("look_up", "query", r"(?i)\b(?:the|la|der|el)\s+([^.?!]+)", strip=" \t\n,;:"),
+    arguments.Rule("look_up", "limit", r"\b([0-9]+)\b", kind="integer", required=False, default="5"),
+    arguments.Rule("write_to", "address", r"([A-Za-z0-9._-]+@[A-Za-z0-9.-]+[A-Za-z0-9])"),
+    arguments.Rule("write_to", "subject", r"^\s*([^\s.?!,;:]+)", required=False),
+    arguments.Rule("choose", "side", r"(?i)\b(and|or|et|ou|und|oder|y|o)\b", kind="choice", choices=(("and", "both"), ("et", "both"), ("und", "both"), ("y", "both"), ("or", "either"), ("ou", "either"))),
+)
+_ACT = "CASE (conv_id + turn) % 4 WHEN 0 THEN 'look_up' WHEN 1 THEN 'write_to' WHEN 2 THEN 'choose' ELSE 'dance' END"
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, {_ACT} AS action, text FROM conversations),
+x AS (SELECT *, nullif(trim(regexp_extract(text, '(?i)\b(?:the|la|der|el)\s+([^.?!]+)', 1), E' \t\n,;:'), '') AS q, nullif(regexp_extract(text, '\b([0-9]+)\b', 1), '') AS n,
+  nullif(regexp_extract(text, '([A-Za-z0-9._-]+@[A-Za-z0-9.-]+[A-Za-z0-9])', 1), '') AS address, nullif(regexp_extract(text, '^\s*([^\s.?!,;:]+)', 1), '') AS subject, nullif(lower(regexp_extract(text, '(?i)\b(and|or|et|ou|und|oder|y|o)\b', 1)), '') AS side FROM t)
+SELECT conv_id, turn, CASE WHEN action = 'look_up' THEN q END AS query, CASE WHEN action = 'look_up' THEN CASE WHEN n IS NULL THEN 5 ELSE try_cast(n AS BIGINT) END END AS "limit", CASE WHEN action = 'write_to' THEN address END AS address, CASE WHEN action = 'write_to' THEN subject END AS subject,
+  CASE WHEN action = 'choose' THEN CASE WHEN side IN ('and', 'et', 'und', 'y') THEN 'both' WHEN side IN ('or', 'ou') THEN 'either' END END AS side,
+  CASE action WHEN 'look_up' THEN concat_ws(',', CASE WHEN q IS NULL THEN 'missing:query' END, CASE WHEN n IS NOT NULL AND try_cast(n AS BIGINT) IS NULL THEN 'invalid:limit' END) WHEN 'write_to' THEN CASE WHEN address IS NULL THEN 'missing:address' ELSE '' END
+    WHEN 'choose' THEN CASE WHEN side IS NULL THEN 'missing:side' WHEN side IN ('oder', 'o') THEN 'invalid:side' ELSE '' END ELSE 'unknown_action' END AS errors FROM x""")
+def extracted_arguments(spark, sf_dir):
+    """What the turns say for the arguments of three actions, typed, and what is missing or doesn't convert."""
+    turn = (F.col("conv_id") + F.col("turn")) % 4
+    action = F.when(turn == 0, "look_up").when(turn == 1, "write_to").when(turn == 2, "choose").otherwise("dance")
+    found = arguments.extract(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", action.alias("action")), "action", "text", RULES)
+    get = lambda name, kind="string": F.try_variant_get("arguments", f"$.{name}", kind).alias(name)
+    return found.select("conv_id", "turn", get("query"), get("limit", "bigint"), get("address"), get("subject"), get("side"), F.array_join("errors", ",").alias("errors"))
+
+
 _COS = "coalesce(list_inner_product(q.v, c.v) / nullif(sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v)), 0), 0.0)"
 
 

@@ -56,6 +56,17 @@ def shingles(text: Column, width: int = 5) -> Column:
     return F.flatten(F.transform(F.array(words(text)), runs))
 
 
+def shingle_hashes(text: Column, width: int = 5) -> Column:
+    """The same runs, as 64 bits each: of the words, which are hashed once."""
+
+    def runs(h: Column) -> Column:
+        hashed = F.transform(F.sequence(F.lit(1), F.size(h) - (width - 1)), lambda i: F.xxhash64(F.slice(h, i, width)))
+        return F.when(F.size(h) >= width, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+
+    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
+    return F.flatten(F.transform(F.array(hashes), runs))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.functions.text import words
 from skein.sources.scratch import write_table
 
 
@@ -47,6 +48,29 @@ def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+#: Runs of the smaller side that are broadcast, at 24 bytes each, and no more.
+MOST_RUNS = 2_000_000
+
+
+def shared_runs(many: DataFrame, many_id: str, few: DataFrame, few_id: str, text: str, width: int) -> DataFrame:
+    """(many_id, few_id, n_shared): the distinct runs of ``width`` words that two texts share.
+
+    A run is told by two hashes of 64 bits. If those of ``few`` are not too many they are broadcast, so
+    nearly all runs of ``many`` go where they are made; else both sides are dealt by them.
+    """
+
+    def runs(rows: DataFrame, id: str) -> DataFrame:
+        # Arrays around the words and their hashes bind them, so that they are made once and not for every run.
+        hashed = F.transform(F.array(words(F.col(text))), lambda ws: F.struct(F.transform(ws, lambda w: F.xxhash64(w)).alias("h"), F.transform(ws, lambda w: F.xxhash64(w, F.lit(1))).alias("g")))
+        one = lambda x, i: F.struct(F.xxhash64(F.slice(x.h, i, width)).alias("h"), F.xxhash64(F.slice(x.g, i, width)).alias("g"))
+        each = F.transform(hashed, lambda x: F.when(F.size(x.h) >= width, F.transform(F.sequence(F.lit(1), F.size(x.h) - (width - 1)), lambda i: one(x, i))))
+        return rows.select(F.col(id), F.inline(F.flatten(each)))
+
+    small = write_table(runs(few, few_id).distinct(), "runs")
+    side = F.broadcast(small) if small.count() <= MOST_RUNS else small
+    return runs(many, many_id).join(side, ["h", "g"]).distinct().groupBy(many_id, few_id).agg(F.count("*").alias("n_shared"))
+
+
 def representatives(rows: DataFrame) -> DataFrame:
     """(id, first): the smallest id with the row's token set, or without tokens with its text; rows: id, text, tokens.
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from skein.functions import fuzzy, privacy, text
-from skein.operators import dedup, splits
+from skein.operators import dedup, percentiles, splits
 from skein.plans.registry import query, table
+from skein.sources.scratch import write_table
 
 # Fragments of the SQL that say the same as the functions.
 _MARKS = f"'{text.MARKED}', '{text.PLAIN}'"
@@ -52,7 +53,7 @@ SELECT CASE WHEN reason IS NOT NULL THEN 'unused' ELSE {_SPLIT.format('source')}
 FROM gated GROUP BY 1""")
 def corpus_summary(spark, sf_dir):
     """The corpus run: normalise, keep first copies, redact and quarantine, split by session, count."""
-    firsts = dedup.first_of_each(table(spark, sf_dir, "documents"), F.sha2(text.normalize(F.col("text")), 256), "doc_id")
+    firsts = dedup.first_of_each(table(spark, sf_dir, "documents", spread=True), F.sha2(text.normalize(F.col("text")), 256), "doc_id")
     rows = privacy.redacted(firsts.withColumn("speaker", _speaker()))
     rows = rows.withColumn("reason", privacy.quarantine_reason(F.col("speaker"), F.col("clean"), F.col("flags")))
     split = F.when(F.col("reason").isNotNull(), F.lit("unused")).otherwise(splits.hash_split(F.col("source")))
@@ -63,8 +64,8 @@ def corpus_summary(spark, sf_dir):
 
 @query(f"""SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sha256({_NORM.format('text')}) ORDER BY doc_id) AS first_id FROM documents""")
 def exact_dedup_first(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize(F.col("text")), 256).alias("h"))
-    return dedup.with_first_id(docs, "h", "doc_id").select("doc_id", "first_id")
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", F.sha2(text.normalize(F.col("text")), 256).alias("h"))
+    return dedup.with_first_id(write_table(docs, "hashes"), "h", "doc_id").select("doc_id", "first_id")
 
 
 @query(f"SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, {_SPLIT.format('CAST(conv_id AS VARCHAR)')} AS split FROM conversations GROUP BY conv_id")
@@ -82,7 +83,7 @@ def pii_flag_counts(spark, sf_dir):
 
 @query(f"WITH src AS (SELECT *, {_SPEAKER} AS speaker FROM documents), {_REDACTED} SELECT coalesce({_REASON}, 'clean') AS reason, count(*) AS n_docs, CAST(sum(length(clean)) AS BIGINT) AS n_chars FROM redacted GROUP BY 1")
 def quarantine_reasons(spark, sf_dir):
-    rows = privacy.redacted(table(spark, sf_dir, "documents").withColumn("speaker", _speaker()))
+    rows = privacy.redacted(table(spark, sf_dir, "documents", spread=True).withColumn("speaker", _speaker()))
     reason = F.coalesce(privacy.quarantine_reason(F.col("speaker"), F.col("clean"), F.col("flags")), F.lit("clean"))
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_docs"), F.sum(F.length("clean")).alias("n_chars"))
 
@@ -102,12 +103,11 @@ SELECT role, count(*) AS n_rows, round(quantile_cont(n, 0.25), 6) AS q25, round(
 FROM t GROUP BY role""")
 def style_profile(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("role <> 'system' and trim(text) <> ''").withColumn("n", text.word_count(F.col("text")).cast("double"))
-    median = F.percentile("n", 0.5)
-    return rows.groupBy("role").agg(
-        F.count("*").alias("n_rows"), F.round(F.percentile("n", 0.25), 6).alias("q25"), F.round(median, 6).alias("median"), F.round(F.percentile("n", 0.75), 6).alias("q75"),
-        F.round(F.avg(F.contains("text", F.lit("?")).cast("double")), 6).alias("question_share"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"),
-        F.when(median < 12, F.lit("short")).when(median < 60, F.lit("medium")).otherwise(F.lit("long")).alias("band"),
-    )
+    found = percentiles.linear(rows, "role", "n", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    median = F.col("median")
+    band = F.when(median < 12, F.lit("short")).when(median < 60, F.lit("medium")).otherwise(F.lit("long"))
+    shares = rows.groupBy("role").agg(F.count("*").alias("n_rows"), F.round(F.avg(F.contains("text", F.lit("?")).cast("double")), 6).alias("question_share"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
+    return shares.join(found.select("role", *[F.round(c, 6).alias(c) for c in ("q25", "median", "q75")], band.alias("band")), "role")
 
 
 _PAIRS = """
@@ -238,7 +238,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c F
 SELECT a, b, round(c / (na + nb - c)::DOUBLE, 6) AS jaccard FROM p WHERE c / (na + nb - c)::DOUBLE >= 0.88""")
 def shingle_jaccard_pairs(spark, sf_dir):
     """Pairs of a five-word shingle similarity of 0.88 or more; copies are represented by their first."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.shingles(F.col("text")).alias("tokens"))
+    docs = table(spark, sf_dir, "documents", spread=True).select(F.col("doc_id").alias("id"), text.shingle_hashes(F.col("text")).alias("tokens"))
     return dedup.similar_pairs(docs, 0.88).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -248,8 +248,7 @@ g AS (SELECT side, id, unnest(list_distinct(list_transform(range(1, len(w) - 11)
 SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM g d JOIN g b ON d.side = 'd' AND b.side = 'b' AND d.g = b.g GROUP BY 1, 2""")
 def benchmark_overlap(spark, sf_dir):
     """Runs of 13 words that a document shares with a benchmark item."""
-    grams = lambda name, key: table(spark, sf_dir, name).select(F.col(key), F.explode(text.shingles(F.col("text"), 13)).alias("g"))
-    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    return dedup.shared_runs(table(spark, sf_dir, "documents", spread=True), "doc_id", table(spark, sf_dir, "benchmark"), "item_id", "text", 13)
 
 
 @query(f"""

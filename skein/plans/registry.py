@@ -20,7 +20,21 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; timestamps without zone are taken as UTC."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bytes a core, below which a table of few files is dealt over all cores.
+SMALL = 16 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; timestamps without zone are taken as UTC.
+
+    spread: for work that costs much more than the reading. A table that is small for the cores, and has
+    fewer files than there are cores, is dealt over all of them; any other is read as it lies.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if spread:
+        cores, folder = spark.sparkContext.defaultParallelism, spark._jvm.org.apache.hadoop.fs.Path(path)
+        held = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder)
+        if held.getFileCount() < cores and held.getLength() < SMALL * cores:
+            df = df.repartition(cores)
     return df.withColumns({c: df[c].cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skein.operators import percentiles
 from skein.plans.registry import query, table
 
 
@@ -70,19 +71,19 @@ def _phases(spark, sf_dir):
 @query(_PHASE + " SELECT status, count(*) AS n, round(quantile_cont(seconds, 0.5), 3) AS p50, round(quantile_cont(seconds, 0.95), 3) AS p95 FROM p WHERE seconds >= 0 GROUP BY status")
 def phase_latency(spark, sf_dir):
     """How long each status lasts: until the next event of the same source."""
-    return _phases(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.round(F.percentile("seconds", 0.5), 3).alias("p50"), F.round(F.percentile("seconds", 0.95), 3).alias("p95"))
+    return percentiles.linear(_phases(spark, sf_dir), "status", "seconds", {"p50": 0.5, "p95": 0.95}).select("status", "n", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
     """Linear interpolation."""
-    return _events(spark, sf_dir).groupBy("event_type").agg(*[F.round(F.percentile("value", q), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.99)])
+    found = percentiles.linear(_events(spark, sf_dir), "event_type", "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def nearest_rank_percentiles(spark, sf_dir):
-    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return _events(spark, sf_dir).groupBy("event_type").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"))
+    return percentiles.nearest(_events(spark, sf_dir), "event_type", "value", {"p50": 0.5, "p95": 0.95}).drop("n")
 
 
 @query("""
@@ -91,10 +92,7 @@ SELECT event_type, max(CASE WHEN nth = CAST(round_even((n - 1) * 0.25, 0) AS BIG
 FROM r GROUP BY event_type""")
 def rounded_index_percentiles(spark, sf_dir):
     """The value at the half-even rounded index (n - 1) * q."""
-    w = Window.partitionBy("event_type")
-    rows = _events(spark, sf_dir).where("value is not null").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("nth"), F.count("*").over(w).alias("n"))
-    at = lambda q: F.max(F.when(F.col("nth") == F.rint((F.col("n") - 1) * q) + 1, F.col("value")))
-    return rows.groupBy("event_type").agg(at(0.25).alias("q25"), at(0.75).alias("q75"))
+    return percentiles.rounded(_events(spark, sf_dir), "event_type", "value", {"q25": 0.25, "q75": 0.75}).drop("n")
 
 
 @query("SELECT CASE WHEN contains(p_type, 'STEEL') THEN 'steel' ELSE coalesce(nullif(lower(split_part(p_type, ' ', 1)), ''), 'unknown') END AS program, count(*) AS n, round(avg(p_retailprice), 4) AS mean_price FROM part GROUP BY 1")
@@ -125,8 +123,9 @@ def turn_trace_quality(spark, sf_dir):
     mark = lambda kind: F.min(F.when(F.col("event_type") == kind, F.unix_micros("ts")))
     traces = _events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(mark("view").alias("viewed"), mark("click").alias("clicked"))
     rows = traces.select(F.col("day").cast("string").alias("day"), F.when(F.col("clicked") >= F.col("viewed"), (F.col("clicked") - F.col("viewed")) / 1e6).alias("seconds"))
-    disc = lambda q: F.round(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY seconds)"), 3)
-    return rows.groupBy("day").agg(F.count("seconds").alias("n"), disc(0.5).alias("p50"), disc(0.95).alias("p95"), (F.count("seconds") >= 20).alias("ready"))
+    counts = rows.groupBy("day").agg(F.count("seconds").alias("n"), (F.count("seconds") >= 20).alias("ready"))
+    found = percentiles.nearest(rows, "day", "seconds", {"p50": 0.5, "p95": 0.95}).select("day", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"))
+    return counts.join(found, "day", "left")
 
 
 @query("SELECT (SELECT count(*) FROM events) = (SELECT sum(n) FROM (SELECT count(*) AS n FROM events GROUP BY event_type)) AS reconciled, (SELECT count(*) FROM events) AS n_rows, (SELECT count(DISTINCT user_id) FROM events) AS n_sources")

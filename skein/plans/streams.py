@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skein.functions import text
 from skein.plans.registry import query, table
-from skein.streaming import stateful, traces
+from skein.streaming import incremental, stateful, traces
 
 
 @query("""
@@ -73,3 +74,11 @@ def cached_results(spark, sf_dir):
     """Each user's cache of at most a hundred answers that serve for a day: hits, and which request computed the answer."""
     asked = stateful.file_stream(spark, sf_dir, "events").withColumn("asked", F.get_json_object("props", "$.k"))
     return stateful.run_available(traces.cached(asked, "user_id", "asked", "event_id", "ts", "1 day"), keyed=True)
+
+
+@query()
+def incremental_index(spark, sf_dir):
+    """Documents that an index takes up as they come, and those it skips as copies at 0.92 of what it holds."""
+    docs = stateful.file_stream(spark, sf_dir, "documents").select("doc_id", "text")
+    told = incremental.index_stream(docs, "doc_id", "text", text.shingles(F.coalesce("text", F.lit(""))), 0.92)
+    return told.select(F.col("id").alias("doc_id"), "duplicate_of")

@@ -75,3 +75,38 @@ def test_a_trace_is_told_once_and_a_small_cache_drops_the_oldest(spark, tmp_path
     got = {r.request: (r.hit, r.computed_by) for r in stateful.run_available(traces.cached(asked, "who", "asked", "id", "ts", "2 hours", 2), keyed=True).collect()}
     # s/1 at 10 s is asked again at 50 s; t/2 and u/1 follow, so s/1 is the oldest of three and goes.
     assert got == {1: (False, 1), 2: (False, 2), 0: (True, 1), 10: (False, 10), 20: (False, 20), 21: (True, 10), 22: (False, 22), 23: (False, 23), 30: (False, 30)}
+
+
+def test_an_index_is_the_same_however_the_stream_is_cut(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    from skein.functions import text
+    from skein.streaming import incremental, stateful
+
+    rows = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id").slice(0, 120).to_pylist()
+    long = next(r["text"] for r in rows if len(r["text"].split()) > 300)
+    near = lambda n: " ".join(w if i != n else "EDIT" for i, w in enumerate(long.split()))
+    rows += [{"doc_id": 10_000 + i, "text": t} for i, t in enumerate([near(3), near(150), long, near(3), None, "", "one two", "one two", near(150) + " tail", near(40)] * 3)]
+    shingled = lambda t: {" ".join(w[i : i + 5]) for w in [(t or "").split()] for i in range(len(w) - 4)} or {t or ""}
+    sets = {r["doc_id"]: shingled(r["text"]) for r in rows}
+    likeness = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    kept, want = [], {}
+    for r in rows:
+        i = r["doc_id"]
+        found = [(-likeness(sets[i], sets[k]), k) for k in kept]
+        best = min((x for x in found if -x[0] >= 0.92), default=(0, None))[1]
+        want[i] = best
+        if best is None:
+            kept.append(i)
+    assert sum(v is not None for v in want.values()) > 15
+    for files in (1, 4):
+        folder = tmp_path / f"{files}" / "docs.parquet"
+        folder.mkdir(parents=True)
+        step = -(-len(rows) // files)
+        for n in range(files):
+            part = rows[n * step : (n + 1) * step]
+            pq.write_table(pa.table({"doc_id": pa.array([r["doc_id"] for r in part], pa.int64()), "text": pa.array([r["text"] for r in part], pa.string())}), folder / f"{n}.parquet")
+            os.utime(folder / f"{n}.parquet", (1_700_000_000 + n * 60,) * 2)
+        stream = stateful.file_stream(spark, str(folder.parent), "docs", 1)
+        got = {r.id: r.duplicate_of for r in incremental.index_stream(stream, "doc_id", "text", text.shingles(F.coalesce("text", F.lit("")))).collect()}
+        assert got == want

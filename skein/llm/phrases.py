@@ -2,12 +2,14 @@
 
 A first pass counts words, a second writes the texts as numbers of frequent words. Then each
 level broadcasts tries of its candidates (phrases whose parts are all frequent), walks them
-from all positions of a stretch of text at once, counts the states that accept, and, in the
-same pass, gathers the next level's candidates. The tasks' counts are summed at the end.
+from all positions of a stretch of text at once, and counts the states that accept; the tasks'
+counts are summed at the end. Where a walk ends one word further on may be a candidate of the next
+level; those are counted by a hash first, so that few that are rare are sent anywhere.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,8 @@ _DIRECT = 1 << 24
 _HELD = 1 << 19
 #: Rows of a batch that a task sends.
 _ROWS_SENT = 1 << 16
+#: Buckets of longer phrases: about one for each eight words of the corpus, as bits, at most; and those in a part that is sent.
+_MOST_BITS, _PART_BITS = 25, 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: What a byte is: of a word 0, blank 1, end of a piece 2.
@@ -332,18 +336,18 @@ class _Gathered:
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             counts = np.bincount(codes, np.concatenate([n for _, n in self.keys]), len(distinct)).astype(np.int64)
             self.rows, self.keys, self.size = [], [], 0
-            yield from _phrases(rows[:, first], counts, True)
+            yield from _phrases(rows[:, first], counts)
 
 
-def _phrases(words: np.ndarray, counts: np.ndarray, candidate: bool) -> Iterator[pa.RecordBatch]:
+def _phrases(words: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(counts), _ROWS_SENT):
         n = counts[at : at + _ROWS_SENT]
         columns = [pa.array(words[i, at : at + len(n)] if i < len(words) else np.full(len(n), -1, np.int32)) for i in range(LONGEST)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), candidate)), *columns, pa.array(n)], names=["candidate", *_WORDS, "n"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=[*_WORDS, "n"])
 
 
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-_ROWS = "candidate boolean, " + ", ".join(f"{w} int" for w in _WORDS) + ", n long"
+_ROWS = ", ".join(f"{w} int" for w in _WORDS) + ", n long"
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -351,59 +355,126 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.frombuffer(batch.column("ids")[0].as_buffer(), np.int32)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbouring frequent words of a task, with their counts in it."""
-    found = _Gathered(2)
-    for ids in _stretches(batches):
+def _longer(ids: np.ndarray, trie: Trie | None, size: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where a phrase of one word more than the trie's may begin, and a number for each, alike for alike phrases.
+
+    Its first part is in the trie; so is its last part, if the trie holds all of them. Without a trie: two frequent words.
+    """
+    if trie is None:
         place = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-        found.add(ids[place].astype(np.int64) << 32 | ids[place + 1], place, ids)
-        if found.size > _HELD:
-            yield from found.flush()
-    yield from found.flush()
+        return place, ids[place].astype(np.int64) << 32 | ids[place + 1]
+    width = trie.phrases.shape[1]
+    place, which = trie.walk(ids, size)
+    if whole:
+        there = np.append(place[1:] == place[:-1] + 1, False)[: len(place)]
+    else:
+        there = place + width < len(ids)
+        there[there] = ids[place[there] + width] >= 0
+    place, which = place[there], which[there]
+    return place, which.astype(np.int64) << 32 | ids[place + width]
+
+
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _count(trie, size: int, whole: bool, more: bool):
-    """The trie's phrases counted; and, if asked for, longer ones by a word whose first part it holds, and whose last part it holds if it is whole."""
+def _bucket_counts(trie, size: int, whole: bool, bits: int, least: int):
+    """A task's counts of longer phrases by a hash of theirs, capped at ``least``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Trie = trie.value
-        width = own.phrases.shape[1]
-        counts, found = np.zeros(len(own.phrases), np.int64), _Gathered(width + 1)
+        own, counts = trie and trie.value, np.zeros(1 << bits, np.uint8)
         for ids in _stretches(batches):
-            place, which = own.walk(ids, size)
-            counts += np.bincount(which, minlength=len(counts))
-            if more:
-                if whole:
-                    longer = np.append(place[1:] == place[:-1] + 1, False)[: len(place)]
-                else:
-                    longer = place + width < len(ids)
-                    longer[longer] = ids[place[longer] + width] >= 0
-                place, which = place[longer], which[longer]
-                found.add(which.astype(np.int64) << 32 | ids[place + width], place, ids)
-                if found.size > _HELD:
-                    yield from found.flush()
-        at = np.flatnonzero(counts)
-        yield from _phrases(own.phrases[at].T, counts[at], False)
+            at, n = np.unique(_bucket(_longer(ids, own, size, whole)[1], bits), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, least)
+        for part in range(1 << max(0, bits - _PART_BITS)):
+            some = counts[part << _PART_BITS : (part + 1) << _PART_BITS]
+            if some.any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())})
+
+    return emit
+
+
+def _summed(bits: int, least: int):
+    """Adds the tasks' counts as they stream by, a part after another; a bit for each bucket says whether it reached ``least``."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 << min(bits, _PART_BITS)
+        part, total = None, np.zeros(size, np.int32)
+        done = lambda: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "hot": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+        for batch in slices(batches, 64):
+            for now, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+                if now != part:
+                    if part is not None:
+                        yield done()
+                    part, total = now, np.zeros(size, np.int32)
+                total += np.frombuffer(zlib.decompress(counts), np.uint8)
+                np.minimum(total, least, out=total)
+        if part is not None:
+            yield done()
+
+    return emit
+
+
+def _candidates(trie, hot, size: int, whole: bool, bits: int, width: int):
+    """Longer phrases in hot buckets, with their counts in a task."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, marks, found = trie and trie.value, hot.value, _Gathered(width)
+        for ids in _stretches(batches):
+            place, keys = _longer(ids, own, size, whole)
+            bucket = _bucket(keys, bits)
+            there = (marks[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
+            found.add(keys[there], place[there], ids)
+            if found.size > _HELD:
+                yield from found.flush()
         yield from found.flush()
 
     return emit
 
 
-def _level(numbers: DataFrame, candidates: DataFrame, width: int, size: int, most_phrases: int) -> tuple[DataFrame, DataFrame]:
-    """Counts of the candidates, and rows of longer ones: one walk for each trie of bounded size."""
-    spark = numbers.sparkSession
-    waves = -(-candidates.count() // most_phrases)
+def _longer_rows(numbers: DataFrame, trie, size: int, whole: bool, width: int, bits: int, least: int) -> DataFrame:
+    """Rows of phrases of ``width`` words that may be frequent, with partial counts.
+
+    Two passes: the first counts them by a hash, in a table of fixed size; only those of buckets that reach ``least`` are sent in the second. None
+    that is frequent is lost.
+    """
+    counts = numbers.mapInArrow(_bucket_counts(trie, size, whole, bits, least), "part int, counts binary")
+    parts = counts.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(bits, least), "part int, hot binary")
+    marks = np.zeros(max(1, 1 << bits >> 3), np.uint8)
+    step = max(1, 1 << min(bits, _PART_BITS) >> 3)
+    for r in parts.toLocalIterator():  # 4 MB at most
+        marks[r.part * step : (r.part + 1) * step] = np.frombuffer(r.hot, np.uint8)
+    hot = numbers.sparkSession.sparkContext.broadcast(marks)
+    return numbers.mapInArrow(_candidates(trie, hot, size, whole, bits, width), _ROWS)
+
+
+def _count(trie):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = trie.value
+        counts = np.zeros(len(own.phrases), np.int64)
+        for ids in _stretches(batches):
+            counts += np.bincount(own.walk(ids, size)[1], minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield from _phrases(own.phrases[at].T, counts[at])
+
+    return emit
+
+
+def _tries(phrases: DataFrame, width: int, most_phrases: int) -> Iterator[tuple[Trie, bool]]:
+    """The phrases in tries of bounded size, one after another; does it hold them all."""
+    waves = -(-phrases.count() // most_phrases)
     wave = F.pmod(F.xxhash64(*_WORDS[:width]), F.lit(waves)) if waves > 1 else F.lit(0)
-    made = []
     for i in range(waves):
-        some = candidates.where(wave == i).select(*_WORDS[:width]).toArrow()
-        trie = spark.sparkContext.broadcast(Trie.of(np.stack([some.column(c).to_numpy() for c in _WORDS[:width]], axis=1)))
-        made.append(write_table(numbers.mapInArrow(_count(trie, size, waves == 1, width < LONGEST), _ROWS), f"level-{width}"))
-    rows = made[0]
-    for x in made[1:]:
+        some = phrases.where(wave == i).select(*_WORDS[:width]).toArrow()
+        if some.num_rows:
+            yield Trie.of(np.stack([some.column(c).to_numpy() for c in _WORDS[:width]], axis=1)), waves == 1
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    rows = parts[0]
+    for x in parts[1:]:
         rows = rows.unionAll(x)
-    counts = rows.where("not candidate").groupBy(*_WORDS[:width]).agg(F.sum("n").alias("n"))
-    return counts, rows.where("candidate")
+    return rows
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, most_phrases: int = MOST_PHRASES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -415,19 +486,22 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST
     size = vocabulary.count()
     found = vocabulary.select(F.array(F.col("number").cast("int")).alias("p"), F.lit(1).alias("size"), F.col("n").alias("a"), "lang")
     if size:
-        numbers = numbers_of(texts_, vocabulary, size, most_words)
-        rows = numbers.mapInArrow(_pairs, _ROWS)  # read once
+        numbers, sc = numbers_of(texts_, vocabulary, size, most_words), docs.sparkSession.sparkContext
+        total = words.where("word is null").agg(F.sum("n")).first()[0]
+        bits = max(8, min(_MOST_BITS, (total // 8).bit_length()))
         before = None
         for width in range(2, LONGEST + 1):
             own = _WORDS[:width]
+            tries = _tries(before, width - 1, most_phrases) if before is not None else [(None, True)]
+            rows = _all_of([_longer_rows(numbers, sc.broadcast(t) if t else None, size, whole, width, bits, min(least, 255)) for t, whole in tries])
             candidates = rows.groupBy(*own).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*own)
             if before is not None:  # the last part is frequent too
                 candidates = candidates.join(before.select(*[F.col(w).alias(own[i + 1]) for i, w in enumerate(own[:-1])]), own[1:], "left_semi")
             candidates = write_table(candidates, f"candidates-{width}")
             if candidates.isEmpty():
                 break
-            counts, rows = _level(numbers, candidates, width, size, most_phrases)
-            before = write_table(counts.where(F.col("n") >= least), f"phrases-{width}")
+            counts = _all_of([numbers.mapInArrow(_count(sc.broadcast((t, size))), _ROWS) for t, _ in _tries(candidates, width, most_phrases)])
+            before = write_table(counts.groupBy(*own).agg(F.sum("n").alias("n")).where(F.col("n") >= least), f"phrases-{width}")
             found = found.unionAll(before.select(F.array(*own).alias("p"), F.lit(width).alias("size"), F.col("n").alias("a"), F.lit(None).cast("string").alias("lang")))
     return write_table(found, "phrases"), vocabulary, words.where("word is null").select("lang", F.col("n"))
 

@@ -355,21 +355,36 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.frombuffer(batch.column("ids")[0].as_buffer(), np.int32)
 
 
-def _longer(ids: np.ndarray, trie: Trie | None, size: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(words: list[np.ndarray]) -> np.ndarray:
+    """64 bits for each phrase, given as its words' numbers, place by place."""
+    out = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        out = mix(out ^ ((w.astype(np.uint64) + np.uint64(1)) * _LENGTH))
+    return out
+
+
+def _marked(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - (8 * len(marks)).bit_length() + 1)).astype(np.int64)
+    return (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _longer(ids: np.ndarray, trie: Trie | None, size: int, marks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Where a phrase of one word more than the trie's may begin, and a number for each, alike for alike phrases.
 
-    Its first part is in the trie; so is its last part, if the trie holds all of them. Without a trie: two frequent words.
+    Its first part is in the trie. So is its last part, if the trie holds all phrases; if it doesn't, that one's hash is among
+    the marks of all. Without a trie: two frequent words.
     """
     if trie is None:
         place = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
         return place, ids[place].astype(np.int64) << 32 | ids[place + 1]
     width = trie.phrases.shape[1]
     place, which = trie.walk(ids, size)
-    if whole:
+    if marks is None:
         there = np.append(place[1:] == place[:-1] + 1, False)[: len(place)]
     else:
         there = place + width < len(ids)
         there[there] = ids[place[there] + width] >= 0
+        there[there] = _marked(_hashes([ids[place[there] + i] for i in range(1, width + 1)]), marks)
     place, which = place[there], which[there]
     return place, which.astype(np.int64) << 32 | ids[place + width]
 
@@ -378,13 +393,13 @@ def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _bucket_counts(trie, size: int, whole: bool, bits: int, least: int):
+def _bucket_counts(trie, marks, size: int, bits: int, least: int):
     """A task's counts of longer phrases by a hash of theirs, capped at ``least``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = trie and trie.value, np.zeros(1 << bits, np.uint8)
+        own, known, counts = trie and trie.value, marks and marks.value, np.zeros(1 << bits, np.uint8)
         for ids in _stretches(batches):
-            at, n = np.unique(_bucket(_longer(ids, own, size, whole)[1], bits), return_counts=True)
+            at, n = np.unique(_bucket(_longer(ids, own, size, known)[1], bits), return_counts=True)
             counts[at] = np.minimum(counts[at] + n, least)
         for part in range(1 << max(0, bits - _PART_BITS)):
             some = counts[part << _PART_BITS : (part + 1) << _PART_BITS]
@@ -415,15 +430,15 @@ def _summed(bits: int, least: int):
     return emit
 
 
-def _candidates(trie, hot, size: int, whole: bool, bits: int, width: int):
+def _candidates(trie, marks, hot, size: int, bits: int, width: int):
     """Longer phrases in hot buckets, with their counts in a task."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, marks, found = trie and trie.value, hot.value, _Gathered(width)
+        own, known, full, found = trie and trie.value, marks and marks.value, hot.value, _Gathered(width)
         for ids in _stretches(batches):
-            place, keys = _longer(ids, own, size, whole)
+            place, keys = _longer(ids, own, size, known)
             bucket = _bucket(keys, bits)
-            there = (marks[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
+            there = (full[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
             found.add(keys[there], place[there], ids)
             if found.size > _HELD:
                 yield from found.flush()
@@ -432,20 +447,20 @@ def _candidates(trie, hot, size: int, whole: bool, bits: int, width: int):
     return emit
 
 
-def _longer_rows(numbers: DataFrame, trie, size: int, whole: bool, width: int, bits: int, least: int) -> DataFrame:
+def _longer_rows(numbers: DataFrame, trie, marks, size: int, width: int, bits: int, least: int) -> DataFrame:
     """Rows of phrases of ``width`` words that may be frequent, with partial counts.
 
     Two passes: the first counts them by a hash, in a table of fixed size; only those of buckets that reach ``least`` are sent in the second. None
     that is frequent is lost.
     """
-    counts = numbers.mapInArrow(_bucket_counts(trie, size, whole, bits, least), "part int, counts binary")
+    counts = numbers.mapInArrow(_bucket_counts(trie, marks, size, bits, least), "part int, counts binary")
     parts = counts.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(bits, least), "part int, hot binary")
-    marks = np.zeros(max(1, 1 << bits >> 3), np.uint8)
+    full = np.zeros(max(1, 1 << bits >> 3), np.uint8)
     step = max(1, 1 << min(bits, _PART_BITS) >> 3)
     for r in parts.toLocalIterator():  # 4 MB at most
-        marks[r.part * step : (r.part + 1) * step] = np.frombuffer(r.hot, np.uint8)
-    hot = numbers.sparkSession.sparkContext.broadcast(marks)
-    return numbers.mapInArrow(_candidates(trie, hot, size, whole, bits, width), _ROWS)
+        full[r.part * step : (r.part + 1) * step] = np.frombuffer(r.hot, np.uint8)
+    hot = numbers.sparkSession.sparkContext.broadcast(full)
+    return numbers.mapInArrow(_candidates(trie, marks, hot, size, bits, width), _ROWS)
 
 
 def _count(trie):
@@ -460,14 +475,27 @@ def _count(trie):
     return emit
 
 
-def _tries(phrases: DataFrame, width: int, most_phrases: int) -> Iterator[tuple[Trie, bool]]:
-    """The phrases in tries of bounded size, one after another; does it hold them all."""
+def _waves(phrases: DataFrame, width: int, most_phrases: int) -> Iterator[np.ndarray]:
+    """The phrases, a row for each, in tables of bounded size, one after another."""
     waves = -(-phrases.count() // most_phrases)
     wave = F.pmod(F.xxhash64(*_WORDS[:width]), F.lit(waves)) if waves > 1 else F.lit(0)
     for i in range(waves):
         some = phrases.where(wave == i).select(*_WORDS[:width]).toArrow()
         if some.num_rows:
-            yield Trie.of(np.stack([some.column(c).to_numpy() for c in _WORDS[:width]], axis=1)), waves == 1
+            yield np.stack([some.column(c).to_numpy() for c in _WORDS[:width]], axis=1)
+
+
+def _marks(phrases: DataFrame, width: int, most_phrases: int) -> np.ndarray | None:
+    """A bit for the hash of each, some sixteen bits a phrase and 32 MB at most; None if one trie holds them all."""
+    n = phrases.count()
+    if n <= most_phrases:
+        return None
+    bits = min(28, (16 * n).bit_length())
+    marks = np.zeros(1 << bits >> 3, np.uint8)
+    for some in _waves(phrases, width, most_phrases):
+        at = (_hashes(list(some.T)) >> np.uint64(64 - bits)).astype(np.int64)
+        np.bitwise_or.at(marks, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    return marks
 
 
 def _all_of(parts: list[DataFrame]) -> DataFrame:
@@ -492,15 +520,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST
         before = None
         for width in range(2, LONGEST + 1):
             own = _WORDS[:width]
-            tries = _tries(before, width - 1, most_phrases) if before is not None else [(None, True)]
-            rows = _all_of([_longer_rows(numbers, sc.broadcast(t) if t else None, size, whole, width, bits, min(least, 255)) for t, whole in tries])
+            marks = None if before is None else _marks(before, width - 1, most_phrases)
+            marks = None if marks is None else sc.broadcast(marks)
+            tries = [None] if before is None else (sc.broadcast(Trie.of(x)) for x in _waves(before, width - 1, most_phrases))
+            rows = _all_of([_longer_rows(numbers, trie, marks, size, width, bits, min(least, 255)) for trie in tries])
             candidates = rows.groupBy(*own).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*own)
             if before is not None:  # the last part is frequent too
                 candidates = candidates.join(before.select(*[F.col(w).alias(own[i + 1]) for i, w in enumerate(own[:-1])]), own[1:], "left_semi")
             candidates = write_table(candidates, f"candidates-{width}")
             if candidates.isEmpty():
                 break
-            counts = _all_of([numbers.mapInArrow(_count(sc.broadcast((t, size))), _ROWS) for t, _ in _tries(candidates, width, most_phrases)])
+            counts = _all_of([numbers.mapInArrow(_count(sc.broadcast((Trie.of(x), size))), _ROWS) for x in _waves(candidates, width, most_phrases)])
             before = write_table(counts.groupBy(*own).agg(F.sum("n").alias("n")).where(F.col("n") >= least), f"phrases-{width}")
             found = found.unionAll(before.select(F.array(*own).alias("p"), F.lit(width).alias("size"), F.col("n").alias("a"), F.lit(None).cast("string").alias("lang")))
     return write_table(found, "phrases"), vocabulary, words.where("word is null").select("lang", F.col("n"))

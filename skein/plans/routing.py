@@ -59,19 +59,19 @@ def expanded_targets(spark, sf_dir):
 
 # Fixed values of our own: what three actions take.
 RULES = (
-    arguments.Rule("look_up", "query", r"(?i)\b(?:the|la|der|el)\s+([^.?!]+)", strip=" \t\n,;:"),
-    arguments.Rule("look_up", "limit", r"\b([0-9]+)\b", kind="integer", required=False, default="5"),
+    arguments.Rule("look_up", "query", r"(?i)(?:^|[^\p{L}\p{N}])(?:the|la|der|el)\s+([^.?!]+)", strip=" \t\n,;:"),
+    arguments.Rule("look_up", "limit", r"(?:^|[^\p{L}\p{N}])([0-9]+)(?:[^\p{L}\p{N}]|$)", kind="integer", required=False, default="5"),
     arguments.Rule("write_to", "address", r"([A-Za-z0-9._-]+@[A-Za-z0-9.-]+[A-Za-z0-9])"),
     arguments.Rule("write_to", "subject", r"^\s*([^\s.?!,;:]+)", required=False),
-    arguments.Rule("choose", "side", r"(?i)\b(and|or|et|ou|und|oder|y|o)\b", kind="choice", choices=(("and", "both"), ("et", "both"), ("und", "both"), ("y", "both"), ("or", "either"), ("ou", "either"))),
+    arguments.Rule("choose", "side", r"(?i)(?:^|[^\p{L}\p{N}])(and|or|et|ou|und|oder|y|o)(?:[^\p{L}\p{N}]|$)", kind="choice", choices=(("and", "both"), ("et", "both"), ("und", "both"), ("y", "both"), ("or", "either"), ("ou", "either"))),
 )
 _ACT = "CASE (conv_id + turn) % 4 WHEN 0 THEN 'look_up' WHEN 1 THEN 'write_to' WHEN 2 THEN 'choose' ELSE 'dance' END"
 
 
 @query(rf"""
 WITH t AS (SELECT conv_id, turn, {_ACT} AS action, text FROM conversations),
-x AS (SELECT *, nullif(trim(regexp_extract(text, '(?i)\b(?:the|la|der|el)\s+([^.?!]+)', 1), E' \t\n,;:'), '') AS q, nullif(regexp_extract(text, '\b([0-9]+)\b', 1), '') AS n,
-  nullif(regexp_extract(text, '([A-Za-z0-9._-]+@[A-Za-z0-9.-]+[A-Za-z0-9])', 1), '') AS address, nullif(regexp_extract(text, '^\s*([^\s.?!,;:]+)', 1), '') AS subject, nullif(lower(regexp_extract(text, '(?i)\b(and|or|et|ou|und|oder|y|o)\b', 1)), '') AS side FROM t)
+x AS (SELECT *, nullif(trim(regexp_extract(text, '(?i)(?:^|[^\p{{L}}\p{{N}}])(?:the|la|der|el)\s+([^.?!]+)', 1), E' \t\n,;:'), '') AS q, nullif(regexp_extract(text, '(?:^|[^\p{{L}}\p{{N}}])([0-9]+)(?:[^\p{{L}}\p{{N}}]|$)', 1), '') AS n,
+  nullif(regexp_extract(text, '([A-Za-z0-9._-]+@[A-Za-z0-9.-]+[A-Za-z0-9])', 1), '') AS address, nullif(regexp_extract(text, '^\s*([^\s.?!,;:]+)', 1), '') AS subject, nullif(lower(regexp_extract(text, '(?i)(?:^|[^\p{{L}}\p{{N}}])(and|or|et|ou|und|oder|y|o)(?:[^\p{{L}}\p{{N}}]|$)', 1)), '') AS side FROM t)
 SELECT conv_id, turn, CASE WHEN action = 'look_up' THEN q END AS query, CASE WHEN action = 'look_up' THEN CASE WHEN n IS NULL THEN 5 ELSE try_cast(n AS BIGINT) END END AS "limit", CASE WHEN action = 'write_to' THEN address END AS address, CASE WHEN action = 'write_to' THEN subject END AS subject,
   CASE WHEN action = 'choose' THEN CASE WHEN side IN ('and', 'et', 'und', 'y') THEN 'both' WHEN side IN ('or', 'ou') THEN 'either' END END AS side,
   CASE action WHEN 'look_up' THEN concat_ws(',', CASE WHEN q IS NULL THEN 'missing:query' END, CASE WHEN n IS NOT NULL AND try_cast(n AS BIGINT) IS NULL THEN 'invalid:limit' END) WHEN 'write_to' THEN CASE WHEN address IS NULL THEN 'missing:address' ELSE '' END

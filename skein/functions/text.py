@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Hashable, Sequence
 
 import pandas as pd
@@ -37,6 +38,38 @@ def strip_marks(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, MARKED, PLAIN), r"\p{M}+", "")
 
 
+@F.pandas_udf(T.StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+
+
+def unaccented(text: Column) -> Column:
+    """Compatibility decomposition without combining marks; letters with a stroke stay. Plain ASCII takes no part in the Python step."""
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_decomposed(F.when(~text.rlike(r"^\p{ASCII}*$"), text)))
+
+
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x.casefold().replace("ł", "l")) if not unicodedata.combining(c)))
+
+
+def folded(text: Column) -> Column:
+    """Case folded, l for the l with a stroke, canonical decomposition without marks; then runs of all but letters, digits, ``:/._-`` and space become one space each."""
+    plain = F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(_folded(F.when(~text.rlike(r"^\p{ASCII}*$"), text)))
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}:/._ -]+", " "))
+
+
+@F.pandas_udf(T.StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def composed(text: Column) -> Column:
+    """Canonical composition, and one space for each run of white space. What lies under U+0300 is composed already."""
+    other = text.rlike(r"[^\x{0}-\x{2FF}]")
+    return collapse(F.when(~other, text).otherwise(_composed(F.when(other, text))))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w != "")
 

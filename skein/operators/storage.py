@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,34 @@ def partial_update(old: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     return old.join(renamed, key, "left").select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in given else F.col(c) for c in old.columns])
 
 
+def status_events(old: DataFrame, patch: DataFrame, key: str, status: str) -> DataFrame:
+    """(key, before, after): one event for each known row whose status a patch gives another value."""
+    both = old.select(key, F.col(status).alias("before")).join(patch.where(F.col(status).isNotNull()).select(key, F.col(status).alias("after")), key)
+    return both.where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def keep_days(rows: DataFrame, time: str, now: Column, days: int) -> DataFrame:
+    """The table without what is older than ``days`` (held between 1 and 365) before now; rows without a time stay."""
+    old = F.col(time) < now - F.make_interval(days=F.lit(max(1, min(days, 365))))
+    return rows.where(~F.coalesce(old, F.lit(False)))
+
+
+def keep_generation(rows: DataFrame, generation: str, current: Column) -> DataFrame:
+    """The table without rows of any generation but the current one; rows without a generation go too."""
+    return rows.where(F.col(generation) == current)
+
+
+def newest_of_session(takes: DataFrame, session: str, order: list[str], kept: int = 500, shown: int = 100) -> DataFrame:
+    """What a session's state shows: its newest ``shown`` takes of the ``kept`` it holds, place 1 the newest, and how many it holds.
+
+    Takes beyond ``kept`` are forgotten, the oldest first. order must tell a session's takes apart.
+    """
+    w = Window.partitionBy(session).orderBy(*[F.desc(c) for c in order])
+    last = takes.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= kept)
+    held = last.groupBy(session).agg(F.count("*").alias("n_kept"))
+    return last.where(F.col("place") <= shown).join(held, session)
+
+
 def alive(expires_at: Column, now: Column) -> Column:
     """Rows without an expiry, or with one that can't be read, stay."""
     return ~F.coalesce(F.try_to_timestamp(expires_at) <= now, F.lit(False))

@@ -76,11 +76,23 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.posexplode(F.split("whole", "\r?\n")).alias("at", "value"))
 
 
-def named_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """Recordings named device_direction_yyyymmddThhmmss.wav, with what the name says."""
+def named_recordings(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Recordings named device_direction_yyyymmddThhmmss.wav that begin at ``start`` or later and before ``end``, with what the name says.
+
+    Times are taken from the names while files are listed, so none out of the range is opened. A name of
+    another form is no recording. In the order inputs, then outputs, each by a hash of day and name.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
-    part = lambda i: F.regexp_extract("path", r"([^/_]+)_(input|output)_(\d{8}T\d{6})\.wav$", i)
-    return files.select("path", part(1).alias("device"), part(2).alias("direction"), F.try_to_timestamp(part(3), F.lit("yyyyMMdd'T'HHmmss")).alias("started_at"), "content").where("started_at is not null")
+    name = F.col("_metadata.file_name")
+    part = lambda i: F.regexp_extract(name, r"([^/_]+)_(input|output)_(\d{8}T\d{6})\.wav$", i)
+    began = F.try_to_timestamp(part(3), F.lit("yyyyMMdd'T'HHmmss"))
+    files = files.where(began.isNotNull())
+    if start is not None:
+        files = files.where(began >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        files = files.where(began < F.lit(end).cast("timestamp"))
+    named = files.select("path", part(1).alias("device"), part(2).alias("direction"), began.alias("started_at"), F.sha2(F.concat(F.to_date(began).cast("string"), F.lit(":"), name), 256).alias("place"), "content")
+    return named.orderBy(F.col("direction") != "input", "place", "path").drop("place")
 
 
 def transcript_envelope(payload: Column) -> Column:
@@ -97,3 +109,45 @@ def recent(rows: DataFrame, order: list[str], n: int, most: int = 10_000) -> Dat
     """The newest n rows, clamped to 1 ... most, oldest first. order must tell rows apart."""
     n = max(1, min(n, most))
     return rows.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
+
+
+def newest(rows: DataFrame, updated: str, key: str, n: int, source: str | None = None, most: int = 10_000) -> DataFrame:
+    """The candidates of a search: the n rows last updated, newest first, clamped to 1 ... most, of one source or of all; ties by key."""
+    if source is not None:
+        rows = rows.where(F.col("source") == source)
+    return rows.orderBy(F.desc_nulls_last(updated), key).limit(max(1, min(n, most)))
+
+
+def tail_of_jsonl(spark: SparkSession, path: str, schema: str, n: int) -> DataFrame:
+    """The records in the last n lines, in their order, files in the order of their paths.
+
+    A line that is no JSON object, or whose fields don't convert, is left out, but counts as a line; so does a blank one.
+    Every task keeps its own last n lines, so no file goes through one task.
+    """
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"), "value")
+    order = ["file_path", "file_block_start", "at"]  # within one part of a file numbers rise with lines
+    last = lines.orderBy(*[F.desc(c) for c in order]).limit(max(0, n))
+    known = T.StructType.fromDDL(schema).add("_broken", "string")
+    told = F.from_json("value", known, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    # json_object_keys tells objects from other values, and fails on none.
+    good = last.where(F.json_object_keys("value").isNotNull()).withColumn("r", told).where("r is not null and r._broken is null")
+    return good.orderBy(*order).select("r.*").drop("_broken")
+
+
+def table_or_empty(spark: SparkSession, name: str, schema: str, order: list[str]) -> DataFrame:
+    """A table of the catalog in the given order; no rows if there is no such table."""
+    if not spark.catalog.tableExists(name):
+        return spark.createDataFrame([], schema)
+    return spark.table(name).select(*T.StructType.fromDDL(schema).names).orderBy(*order)
+
+
+def read_observations(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Observations by the path's suffix: strict JSON lines (.jsonl), or Parquet (.parquet) of just these fields; anything else is an error."""
+    if path.endswith(".jsonl"):
+        return read_jsonl(spark, path, schema)
+    if not path.endswith(".parquet"):
+        raise ValueError(f"neither .jsonl nor .parquet: {path}")
+    found, known = spark.read.parquet(path), T.StructType.fromDDL(schema)
+    if sorted((f.name, f.dataType.simpleString()) for f in found.schema) != sorted((f.name, f.dataType.simpleString()) for f in known):
+        raise ValueError(f"{path} has {found.schema.simpleString()}, not {known.simpleString()}")
+    return found.select(*known.names)

@@ -80,7 +80,8 @@ def named_recordings(spark: SparkSession, path: str, start: str | None = None, e
     """Recordings named device_direction_yyyymmddThhmmss.wav that begin at ``start`` or later and before ``end``, with what the name says.
 
     Times are taken from the names while files are listed, so none out of the range is opened. A name of
-    another form is no recording. In the order inputs, then outputs, each by a hash of day and name.
+    another form is no recording. place orders inputs before outputs, each by a hash of day and name: order by
+    it, and limit, before content is selected, so that no sound is sorted or read in vain.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
     name = F.col("_metadata.file_name")
@@ -91,8 +92,8 @@ def named_recordings(spark: SparkSession, path: str, start: str | None = None, e
         files = files.where(began >= F.lit(start).cast("timestamp"))
     if end is not None:
         files = files.where(began < F.lit(end).cast("timestamp"))
-    named = files.select("path", part(1).alias("device"), part(2).alias("direction"), began.alias("started_at"), F.sha2(F.concat(F.to_date(began).cast("string"), F.lit(":"), name), 256).alias("place"), "content")
-    return named.orderBy(F.col("direction") != "input", "place", "path").drop("place")
+    place = F.concat(F.when(part(2) == "input", "0").otherwise("1"), F.sha2(F.concat(F.to_date(began).cast("string"), F.lit(":"), name), 256))
+    return files.select("path", part(1).alias("device"), part(2).alias("direction"), began.alias("started_at"), place.alias("place"), "content")
 
 
 def transcript_envelope(payload: Column) -> Column:

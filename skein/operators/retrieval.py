@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vectors
+from skein.operators import nearest
 
 
 #: Queries that are broadcast at once; more come to the points in blocks.
@@ -36,20 +39,28 @@ def score_all(queries: DataFrame, points: DataFrame) -> DataFrame:
     return beside(points, q).select("query_id", "query_label", "vec_id", "label", F.round(vectors.cosine(F.col("qv"), F.col("v"), F.col("qn"), F.col("norm")), 9).alias("score"))
 
 
-def fuse(queries: DataFrame, points: DataFrame, cut: int, least: float, k: int = 60) -> DataFrame:
-    """Weighted reciprocal rank fusion; rows: vec_id, space, v, weight, norm.
+def fuse(queries: DataFrame, points: DataFrame, weights: dict[str, float], cut: int, least: float, k: int = 60) -> DataFrame:
+    """Weighted reciprocal rank fusion; rows: vec_id, label, and a vector for each space that has a weight.
 
     Only the first ``cut`` of each space and those over ``least`` count. Normalised by the best
     that is possible: rank one in all spaces, whose weights sum to one.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), "space", F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    scored = beside(points, q, ("space",)).select("query_id", "space", "weight", "vec_id", F.round(vectors.cosine(F.col("qv"), F.col("v"), F.col("qn"), F.col("norm")), 9).alias("score"))
+    score = F.round(F.element_at("cosines", 1), 9)
+    each = [nearest.first(queries, points, cut, [s]).select("query_id", F.lit(s).alias("space"), F.lit(w).alias("weight"), "vec_id", score.alias("score")) for s, w in weights.items()]
     w = Window.partitionBy("query_id", "space").orderBy(F.desc("score"), "vec_id")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= cut) & (F.col("score") >= least))
+    ranked = reduce(DataFrame.unionByName, each).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= cut) & (F.col("score") >= least))
     fusion = F.least(F.lit(1.0), F.sum(F.col("weight") / (F.lit(k) + F.col("rank"))) / (1.0 / (k + 1)))
     return ranked.groupBy("query_id", "vec_id").agg(F.round(fusion, 9).alias("fusion"), F.count("*").alias("n_spaces"), F.round(F.sum(F.col("weight") * F.col("score")), 9).alias("similarity"))
 
 
+def relevant(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """(query_id, n_relevant): how many other points have the query's label; rows: vec_id, label. Labels are counted, pairs aren't made."""
+    held = points.where("vec_id is not null and label is not null").groupBy("label").agg(F.count("*").alias("held"))
+    own = queries.groupBy(F.col("vec_id").alias("query_id"), "label").agg(F.count("*").alias("own"))  # an id may repeat
+    n = F.coalesce(F.col("own") * (F.col("held") - F.col("own")), F.lit(0))
+    return own.join(held, "label", "left").groupBy("query_id").agg(F.sum(n).alias("n_relevant"))
+
+
 def metrics(top: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """n_queries, recall_at_k, mrr, ndcg_at_k from ranked rows (query_id, rank, relevant) and (query_id, n_relevant)."""
     each = top.groupBy("query_id").agg(

@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.functions import vectors
-from skein.operators import retrieval
+from skein.operators import nearest, retrieval
 from skein.plans.registry import query, table
 
 _COS = "coalesce(list_inner_product(q.v, c.v) / nullif(sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v)), 0), 0.0)"
@@ -18,32 +17,36 @@ _SCORED = f"s AS (SELECT q.vec_id AS query_id, q.label AS ql, c.vec_id, c.label,
 _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"
 
 
-def _scored(spark, sf_dir):
-    """Cosine of the queries with every other vector."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.withColumn("norm", vectors.norm(F.col("v")))
-    return retrieval.score_all(rows.where("vec_id % 50 = 0"), rows)
+def _points(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings", spread=True).select("vec_id", "label", F.col("embedding").alias("v"))
 
 
-def _top(scored, k):
+def _asked(points):
+    return points.where("vec_id % 50 = 0")
+
+
+def _top(points, k):
+    """The queries' first k by cosine with every other vector."""
+    scored = nearest.first(_asked(points), points, k).withColumn("score", F.round(F.element_at("cosines", 1), 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 @query(f"WITH {_V}, {_SCORED}, {_RANKED} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5")
 def cosine_topk(spark, sf_dir):
-    return _top(_scored(spark, sf_dir), 5).select("query_id", F.col("rank").cast("long"), "vec_id", F.round("score", 6).alias("score"))
+    return _top(_points(spark, sf_dir), 5).select("query_id", F.col("rank").cast("long"), "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_V}, {_SCORED} SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM s WHERE score >= 0.2 GROUP BY query_id")
 def cosine_min_score(spark, sf_dir):
-    return _scored(spark, sf_dir).where("score >= 0.2").groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+    points = _points(spark, sf_dir)
+    return nearest.over(_asked(points), points, 0.2).select("query_id", "n", F.round("best", 6).alias("best"))
 
 
 @query(f"WITH {_V}, {_SCORED}, {_RANKED} SELECT query_id, round(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END), 6) AS margin FROM r GROUP BY query_id")
 def top2_margin(spark, sf_dir):
     first = lambda n: F.max(F.when(F.col("rank") == n, F.col("score")))
-    return _top(_scored(spark, sf_dir), 2).groupBy("query_id").agg(F.round(first(1) - first(2), 6).alias("margin"))
+    return _top(_points(spark, sf_dir), 2).groupBy("query_id").agg(F.round(first(1) - first(2), 6).alias("margin"))
 
 
 _SPACES = (("semantic", 1, 0.5), ("topic", 17, 0.3), ("intent", 33, 0.2))
@@ -61,10 +64,9 @@ def _fused_sql(cut, least):
 
 
 def _fused(spark, sf_dir, cut, least):
-    rows = table(spark, sf_dir, "embeddings")
-    one = lambda s, a, w: F.struct(F.lit(s).alias("space"), F.slice("embedding", a, 16).cast("array<double>").alias("v"), F.lit(w).alias("weight"))
-    points = rows.select("vec_id", F.explode(F.array(*[one(*x) for x in _SPACES])).alias("x")).select("vec_id", "x.*").withColumn("norm", vectors.norm(F.col("v")))
-    return retrieval.fuse(points.where("vec_id % 50 = 0"), points, cut, least)
+    rows = table(spark, sf_dir, "embeddings", spread=True)
+    points = rows.select("vec_id", "label", *[F.slice("embedding", a, 16).alias(s) for s, a, _ in _SPACES])
+    return retrieval.fuse(_asked(points), points, {s: w for s, _, w in _SPACES}, cut, least)
 
 
 @query(f"WITH {_fused_sql(15, 0.0)}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, n_spaces DESC, similarity DESC, vec_id) AS rank FROM f) SELECT query_id, rank, vec_id, n_spaces, round(fusion, 6) AS fusion FROM o WHERE rank <= 5")
@@ -104,5 +106,6 @@ i AS (SELECT query_id, (SELECT sum(1 / log2(k + 1)) FROM range(1, CAST(1 + least
 SELECT count(*) AS n_queries, round(avg(hit)::DOUBLE, 6) AS recall_at_10, round(avg(rr), 6) AS mrr, round(avg(coalesce(dcg / ideal, 0.0)), 6) AS ndcg_at_10 FROM q JOIN i USING (query_id)""")
 def retrieval_metrics(spark, sf_dir):
     """Recall, reciprocal rank and binary nDCG at 10; relevant is what has the query's label."""
-    scored = _scored(spark, sf_dir).withColumn("relevant", F.col("label") == F.col("query_label"))
-    return retrieval.metrics(_top(scored, 10), scored.groupBy("query_id").agg(F.count_if("relevant").alias("n_relevant")), 10)
+    points = _points(spark, sf_dir)
+    top = _top(points, 10).withColumn("relevant", F.col("label") == F.col("query_label"))
+    return retrieval.metrics(top, retrieval.relevant(_asked(points), points), 10)

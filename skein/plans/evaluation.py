@@ -18,7 +18,9 @@ _OBS = """obs AS (SELECT d.doc_id, d.source, d.lang, l.toxic, CAST(l.quality AS
 
 def _observations(spark, sf_dir):
     d, l = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), table(spark, sf_dir, "labels")  # noqa: E741
-    p = F.pmod(F.col("n_chars") * 37 + F.col("doc_id") * 101, F.lit(1000)) / 1000.0 * 0.4 + 0.6 * F.col("quality") * F.pmod(F.col("doc_id") * 7919, F.lit(100)) / 100.0
+    # 0.6 * quality * n is a decimal in SQL, so exact: a product of doubles would lie beside it, and beside a threshold that p meets.
+    tenths = 6 * F.col("quality") * F.pmod(F.col("doc_id") * 7919, F.lit(100))
+    p = F.pmod(F.col("n_chars") * 37 + F.col("doc_id") * 101, F.lit(1000)) / 1000.0 * 0.4 + tenths / 10.0 / 100.0
     return d.join(l, "doc_id").select("doc_id", "source", "lang", "toxic", F.col("quality").cast("double").alias("y"), p.alias("p"))
 
 

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,8 @@ METRICS = {
     "error_to_view_ms": ("error", "view"),
     "click_to_error_ms": ("click", "error"),
 }
-_NEVER = -1
+#: Keys that share a hash are one group of the stateful operator: a call and a state for each key would cost more than all else.
+BUCKETS = 1024
 #: Keys travel as one JSON text: pandas would turn whole numbers beside nulls into floats, and so into other keys.
 _KEY = T.StructField("key_", T.StringType())
 
@@ -36,51 +39,96 @@ def _as_key(keys: list[str]) -> Column:
     return F.to_json(F.struct(*keys)).alias("key_")
 
 
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket_", F.pmod(F.xxhash64("key_"), F.lit(BUCKETS))).groupBy("bucket_")
+
+
 def _with_keys(made: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return made.select(F.from_json("key_", T.StructType([rows.schema[k] for k in keys])).alias("key_"), *made.columns[1:]).select("key_.*", *made.columns[1:])
 
 
-class _Traces(StatefulProcessor):
-    """Of each key: the first time of every mark, and the last time of any. Told once, when nothing came for a while."""
+class _Bucket(StatefulProcessor):
+    """Many keys whose rows are one Arrow table in the state, read and written at once, with one timer for what is due first."""
 
-    def __init__(self, idle_ms: int, keep_ms: int):
-        self.idle_ms, self.keep_ms = idle_ms, keep_ms
+    kept: pa.Schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.marks = handle.getMapState("marks", T.StructType([T.StructField("mark", T.StringType())]), T.StructType([_long("us")]))
-        self.trace = handle.getValueState("trace", T.StructType([_long("last_us"), _long("timer_ms"), T.StructField("told", T.BooleanType())]))
-
-    def _wake(self, last_us: int, timer_ms: int, now_ms: int, told: bool) -> None:
-        due = max((last_us // 1000) + (self.keep_ms if told else self.idle_ms) + 1, now_ms + 1)
-        if due != timer_ms:
-            if timer_ms != _NEVER:
-                self.handle.deleteTimer(timer_ms)
+        self.rows = handle.getValueState("rows", T.StructType([T.StructField("table", T.BinaryType())]))
+        self.timer = handle.getValueState("timer", T.StructType([_long("ms")]))
+
+    def _held(self) -> pa.Table:
+        if not self.rows.exists():
+            return self.kept.empty_table()
+        return pa.ipc.open_stream(bytes(self.rows.get()[0])).read_all()
+
+    def _keep(self, rows: pa.Table, first_due_ms: int | None, now_ms: int) -> None:
+        if len(rows):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.kept) as out:
+                out.write_table(rows)
+            self.rows.update((sink.getvalue().to_pybytes(),))
+        else:
+            self.rows.clear()
+        old = self.timer.get()[0] if self.timer.exists() else None
+        due = max(first_due_ms, now_ms + 1) if len(rows) else None
+        if due == old:
+            return
+        if old is not None and old > now_ms:  # one that has gone off is no more
+            self.handle.deleteTimer(old)
+        if due is None:
+            self.timer.clear()
+        else:
             self.handle.registerTimer(due)
-        self.trace.update((last_us, due, told))
+            self.timer.update((due,))
+
+
+class _Traces(_Bucket):
+    """Of each key: the first time of every mark, and the last time of any. Told once, when nothing came for a while."""
+
+    kept = pa.schema([("key_", pa.string()), ("mark_", pa.string()), ("us_", pa.int64()), ("last_us", pa.int64()), ("told", pa.bool_())])
+
+    def __init__(self, idle_ms: int, keep_ms: int):
+        self.idle_ms, self.keep_ms = idle_ms, keep_ms
+
+    def _frame(self) -> pd.DataFrame:
+        return self._held().to_pandas()
+
+    def _due(self, held: pd.DataFrame) -> pd.Series:
+        last = held.groupby("key_")["last_us"].transform("max")
+        return last // 1000 + np.where(held["told"], self.keep_ms, self.idle_ms) + 1
+
+    def _store(self, held: pd.DataFrame, now_ms: int) -> None:
+        self._keep(pa.Table.from_pandas(held, self.kept, preserve_index=False), int(self._due(held).min()) if len(held) else None, now_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last_us, timer_ms, told = self.trace.get() if self.trace.exists() else (0, _NEVER, False)
-        for frame in rows:
-            us = frame["us_"].astype("int64")
-            last_us = max(last_us, int(us.max()))
-            for mark, first in us.groupby(frame["mark_"]).min().items():
-                old = self.marks.getValue((mark,)) if self.marks.containsKey((mark,)) else None
-                if not told and (old is None or first < old[0]):
-                    self.marks.updateValue((mark,), (int(first),))
-        self._wake(last_us, timer_ms, timerValues.getCurrentWatermarkInMs(), told)
+        new = pd.concat([frame[["key_", "mark_", "us_"]] for frame in rows])
+        new = new.assign(us_=new["us_"].astype("int64"), last_us=new["us_"].astype("int64"), told=False)
+        held = self._frame()
+        # What comes for a told trace is nobody's, and only keeps its flag.
+        flags = set(held.loc[held["told"], "key_"])
+        gone = new["key_"].isin(flags)
+        new.loc[gone, ["mark_", "told"]] = ["", True]
+        held = pd.concat([held, new]).groupby(["key_", "mark_", "told"], sort=False, as_index=False).agg({"us_": "min", "last_us": "max"})
+        self._store(held[self.kept.names], timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last_us, _, told = self.trace.get()
-        if told:
-            self.trace.clear()
-            return
-        found = {k[0]: v[0] for k, v in self.marks.iterator()}
-        began = min(found.values())
-        self.marks.clear()
-        self._wake(last_us, _NEVER, timerValues.getCurrentWatermarkInMs(), True)
-        yield pd.DataFrame({"key_": [key[0]], "began_us": [began], "last_us": [last_us], "phases_ms": [{mark: (us - began) // 1000 for mark, us in sorted(found.items())}]})
+        now_ms, held = timerValues.getCurrentWatermarkInMs(), self._frame()
+        due = self._due(held) <= now_ms
+        ready = held[due & ~held["told"]].sort_values(["key_", "mark_"])
+        found: dict[str, dict[str, int]] = {}
+        for name, mark, us in zip(ready["key_"], ready["mark_"], ready["us_"]):
+            found.setdefault(name, {})[mark] = us
+        last = ready.groupby("key_", sort=False)["last_us"].max()
+        began = [min(marks.values()) for marks in found.values()]
+        told = pd.DataFrame({"key_": list(found), "mark_": "", "us_": 0, "last_us": last.to_numpy(), "told": True}).astype(held.dtypes.to_dict())
+        # A flag whose time is up already needs no keeping.
+        told = told[told["last_us"] // 1000 + self.keep_ms + 1 > now_ms]
+        self._store(pd.concat([held[~due], told]), now_ms)
+        if found:
+            phases = [{mark: (us - first) // 1000 for mark, us in marks.items()} for first, marks in zip(began, found.values())]
+            yield pd.DataFrame({"key_": list(found), "began_us": began, "last_us": last.to_numpy(), "phases_ms": phases})
 
 
 def assemble(events: DataFrame, keys: list[str], mark: str, ts: str, idle: str = "6 hours", late: str = "0 seconds", keep: str = "7 days") -> DataFrame:
@@ -89,13 +137,13 @@ def assemble(events: DataFrame, keys: list[str], mark: str, ts: str, idle: str =
     A mark counts from its first time, in whatever order rows come. A trace is told once, when the
     watermark is ``idle`` past its last row, also if it was abandoned; rows that come for it in the ``keep``
     after that are nobody's. State is a row for each open mark, and one flag for each told trace
-    until it is forgotten. Rows without a mark or a time don't count; a null key is a key.
+    until it is forgotten, in BUCKETS tables; a micro-batch reads and writes the tables its keys fall into. Rows without a mark or a time don't count; a null key is a key.
     """
     ms = lambda span: int(pd.Timedelta(span).total_seconds() * 1000)
     rows = events.where(F.col(mark).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late)
     rows = rows.select(_as_key(keys), F.col(ts), F.unix_micros(ts).alias("us_"), F.col(mark).cast("string").alias("mark_"))
     out = T.StructType([_KEY, _long("began_us"), _long("last_us"), T.StructField("phases_ms", T.MapType(T.StringType(), T.LongType()))])
-    made = rows.groupBy("key_").transformWithStateInPandas(_Traces(ms(idle), ms(keep)), out, "append", "eventTime")
+    made = _by_bucket(rows).transformWithStateInPandas(_Traces(ms(idle), ms(keep)), out, "append", "eventTime")
     return _with_keys(made, events, keys)
 
 
@@ -106,48 +154,49 @@ def metrics(phases_ms: Column, table: dict[str, tuple[str, str]] = METRICS) -> C
     return F.array_compact(F.array(*each))
 
 
-class _Cache(StatefulProcessor):
-    """Answers of one cache: what was asked, when it was computed and by which request."""
+class _Cache(_Bucket):
+    """Answers of each key's cache: what was asked, when it was computed and by which request."""
+
+    kept = pa.schema([("key_", pa.string()), ("asked", pa.string()), ("us", pa.int64()), ("by", pa.int64())])
 
     def __init__(self, ttl_us: int, most: int):
         self.ttl_us, self.most = ttl_us, most
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.known = handle.getMapState("known", T.StructType([T.StructField("asked", T.StringType())]), T.StructType([_long("us"), _long("by")]))
-        self.timer = handle.getValueState("timer", T.StructType([_long("ms")]))
+    def _known(self) -> dict[str, dict[str, tuple[int, int]]]:
+        caches: dict[str, dict[str, tuple[int, int]]] = {}
+        for name, asked, us, by in zip(*(c.to_pylist() for c in self._held().columns)):
+            caches.setdefault(name, {})[asked] = (us, by)
+        return caches
+
+    def _due(self, known: dict[str, tuple[int, int]]) -> int:
+        return (max(v[0] for v in known.values()) + self.ttl_us) // 1000 + 1
+
+    def _store(self, caches: dict[str, dict[str, tuple[int, int]]], now_ms: int) -> None:
+        rows = [(name, asked, *value) for name, known in caches.items() for asked, value in known.items()]
+        self._keep(pa.table([list(c) for c in zip(*rows)] if rows else [[]] * 4, schema=self.kept), min(map(self._due, caches.values()), default=None), now_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = {k[0]: (v[0], v[1]) for k, v in self.known.iterator()}
-        before = dict(known)
+        caches = self._known()
         frame = pd.concat(list(rows)).sort_values(["us_", "id_"], kind="stable")
         hits, by = [], []
-        for us, asked, request in zip(frame["us_"].tolist(), frame["asked_"].tolist(), frame["id_"].tolist()):
+        for name, us, asked, request in zip(frame["key_"].tolist(), frame["us_"].tolist(), frame["asked_"].tolist(), frame["id_"].tolist()):
+            known = caches.setdefault(name, {})
             at = known.get(asked)
             hit = at is not None and 0 <= us - at[0] <= self.ttl_us
             if not hit:
                 known[asked] = at = (us, request)
                 if len(known) > self.most:
-                    known = {k: v for k, v in known.items() if us - v[0] <= self.ttl_us}
+                    known = caches[name] = {k: v for k, v in known.items() if us - v[0] <= self.ttl_us}
                 while len(known) > self.most:
                     del known[min(known, key=known.get)]
             hits.append(hit)
             by.append(at[1])
-        for asked in before.keys() - known.keys():
-            self.known.removeKey((asked,))
-        for asked, value in known.items():
-            if before.get(asked) != value:
-                self.known.updateValue((asked,), value)
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-        due = max((max(v[0] for v in known.values()) + self.ttl_us) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1)
-        self.handle.registerTimer(due)
-        self.timer.update((due,))
-        yield pd.DataFrame({"key_": [key[0]] * len(frame), "request": frame["id_"].to_numpy(), "hit": hits, "computed_by": by})
+        self._store(caches, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"key_": frame["key_"].to_numpy(), "request": frame["id_"].to_numpy(), "hit": hits, "computed_by": by})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.known.clear()
-        self.timer.clear()
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        self._store({name: known for name, known in self._known().items() if self._due(known) > now_ms}, now_ms)
         return iter(())
 
 
@@ -156,10 +205,10 @@ def cached(requests: DataFrame, key: str, asked: str, request: str, ts: str, ttl
 
     Each key has a cache of its own. An answer serves for ``ttl`` from when it was computed, hits don't extend
     that; over ``most`` answers expired ones go, then the oldest. A micro-batch's rows of a key are taken in
-    the order of time and request. State is at most ``most`` rows a key, and goes when all have expired.
+    the order of time and request. State is at most ``most`` rows a key, and goes when all have expired; it lies in BUCKETS tables, as that of :func:`assemble`.
     """
     rows = requests.where(F.col(ts).isNotNull()).withWatermark(ts, late)
     rows = rows.select(_as_key([key]), F.col(ts), F.unix_micros(ts).alias("us_"), F.coalesce(F.col(asked).cast("string"), F.lit("")).alias("asked_"), F.col(request).cast("long").alias("id_"))
     out = T.StructType([_KEY, _long("request"), T.StructField("hit", T.BooleanType()), _long("computed_by")])
-    made = rows.groupBy("key_").transformWithStateInPandas(_Cache(int(pd.Timedelta(ttl).total_seconds() * 1e6), most), out, "append", "eventTime")
+    made = _by_bucket(rows).transformWithStateInPandas(_Cache(int(pd.Timedelta(ttl).total_seconds() * 1e6), most), out, "append", "eventTime")
     return _with_keys(made, requests, [key])

@@ -110,3 +110,11 @@ def test_an_index_is_the_same_however_the_stream_is_cut(spark, sf_dir, tmp_path)
         stream = stateful.file_stream(spark, str(folder.parent), "docs", 1)
         got = {r.id: r.duplicate_of for r in incremental.index_stream(stream, "doc_id", "text", text.shingles(F.coalesce("text", F.lit("")))).collect()}
         assert got == want
+
+
+def test_keys_share_a_bounded_number_of_groups(spark, shuffled):
+    from skein.streaming import stateful, traces
+
+    events = stateful.file_stream(spark, shuffled, "events")
+    for made in (traces.assemble(events, ["user_id"], "event_type", "ts"), traces.cached(events, "user_id", "props", "event_id", "ts")):
+        assert "bucket_" in made._jdf.queryExecution().analyzed().toString()

@@ -38,3 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
         if held.getFileCount() < cores and held.getLength() < SMALL * cores:
             df = df.repartition(cores)
     return df.withColumns({c: df[c].cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Short rows dealt over all cores, for work that costs much more than the dealing: a file of few row groups is read by as few tasks."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import speech
 from skein.operators import coverage, intervals, lookback, trees
 from skein.plans.intervals import _HOUR, _SPAN, _intervals
-from skein.plans.registry import query, table
+from skein.plans.registry import dealt, query, table
 
 #: Frames a second of the recordings that stand for documents: a frame of 30 samples for each character.
 _RATE = 1000
@@ -71,7 +71,8 @@ UNION ALL SELECT event_id, 'told.1.deep.0.0', 'emotions', k::DOUBLE, NULL, unnes
 def nested_score_windows(spark, sf_dir):
     """Named scores out of nested answers made of the events' properties, wherever they stand; an inner object that has them counts too."""
     k, u = F.get_json_object("props", "$.k").cast("long"), F.col("user_id")
-    made = table(spark, sf_dir, "events").select("event_id", F.format_string(_NESTED, u, u, u + k, (k / 100.0).cast("string"), k, (k / 200.0).cast("string")).alias("told"))
+    events = dealt(table(spark, sf_dir, "events").select("event_id", "user_id", "props"), "event_id")
+    made = events.select("event_id", F.format_string(_NESTED, u, u, u + k, (k / 100.0).cast("string"), k, (k / 200.0).cast("string")).alias("told"))
     found = trees.score_windows(trees.walk(made.select("event_id", F.parse_json("told").alias("told")), "event_id", "told"), "event_id")
     return found.select("event_id", "path", "kind", F.col("begin").alias("begin_s"), F.col("end").alias("end_s"), "name", "score", F.col("place").cast("long").alias("place"))
 

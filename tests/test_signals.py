@@ -98,6 +98,19 @@ def test_walk_reaches_any_depth(spark):
     assert trees.walk(df.limit(0), "id", "v").isEmpty()
 
 
+def test_nodes_of_repeated_ids_are_ranked_on_their_own(spark, monkeypatch):
+    """A walk is one pass where the row is: nothing is written, and rows that share an id share no places."""
+    one = '{"emotions": [{"name": "x", "score": %s}, {"label": "y"}, 7, {"score": 1}]}'
+    rows = [(1, one % "0.5"), (1, one % "3"), (2, '[{"prosody": {"scores": {" z ": 0.25, "": 1, "n": null}}, "begin": 4}]')]
+    df = spark.createDataFrame(rows, "id long, j string").select("id", F.parse_json("j").alias("v"))
+    monkeypatch.setattr("skein.sources.scratch.shared_folder", None)
+    found = trees.score_windows(trees.walk(df, "id", "v"), "id")
+    got = sorted((r.id, r.path, r.begin, r.kind, r.name, r.score, r.place) for r in found.collect())
+    assert got == sorted([(1, "", None, "emotions", "x", 0.5, 1), (1, "", None, "emotions", "y", 0.0, 2), (1, "", None, "emotions", "x", 1.0, 1), (1, "", None, "emotions", "y", 0.0, 2), (2, "0", 4.0, "scores", "z", 0.25, 1)])
+    assert len(trees.score_windows(trees.walk(df, "id", "v"), "id", 1).collect()) == 3
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def segments_by_brute_force(x, rate):
     size = max(1, round(rate * 0.03))
     frames = [x[i : i + size] for i in range(0, len(x), size)]

@@ -160,3 +160,12 @@ def test_speech_segments_query(spark, sf_dir):
         want = [(i, round(a, 6), round(b, 6)) for i, (a, b) in enumerate(segments_by_brute_force(x, 1000))]
         assert sorted(got[r.doc_id]) == [pytest.approx(w) for w in want]
     assert sum(map(len, got.values())) > len(got)
+
+
+def test_recordings_of_texts():
+    """A frame of 30 samples for each character that isn't a line end, whatever its size in bytes."""
+    made = signals.recording_of("aB\n\U0001f600\u00e9x")
+    assert made[:4] == b"RIFF" and len(made) == 44 + 60 * (2 + 25 + 3)
+    x, rate = speech.samples_of(made)
+    assert rate == 1000 and [bool(v) for v in x[::30]] == [False, True, *[False] * 27, True] and (x[-30:] == 30840 / 32768).all()
+    assert signals.recording_of("")[40:] == bytes(4)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,26 +28,113 @@ def with_first_id(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.join(rows.groupBy(key).agg(F.min(order).alias("first_id")), key)
 
 
+#: Buckets of tokens by a hash, as bits, at most; and those in a part that is sent.
+_MOST_BITS, _PART_BITS = 25, 16
+#: Sets that a task puts in order at a time.
+_SETS = 500
+
+
+def token_sets(rows: DataFrame) -> DataFrame:
+    """(id, n, key, s): each row's token set as sorted hashes, written; rows: id, tokens, and maybe text.
+
+    key is alike for equal sets (by 128 bits), and for rows without tokens for equal texts.
+    """
+    tokens = F.col("tokens") if rows.schema["tokens"].dataType == T.ArrayType(T.LongType()) else F.transform("tokens", lambda t: F.xxhash64(t))
+    text = F.coalesce("text", F.lit("")) if "text" in rows.columns else F.lit("")
+    of_set = F.concat(F.lit("s"), F.hex(F.xxhash64("s")), F.lit(","), F.hex(F.xxhash64(F.lit(1), "s")))
+    key = F.when(F.size("s") > 0, of_set).otherwise(F.concat(F.lit("t"), F.sha2(text, 256)))
+    return write_table(rows.withColumn("s", F.array_sort(tokens)).select("id", F.greatest(F.size("s"), F.lit(0)).alias("n"), key.alias("key"), "s"), "sets")
+
+
+def _bucket(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return ((tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _flat(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _bucket_counts(bits: int):
+    """A task's counts of tokens by a hash of theirs, held at 65535, in parts."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint16)
+        for batch in batches:
+            at, n = np.unique(_bucket(_flat(batch.column("s")), bits), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, 65535)
+        for part in range(1 << max(0, bits - _PART_BITS)):
+            some = counts[part << _PART_BITS : (part + 1) << _PART_BITS]
+            if some.any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())})
+
+    return emit
+
+
+def _weights(bits: int):
+    """The tasks' counts summed as they stream by, a part after another, as a byte each that rises with them: 0 up to one."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, np.zeros(1 << min(bits, _PART_BITS), np.int64)
+        done = lambda: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "weights": pa.array([np.ceil(6 * np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()], pa.binary())})
+        for batch in batches:
+            for now, counts in zip(batch.column("part"), batch.column("counts")):
+                if now.as_py() != part:
+                    if part is not None:
+                        yield done()
+                    part, total = now.as_py(), np.zeros_like(total)
+                total += np.frombuffer(zlib.decompress(counts.as_py()), np.uint16)
+        if part is not None:
+            yield done()
+
+    return emit
+
+
+def _first_tokens(weights, bits: int, threshold: float):
+    """Of each set the tokens that a similar one must share one of, lightest first, without those that no other set holds."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_bucket = weights.value
+        for batch in (b.slice(at, _SETS) for b in batches for at in range(0, b.num_rows, _SETS)):
+            n, g = batch.column("n").to_numpy(), _flat(batch.column("s"))
+            row, weight = np.repeat(np.arange(len(n)), n), of_bucket[_bucket(g, bits)]
+            order = np.lexsort((g, weight, row))
+            place = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
+            there = (place <= (n - np.ceil(n * threshold - 1e-9))[row]) & (weight[order] > 0)
+            at = pa.array(row[there])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("n").take(at), batch.column("k").take(at), pa.array(g[order][there])], names=["id", "n", "k", "g"])
+
+    return emit
+
+
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) for all pairs of different token sets at or over the threshold; rows: id, tokens.
+    """(a, b, jaccard) for all pairs of different token sets at or over the threshold; rows: id, tokens, or what :func:`token_sets` gives.
 
     An exact join. Rows with the same set are represented by the smallest id. Tokens are
-    put in the order of how many sets hold them, rarest first; two sets that meet the
-    threshold share a token among the first n - ceil(t * n) + 1 of each, so only those are
-    joined on, and common tokens hardly ever are. Empty sets have no pairs.
+    put in an order, rarest first; two sets that meet the threshold share a token among the first
+    n - ceil(t * n) + 1 of each, so only those leave the task and are joined on, and common tokens
+    hardly ever are. Any order that all tasks share is right: this one is by counts of hashed
+    tokens in a table of fixed size, then by the token. Empty sets have no pairs.
     """
-    sets = rows.select("id", F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))).alias("s")).where(F.size("s") > 0)
-    sets = write_table(sets.groupBy("s").agg(F.min("id").alias("id")).select("id", "s", F.size("s").alias("n")), "sets")
-    token = sets.select("id", "n", F.explode("s").alias("g"))
-    held = token.groupBy("g").agg(F.count("*").alias("held")).where("held > 1")
-    known = token.join(held, "g")
-    # Tokens that one set alone holds come first and join with nothing: only their number matters.
-    alone = Window.partitionBy("id")
-    place = F.row_number().over(alone.orderBy("held", "g")) + F.col("n") - F.count("*").over(alone)
-    prefix = known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "g")
+    sets = rows if "key" in rows.columns else token_sets(rows)
+    spark = sets.sparkSession
+    sets = sets.where("n > 0")
+    total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    bits = max(8, min(_MOST_BITS, (4 * total).bit_length()))
+    parts = sets.select("s").mapInArrow(_bucket_counts(bits), "part int, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(_weights(bits), "part int, weights binary")
+    weights = np.zeros(1 << bits, np.uint8)
+    for r in parts.collect():  # 32 MB at most
+        weights[r.part << _PART_BITS : (r.part << _PART_BITS) + len(r.weights)] = np.frombuffer(r.weights, np.uint8)
+    firsts = sets.groupBy("key").agg(F.min("id").alias("first"))
+    copies = write_table(sets.select("id", "key").join(firsts, "key").where("id > first").select("id", F.xxhash64("key").alias("k")), "copies")
+    kind = sets.schema["id"].dataType.simpleString()
+    prefix = sets.select("id", "n", F.xxhash64("key").alias("k"), "s").mapInArrow(_first_tokens(spark.sparkContext.broadcast(weights), bits, threshold), f"id {kind}, n int, k long, g long")
+    prefix = write_table(prefix.join(copies, ["id", "k"], "left_anti").drop("k"), "prefixes")
     other = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
     pairs = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "g").join(other, "g").where("a < b").where((F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    pairs = write_table(pairs, "met")
+    met = write_table(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "met")
+    some = sets.join(met, "id", "left_semi").withColumn("k", F.xxhash64("key")).join(copies, ["id", "k"], "left_anti").dropDuplicates(["id", "k"])
+    both = pairs.join(some.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(some.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
@@ -72,13 +163,11 @@ def shared_runs(many: DataFrame, many_id: str, few: DataFrame, few_id: str, text
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """(id, first): the smallest id with the row's token set, or without tokens with its text; rows: id, text, tokens.
+    """(id, first): the smallest id with the row's token set, or without tokens with its text; rows: id, text, tokens, or what :func:`token_sets` gives.
 
     ``first`` is the id that :func:`similar_pairs` has for the set.
     """
-    s = F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t)))
-    key = F.when(F.size("tokens") > 0, F.concat(F.lit("s"), F.sha2(F.array_join(s.cast("array<string>"), ","), 256))).otherwise(F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    keyed = write_table(rows.select("id", key.alias("key")), "copies")
+    keyed = (rows if "key" in rows.columns else token_sets(rows)).select("id", "key")
     return with_first_id(keyed, "key", "id").select("id", F.col("first_id").alias("first"))
 
 

@@ -294,8 +294,9 @@ def technical_texts(spark, sf_dir):
 @query()
 def greedy_near_dedup(spark, sf_dir):
     """First come, first kept: a document goes if a kept earlier one is similar or equal; near copies keep nobody out."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", text.shingles(F.col("text")).alias("tokens"))
-    return dedup.greedy_keepers(docs.select("id"), dedup.similar_pairs(docs, 0.88), dedup.representatives(docs))
+    docs = table(spark, sf_dir, "documents", spread=True).select(F.col("doc_id").alias("id"), "text", text.shingle_hashes(F.col("text")).alias("tokens"))
+    sets = dedup.token_sets(docs)
+    return dedup.greedy_keepers(sets.select("id"), dedup.similar_pairs(sets, 0.88), write_table(dedup.representatives(sets), "firsts"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,14 @@ def test_routing(spark):
     assert {r.id: r.decision for r in routing.resolve(candidates, "id").collect()} == {1: "resolved", 2: "low_transcript_confidence", 3: "ineligible", 4: "low_score", 5: "resolved_single", 6: "low_margin"}
     answer = spark.createDataFrame([('text ```json\n{"a": 1}\n``` more',), ('so {"a": 2} then',), ("none",)], "t string").select(F.try_variant_get(routing.plan_from_answer(F.col("t")), "$.a", "int").alias("a"))
     assert [r.a for r in answer.collect()] == [1, 2, None]
+
+
+def test_only_first_tokens_leave_a_task(spark):
+    """Two texts of a thousand tokens share all but ten; the rest share one common token each with many: few rows are joined on, and none is missed."""
+    rows = [(1, list(range(1000))), (2, list(range(10, 1010))), (3, list(range(1000))), (3, list(range(5000, 5010)))]
+    rows += [(i, [7, *range(i * 10_000, i * 10_000 + 9)]) for i in range(10, 200)] + [(900, []), (901, None)]
+    sets = dedup.token_sets(spark.createDataFrame(rows, "id long, tokens array<long>").repartition(5))
+    weights = spark.sparkContext.broadcast(np.where(np.arange(256) == dedup._bucket(np.array([7]), 8)[0], 9, 1).astype(np.uint8))
+    first = sets.where("id between 10 and 199").selectExpr("id", "n", "0L AS k", "s").mapInArrow(dedup._first_tokens(weights, 8, 0.88), "id long, n int, k long, g long")
+    assert first.where("g = 7").count() == 0 and first.count() == 190 * 2
+    assert [tuple(r) for r in dedup.similar_pairs(sets, 0.88).collect()] == [(1, 2, 990 / 1010)]

@@ -80,5 +80,5 @@ def cached_results(spark, sf_dir):
 def incremental_index(spark, sf_dir):
     """Documents that an index takes up as they come, and those it skips as copies at 0.92 of what it holds."""
     docs = stateful.file_stream(spark, sf_dir, "documents").select("doc_id", "text")
-    told = incremental.index_stream(docs, "doc_id", "text", text.shingles(F.coalesce("text", F.lit(""))), 0.92)
+    told = incremental.index_stream(docs, "doc_id", "text", text.shingle_hashes(F.coalesce("text", F.lit(""))), 0.92)
     return told.select(F.col("id").alias("doc_id"), "duplicate_of")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.operators import dedup
 from skein.sources.scratch import shared_folder, write_table
@@ -42,27 +43,30 @@ def index_stream(stream: DataFrame, id: str, text: str, tokens: Column, threshol
     spark = stream.sparkSession
     base = base or f"{shared_folder(spark)}/skein-index-{uuid.uuid4().hex}"
 
-    def before(kind: str, schema: str, batch: int) -> DataFrame:
+    def before(kind: str, schema: str, batch: int) -> DataFrame | None:
         root = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{kind}")
         if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-            return spark.createDataFrame([], schema)
+            return None
         return spark.read.schema(f"{schema}, batch long").parquet(f"{base}/{kind}").where(F.col("batch") < batch).drop("batch")
 
     def take(rows: DataFrame, batch: int) -> None:
         put = lambda df, kind: df.write.mode("overwrite").parquet(f"{base}/{kind}/batch={batch}")
-        some = F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.concat(F.lit("\0"), F.coalesce(F.col(text), F.lit("")))))
-        new = write_table(rows.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), some.alias("tokens")), "batch")
-        firsts = write_table(dedup.representatives(new), "firsts")
-        own = new.join(firsts.where("id = first").select("id"), "id")
-        sets = write_table(own.select("id", F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))).alias("s")), "sets")
-        held, prefixes = before("sets", _SETS, batch), before("prefixes", _PREFIXES, batch)
-        pairs = dedup.similar_pairs(own.select("id", "tokens"), threshold).unionByName(_pairs_with(sets, held, prefixes, threshold))
-        told = write_table(dedup.greedy_keepers(new.select("id"), write_table(pairs, "pairs"), firsts), "told")
-        kept = sets.join(told.where("duplicate_of is null").select("id"), "id")
-        put(kept, "sets")
-        put(_prefixes(kept, threshold), "prefixes")
+        own = tokens if rows.select(tokens).schema[0].dataType == T.ArrayType(T.LongType()) else F.transform(tokens, lambda t: F.xxhash64(t))
+        some = F.when(F.size(own) > 0, own).otherwise(F.array(F.xxhash64(F.concat(F.lit("\0"), F.coalesce(F.col(text), F.lit(""))))))
+        sets = dedup.token_sets(rows.select(F.col(id).cast("long").alias("id"), some.alias("tokens")))
+        firsts = write_table(dedup.representatives(sets), "firsts")
+        pairs = dedup.similar_pairs(sets, threshold)
+        if (held := before("sets", _SETS, batch)) is not None:
+            new = sets.join(firsts.where("id > first").select("id"), "id", "left_anti")
+            pairs = pairs.unionByName(_pairs_with(new, held, before("prefixes", _PREFIXES, batch), threshold))
+        told = write_table(dedup.greedy_keepers(sets.select("id"), write_table(pairs, "pairs"), firsts), "told")
+        # Few are left out, so that their ids go to where the sets are.
+        gone = write_table(told.where("duplicate_of is not null").select("id"), "gone")
+        put(sets.where("id is not null").join(gone, "id", "left_anti").select("id", "s"), "sets")
+        put(_prefixes(spark.read.schema(_SETS).parquet(f"{base}/sets/batch={batch}"), threshold), "prefixes")
         put(told, "told")
 
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{base}/state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
-    return before("told", _TOLD, 2**62)
+    told = before("told", _TOLD, 2**62)
+    return spark.createDataFrame([], _TOLD) if told is None else told

@@ -1,10 +1,10 @@
 """Phrase collocations: level-wise candidates in broadcast double-array tries, counted in numpy.
 
 A first pass counts words, a second writes the texts as numbers of frequent words. Then each
-level broadcasts tries of its candidates (phrases whose parts are all frequent), walks them
-from all positions of a stretch of text at once, and counts the states that accept; the tasks'
-counts are summed at the end. Where a walk ends one word further on may be a candidate of the next
-level; those are counted by a hash first, so that few that are rare are sent anywhere.
+level broadcasts tries of the last one's phrases, walks them from all positions of a stretch of
+text at once, and where a walk ends one word further on may be a candidate (a phrase whose parts are
+all frequent). Those are counted by a hash first; each that may be frequent is sent by one task, then
+all tasks count it in arrays, which are summed at the end.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -336,18 +337,19 @@ class _Gathered:
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             counts = np.bincount(codes, np.concatenate([n for _, n in self.keys]), len(distinct)).astype(np.int64)
             self.rows, self.keys, self.size = [], [], 0
-            yield from _phrases(rows[:, first], counts)
+            yield from _phrases(rows[:, first], counts, distinct)
 
 
-def _phrases(words: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _phrases(words: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(counts), _ROWS_SENT):
-        n = counts[at : at + _ROWS_SENT]
+        n, k = counts[at : at + _ROWS_SENT], keys[at : at + _ROWS_SENT]
         columns = [pa.array(words[i, at : at + len(n)] if i < len(words) else np.full(len(n), -1, np.int32)) for i in range(LONGEST)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=[*_WORDS, "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(k), *columns, pa.array(n)], names=["key", *_WORDS, "n"])
 
 
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-_ROWS = ", ".join(f"{w} int" for w in _WORDS) + ", n long"
+_ROWS = "key long, " + ", ".join(f"{w} int" for w in _WORDS) + ", n long"
+_TALLY = "part int, counts binary, " + _ROWS
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -393,6 +395,11 @@ def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _own() -> int:
+    """A task's mark, 1 to 255."""
+    return 1 + TaskContext.get().partitionId() % 255
+
+
 def _bucket_counts(trie, marks, size: int, bits: int, least: int):
     """A task's counts of longer phrases by a hash of theirs, capped at ``least``."""
 
@@ -404,25 +411,28 @@ def _bucket_counts(trie, marks, size: int, bits: int, least: int):
         for part in range(1 << max(0, bits - _PART_BITS)):
             some = counts[part << _PART_BITS : (part + 1) << _PART_BITS]
             if some.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "task": pa.array([_own()], pa.int32()), "counts": pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())})
 
     return emit
 
 
 def _summed(bits: int, least: int):
-    """Adds the tasks' counts as they stream by, a part after another; a bit for each bucket says whether it reached ``least``."""
+    """Adds the tasks' counts as they stream by, a part after another; a byte for each bucket names a task that has most of it, 0 where the sum is below ``least``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << min(bits, _PART_BITS)
-        part, total = None, np.zeros(size, np.int32)
-        done = lambda: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "hot": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+        part = None
+        done = lambda: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "hot": pa.array([zlib.compress(np.where(total >= least, task, 0).astype(np.uint8).tobytes(), 1)], pa.binary())})
         for batch in slices(batches, 64):
-            for now, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+            for now, own, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "task", "counts"))):
                 if now != part:
                     if part is not None:
                         yield done()
-                    part, total = now, np.zeros(size, np.int32)
-                total += np.frombuffer(zlib.decompress(counts), np.uint8)
+                    part, total, most, task = now, np.zeros(size, np.int32), np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+                some = np.frombuffer(zlib.decompress(counts), np.uint8)
+                task[some > most] = own
+                np.maximum(most, some, out=most)
+                total += some
                 np.minimum(total, least, out=total)
         if part is not None:
             yield done()
@@ -431,14 +441,13 @@ def _summed(bits: int, least: int):
 
 
 def _candidates(trie, marks, hot, size: int, bits: int, width: int):
-    """Longer phrases in hot buckets, with their counts in a task."""
+    """Longer phrases in the hot buckets that name this task."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known, full, found = trie and trie.value, marks and marks.value, hot.value, _Gathered(width)
         for ids in _stretches(batches):
             place, keys = _longer(ids, own, size, known)
-            bucket = _bucket(keys, bits)
-            there = (full[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
+            there = full[_bucket(keys, bits)] == _own()
             found.add(keys[there], place[there], ids)
             if found.size > _HELD:
                 yield from found.flush()
@@ -447,34 +456,112 @@ def _candidates(trie, marks, hot, size: int, bits: int, width: int):
     return emit
 
 
-def _longer_rows(numbers: DataFrame, trie, marks, size: int, width: int, bits: int, least: int) -> DataFrame:
-    """Rows of phrases of ``width`` words that may be frequent, with partial counts.
+def _tally(trie, marks, hot, candidates, wave: tuple[int, int], size: int, bits: int, width: int):
+    """A task's counts of a wave's candidates, as arrays; phrases in its hot buckets that are no candidates as rows."""
 
-    Two passes: the first counts them by a hash, in a table of fixed size; only those of buckets that reach ``least`` are sent in the second. None
-    that is frequent is lost.
-    """
-    counts = numbers.mapInArrow(_bucket_counts(trie, marks, size, bits, least), "part int, counts binary")
-    parts = counts.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(bits, least), "part int, hot binary")
-    full = np.zeros(max(1, 1 << bits >> 3), np.uint8)
-    step = max(1, 1 << min(bits, _PART_BITS) >> 3)
-    for r in parts.toLocalIterator():  # 4 MB at most
-        full[r.part * step : (r.part + 1) * step] = np.frombuffer(r.hot, np.uint8)
-    hot = numbers.sparkSession.sparkContext.broadcast(full)
-    return numbers.mapInArrow(_candidates(trie, marks, hot, size, bits, width), _ROWS)
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known, full, found = trie and trie.value, marks and marks.value, hot.value, _Gathered(width)
+        wanted, _ = candidates.value
+        counts, (turn, turns) = np.zeros(len(wanted), np.int32), wave
+        for ids in _stretches(batches):
+            place, keys = _longer(ids, own, size, known)
+            bucket = _bucket(keys, bits)
+            there = (full[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool) & (bucket * turns >> bits == turn)
+            place, keys = place[there], keys[there]
+            if len(wanted):
+                at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+                is_one = wanted[at] == keys
+                counts += np.bincount(at[is_one], minlength=len(wanted)).astype(np.int32)
+                place, keys = place[~is_one], keys[~is_one]
+            found.add(keys, place, ids)
+            if found.size > _HELD:
+                yield from map(_as_tally, found.flush())
+        yield from map(_as_tally, found.flush())
+        for part in range(-(-len(counts) >> _PART_BITS)):
+            some = counts[part << _PART_BITS : (part + 1) << _PART_BITS]
+            if some.any():
+                nulls = [pa.nulls(1, kind) for kind in (pa.int64(), *[pa.int32()] * LONGEST, pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(some.tobytes(), 1)], pa.binary()), *nulls], names=["part", "counts", "key", *_WORDS, "n"])
+
+    return emit
 
 
-def _count(trie):
+def _as_tally(rows: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.int32()), pa.nulls(rows.num_rows, pa.binary()), *rows.columns], names=["part", "counts", *rows.schema.names])
+
+
+def _totals(candidates, least: int):
+    """Adds the tasks' counts of candidates, a part after another; those that reach ``least``."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, size = trie.value
-        counts = np.zeros(len(own.phrases), np.int64)
-        for ids in _stretches(batches):
-            counts += np.bincount(own.walk(ids, size)[1], minlength=len(counts))
-        at = np.flatnonzero(counts)
-        yield from _phrases(own.phrases[at].T, counts[at])
+        keys, words = candidates.value
+        part = total = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(total >= least)
+            yield from _phrases(words[:, at + (part << _PART_BITS)], total[at], keys[at + (part << _PART_BITS)])
+
+        for batch in slices(batches, 64):
+            for now, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+                some = np.frombuffer(zlib.decompress(counts), np.int32)
+                if now != part:
+                    if part is not None:
+                        yield from done()
+                    part, total = now, np.zeros(len(some), np.int64)
+                total += some
+        if part is not None:
+            yield from done()
 
     return emit
 
 
+def _longer_counts(numbers: DataFrame, trie, marks, size: int, width: int, bits: int, least: int, most_phrases: int) -> list[DataFrame]:
+    """Phrases of ``width`` words that come ``least`` times, with their counts.
+
+    A first pass counts by a hash, in a table of fixed size. For each bucket that reaches ``least``, a second one takes the phrases of the task that
+    has most of it, so that a phrase is sent about once. The last counts these in arrays; what is in such buckets and isn't among them,
+    which is little, is sent as rows. None that is frequent is lost.
+    """
+    sc, own, capped = numbers.sparkSession.sparkContext, _WORDS[:width], min(least, 255)
+    counts = numbers.mapInArrow(_bucket_counts(trie, marks, size, bits, capped), "part int, task int, counts binary")
+    parts = counts.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(bits, capped), "part int, hot binary")
+    full = np.zeros(1 << bits, np.uint8)
+    step = 1 << min(bits, _PART_BITS)
+    for r in parts.toLocalIterator():  # 32 MB at most
+        full[r.part * step : (r.part + 1) * step] = np.frombuffer(zlib.decompress(r.hot), np.uint8)
+    if not full.any():
+        return []
+    hot = sc.broadcast(full)
+    some = numbers.mapInArrow(_candidates(trie, marks, hot, size, bits, width), _ROWS).groupBy("key").agg(*[F.first(w).alias(w) for w in own])
+    candidates = write_table(some, f"candidates-{width}")
+    waves, out, flags = max(1, -(-candidates.count() // (4 * most_phrases))), [], sc.broadcast(np.packbits(full > 0))
+    hot.unpersist()
+    for turn, (keys, words) in enumerate(_key_waves(candidates, own, waves, bits)):
+        known = sc.broadcast((keys, words))
+        sent = write_table(numbers.mapInArrow(_tally(trie, marks, flags, known, (turn, waves), size, bits, width), _TALLY), f"tally-{width}")
+        summed = sent.where("part is not null").select("part", "counts").repartition("part").sortWithinPartitions("part").mapInArrow(_totals(known, least), _ROWS)
+        others = sent.where("part is null").groupBy(*own).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        out += [summed.select(*own, "n"), others]
+    return out
+
+
+def _key_waves(candidates: DataFrame, own: list[str], waves: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys, rising, and words of the candidates, wave after wave; a bucket's are in one."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wave = (_bucket(batch.column("key").to_numpy(), bits) * waves >> bits).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wave)], names=[*batch.schema.names, "wave"])
+
+    if waves > 1:
+        candidates = write_table(candidates.mapInArrow(places, "key long, " + ", ".join(f"{w} int" for w in own) + ", wave int"), "waves", instead_of=candidates)
+    for i in range(waves):
+        some = (candidates.where(F.col("wave") == i) if waves > 1 else candidates).toArrow()
+        keys = some.column("key").to_numpy()
+        order = np.argsort(keys)
+        yield keys[order], np.stack([some.column(w).to_numpy()[order] for w in own])
+
+
 def _waves(phrases: DataFrame, width: int, most_phrases: int) -> Iterator[np.ndarray]:
     """The phrases, a row for each, in tables of bounded size, one after another."""
     waves = -(-phrases.count() // most_phrases)
@@ -523,15 +610,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST
             marks = None if before is None else _marks(before, width - 1, most_phrases)
             marks = None if marks is None else sc.broadcast(marks)
             tries = [None] if before is None else (sc.broadcast(Trie.of(x)) for x in _waves(before, width - 1, most_phrases))
-            rows = _all_of([_longer_rows(numbers, trie, marks, size, width, bits, min(least, 255)) for trie in tries])
-            candidates = rows.groupBy(*own).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*own)
-            if before is not None:  # the last part is frequent too
-                candidates = candidates.join(before.select(*[F.col(w).alias(own[i + 1]) for i, w in enumerate(own[:-1])]), own[1:], "left_semi")
-            candidates = write_table(candidates, f"candidates-{width}")
-            if candidates.isEmpty():
+            counts = [rows for trie in tries for rows in _longer_counts(numbers, trie, marks, size, width, bits, least, most_phrases)]
+            if not counts:
+                break
+            before = write_table(_all_of(counts), f"phrases-{width}")
+            if before.isEmpty():
                 break
-            counts = _all_of([numbers.mapInArrow(_count(sc.broadcast((Trie.of(x), size))), _ROWS) for x in _waves(candidates, width, most_phrases)])
-            before = write_table(counts.groupBy(*own).agg(F.sum("n").alias("n")).where(F.col("n") >= least), f"phrases-{width}")
             found = found.unionAll(before.select(F.array(*own).alias("p"), F.lit(width).alias("size"), F.col("n").alias("a"), F.lit(None).cast("string").alias("lang")))
     return write_table(found, "phrases"), vocabulary, words.where("word is null").select("lang", F.col("n"))
 

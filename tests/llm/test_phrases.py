@@ -96,3 +96,22 @@ def test_trie_holds_what_it_was_given():
             place, which = trie.walk(ids, 7 * size)
             assert list(zip(place.tolist(), map(tuple, trie.phrases[which].tolist()))) == want
         phrases._DIRECT = 1 << 24
+
+
+def test_a_phrase_is_sent_about_once(spark, monkeypatch):
+    rng, made = random.Random(9), []
+    word = lambda: rng.choice("abcdefgh") + rng.choice("123")
+    text = lambda: ". ".join(f"{word()} {word()}" for _ in range(200))
+    df = spark.createDataFrame([("en", text()) for _ in range(80)], "lang string, text string").repartition(16)
+    as_it_was = type(df).mapInArrow
+
+    def kept(self, f, schema, *rest):
+        out = as_it_was(self, f, schema, *rest)
+        if "w1 int, w2 int, w3 int, w4 int" in str(schema):
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(type(df), "mapInArrow", kept)
+    frequent = phrases.frequent_phrases(df, 12)[0].where("size > 1").count()
+    assert frequent > 500 and made
+    assert sum(x.count() for x in made) < 3 * frequent  # each of the tasks sent all of them, twice, before

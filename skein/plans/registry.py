@@ -24,6 +24,17 @@ def query(sql: str | None = None):
 SMALL = 16 << 20
 
 
+def _held(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder)
+
+
+def tasks_for(spark: SparkSession, sf_dir: str, *names: str, size: int = 8 << 20) -> int:
+    """Tasks for work that holds its rows in memory: one for each ``size`` bytes of the tables' files, and one a core at least."""
+    held = sum(_held(spark, f"{sf_dir}/{name}.parquet").getLength() for name in names)
+    return max(spark.sparkContext.defaultParallelism, -(-held // size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A table; timestamps without zone are taken as UTC.
 
@@ -33,8 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     path = f"{sf_dir}/{name}.parquet"
     df = spark.read.parquet(path)
     if spread:
-        cores, folder = spark.sparkContext.defaultParallelism, spark._jvm.org.apache.hadoop.fs.Path(path)
-        held = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder)
+        cores, held = spark.sparkContext.defaultParallelism, _held(spark, path)
         if held.getFileCount() < cores and held.getLength() < SMALL * cores:
             df = df.repartition(cores)
     return df.withColumns({c: df[c].cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import storage
-from skein.plans.registry import query, table
+from skein.plans.registry import query, table, tasks_for
 
 
 def _customers(spark, sf_dir):
@@ -77,7 +77,9 @@ def dependency_order(spark, sf_dir):
     """Steps run in order until one has failed; the rest is skipped."""
     from pyspark.sql import Window
 
-    steps = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    tasks = tasks_for(spark, sf_dir, "orders", "lineitem")  # a task sorts its steps; how many these are must not grow with the tables
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    steps = orders.repartition(tasks, "o_orderkey").join(lines.repartition(tasks, "l_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     before = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, -1)
     ok = ~F.min(F.when(F.col("l_returnflag") == "R", 0).otherwise(1)).over(before).eqNullSafe(F.lit(0))
     return steps.select("o_orderkey", ok.alias("ok")).groupBy("o_orderkey").agg(F.count("*").alias("n_steps"), F.count_if("ok").alias("n_run"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import catalog_texts, digests, text
 from skein.operators import dataset_checks, eligibility, gates, routing, storage, styles
-from skein.plans.registry import query, table
+from skein.plans.registry import dealt, query, table
 from skein.plans.routing import _AIM, _FIND, OPERATIONS, TARGETS
 
 # Fixed values of our own: marks of directness and of address, in the languages of the tables.
@@ -182,7 +182,8 @@ def confident_digests(spark, sf_dir):
     """Digests out of loosely shaped answers made of the events; those below 0.65 go."""
     k = F.get_json_object("props", "$.k").cast("long")
     answer = F.format_string(_ANSWER, F.col("user_id").cast("string"), F.concat(F.lit("s"), F.col("user_id").cast("string")), (k / 25.0).cast("string"))
-    told = table(spark, sf_dir, "events").select("event_id", digests.digest(answer, F.lit("title"), F.col("event_type")).alias("d")).select("event_id", "d.*")
+    events = dealt(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"), "event_id")
+    told = events.select("event_id", digests.digest(answer, F.lit("title"), F.col("event_type")).alias("d")).select("event_id", "d.*")
     joined = [F.array_join(c, "|").alias(c) for c in ("people", "observations")]
     return eligibility.confident(told, "confidence").select("event_id", "summary", "topic", "intent", "decision", "person_context", *joined, F.round("confidence", 6).alias("confidence"))
 

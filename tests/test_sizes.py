@@ -17,3 +17,8 @@ def test_tasks_grow_with_the_tables(spark, sf_dir, monkeypatch):
     assert registry.tasks_for(spark, sf_dir, "orders") == spark.sparkContext.defaultParallelism
     monkeypatch.setattr("skein.plans.storage.tasks_for", lambda *a: 77)
     assert _plan(catalog.QUERIES["dependency_order"](spark, sf_dir)).count(", 77), REPARTITION_BY_NUM") == 2
+
+
+def test_a_digest_is_made_once_and_by_all_cores(spark, sf_dir):
+    plan = _plan(catalog.QUERIES["confident_digests"](spark, sf_dir))
+    assert plan.count("EvalPython") == 1 and "REPARTITION_BY_NUM" in plan

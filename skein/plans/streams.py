@@ -21,7 +21,7 @@ def stream_bucket_counts(spark, sf_dir):
 @query()
 def stream_duplicate_requests(spark, sf_dir):
     """Requests of the same user within an hour of the first remembered one."""
-    return stateful.run_available(stateful.mark_duplicate_requests(stateful.file_stream(spark, sf_dir, "events"), "user_id", 3600))
+    return stateful.run_available(traces.mark_duplicate_requests(stateful.file_stream(spark, sf_dir, "events"), "user_id", 3600), keyed=True)
 
 
 @query("""

@@ -1,14 +1,11 @@
-"""Streams over a file source: windows, duplicate requests, late rows."""
+"""Streams over a file source: windows, late rows."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from skein.sources.scratch import shared_folder
 
@@ -51,32 +48,3 @@ def bucket_counts(events: DataFrame, width: str, late: str) -> DataFrame:
     """Counts in tumbling windows; a window is given out once the watermark has passed it."""
     windows = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return windows.select(F.col("window.start").alias("start"), "event_type", "n", "total")
-
-
-def mark_duplicate_requests(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """(key, event_id, first_id): a request within ``seconds`` of the first remembered one of its key is that one again.
-
-    Duplicates don't extend the time. State is one row for each key, and is dropped when the
-    watermark has left it behind.
-    """
-    gap = pd.Timedelta(seconds=seconds)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first_id, first_us = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        firsts = []
-        for ts, event_id in zip(rows["ts"], rows["event_id"]):
-            us = ts.value // 1000
-            if first_us is None or not 0 <= us - first_us <= gap.value // 1000:
-                first_id, first_us = int(event_id), us
-            firsts.append(first_id)
-        state.update((first_id, first_us))
-        state.setTimeoutTimestamp(max(first_us // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: k[0], "event_id": rows["event_id"].astype("int64"), "first_id": pd.Series(firsts, index=rows.index, dtype="int64")})
-
-    kind = events.schema[key].dataType.simpleString()
-    watched = events.withWatermark("ts", "10 minutes")
-    return watched.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, event_id long, first_id long", "first_id long, first_us long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,6 +1,6 @@
-"""Live traces and a result cache: keyed state with timers.
+"""Live traces, a result cache and duplicate requests: keyed state with timers.
 
-Both need the RocksDB state store, which :func:`stateful.run_available` asks for with ``keyed=True``.
+All need the RocksDB state store, which :func:`stateful.run_available` asks for with ``keyed=True``.
 """
 
 from __future__ import annotations
@@ -212,3 +212,54 @@ def cached(requests: DataFrame, key: str, asked: str, request: str, ts: str, ttl
     out = T.StructType([_KEY, _long("request"), T.StructField("hit", T.BooleanType()), _long("computed_by")])
     made = _by_bucket(rows).transformWithStateInPandas(_Cache(int(pd.Timedelta(ttl).total_seconds() * 1e6), most), out, "append", "eventTime")
     return _with_keys(made, requests, [key])
+
+
+#: Stands for a missing time: behind all others, and no other's neighbour.
+_NEVER = 1 << 62
+
+
+class _Firsts(_Bucket):
+    """Of each key: the first remembered request and its time."""
+
+    kept = pa.schema([("key_", pa.string()), ("first_id", pa.int64()), ("us", pa.int64())])
+
+    def __init__(self, gap_us: int):
+        self.gap_us = gap_us
+
+    def _known(self) -> dict[str, tuple[int, int]]:
+        return {name: (first, us) for name, first, us in zip(*(c.to_pylist() for c in self._held().columns))}
+
+    def _due(self, at: tuple[int, int]) -> int:
+        return 0 if at[1] == _NEVER else (at[1] + self.gap_us) // 1000 + 1
+
+    def _store(self, known: dict[str, tuple[int, int]], now_ms: int) -> None:
+        rows = [(name, *at) for name, at in known.items()]
+        self._keep(pa.table([list(c) for c in zip(*rows)] if rows else [[]] * 3, schema=self.kept), min(map(self._due, known.values()), default=None), now_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, firsts = self._known(), []
+        frame = pd.concat(list(rows)).sort_values(["us_", "id_"], kind="stable")
+        for name, us, request in zip(frame["key_"].tolist(), frame["us_"].tolist(), frame["id_"].tolist()):
+            at = known.get(name)
+            if at is None or not 0 <= us - at[1] <= self.gap_us:
+                known[name] = at = (request, us)
+            firsts.append(at[0])
+        self._store(known, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"key_": frame["key_"].to_numpy(), "event_id": frame["id_"].to_numpy(), "first_id": firsts})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        self._store({name: at for name, at in self._known().items() if self._due(at) > now_ms}, now_ms)
+        return iter(())
+
+
+def mark_duplicate_requests(events: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(key, event_id, first_id): a request within ``seconds`` of the first remembered one of its key is that one again.
+
+    Duplicates don't extend the time. State is one row for each key, in BUCKETS tables, and is dropped when the
+    watermark has left it behind.
+    """
+    rows = events.withWatermark("ts", "10 minutes")
+    rows = rows.select(_as_key([key]), "ts", F.coalesce(F.unix_micros("ts"), F.lit(_NEVER)).alias("us_"), F.col("event_id").cast("long").alias("id_"))
+    made = _by_bucket(rows).transformWithStateInPandas(_Firsts(seconds * 1_000_000), T.StructType([_KEY, _long("event_id"), _long("first_id")]), "append", "eventTime")
+    return _with_keys(made, events, [key])

@@ -22,3 +22,10 @@ def test_tasks_grow_with_the_tables(spark, sf_dir, monkeypatch):
 def test_a_digest_is_made_once_and_by_all_cores(spark, sf_dir):
     plan = _plan(catalog.QUERIES["confident_digests"](spark, sf_dir))
     assert plan.count("EvalPython") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_requests_of_many_keys_share_a_group_of_state(spark, sf_dir):
+    from skein.plans import streams
+
+    made = streams.traces.mark_duplicate_requests(streams.stateful.file_stream(spark, sf_dir, "events"), "user_id", 3600)
+    assert "bucket_" in made._jdf.queryExecution().analyzed().toString()
